@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from accesspanel.catalogue.derived import CODE_WIDTH, YEAR, YEARS, staged, table
-from accesspanel.catalogue.registry import doubles, mean_text, query
+from accesspanel.catalogue.registry import doubles, mean_text, percent_text, query
 from accesspanel.functions.cleaning import first_match_slot, match_label, safe_cast
 from accesspanel.operators import aggregates, joins, lifecycle, quality, windows
 from accesspanel.plans.builders import typed_crosswalk
@@ -111,7 +111,8 @@ def _(spark, sf_dir):
 COVERAGE_SQL = (
     "SELECT count(*) AS total, count(r.county_fips) AS matched, "
     "count(*) - count(r.county_fips) AS unmatched, "
-    "round(100.0::DOUBLE * count(r.county_fips) / nullif(count(*), 0), 2) AS pct_matched FROM "
+    + percent_text("count(r.county_fips)", "count(*)")
+    + " AS pct_matched FROM "
 )
 
 
@@ -197,7 +198,7 @@ _COMPLETE = (SPEND, "pharmacies_per_10k_benes", "rucc_code")
 def completeness_sql(cols, source, by=""):
     parts = [
         f"count({c}) AS {c}_present, count(*) - count({c}) AS {c}_null, "
-        f"round(100.0::DOUBLE * (count(*) - count({c})) / nullif(count(*), 0), 2) AS {c}_pct_null"
+        f"{percent_text(f'count(*) - count({c})', 'count(*)')} AS {c}_pct_null"
         for c in cols
     ]
     lead = f"{by}, " if by else ""
@@ -342,7 +343,8 @@ def _(spark, sf_dir):
 @query(
     "w3_percent_of_total",
     "SELECT num_counties_in_zip, count(*) AS num_zips, "
-    "round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 2) AS pct_of_total "
+    + percent_text("count(*)", "(sum(count(*)) OVER ())")
+    + " AS pct_of_total "
     "FROM clean_crosswalk GROUP BY num_counties_in_zip",
     ("clean_crosswalk",),
 )
@@ -609,7 +611,8 @@ def _(spark, sf_dir):
 @query(
     "v6_value_distribution",
     "SELECT most_recent_status, count(*) AS num_pharmacies, "
-    "round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 2) AS pct FROM clean_pharmacies "
+    + percent_text("count(*)", "(sum(count(*)) OVER ())")
+    + " AS pct FROM clean_pharmacies "
     "GROUP BY most_recent_status",
     ("clean_pharmacies",),
 )
@@ -633,7 +636,9 @@ def _(spark, sf_dir):
 @query(
     "v7_match_rate",
     "SELECT CASE WHEN county_fips IS NULL THEN 'Unmatched' ELSE 'Matched' END AS fips_match, "
-    "count(*) AS num_pharmacies, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 2) AS pct "
+    "count(*) AS num_pharmacies, "
+    + percent_text("count(*)", "(sum(count(*)) OVER ())")
+    + " AS pct "
     "FROM clean_pharmacies GROUP BY 1",
     ("clean_pharmacies",),
 )

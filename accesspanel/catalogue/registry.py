@@ -63,3 +63,12 @@ def mean_text(c: str, scale: int, out: int) -> str:
 
 def doubles(*cols: str) -> str:
     return ", ".join(f"{c}::DOUBLE AS {c}" for c in cols)
+
+
+def percent_text(part: str, whole: str, places: int = 2) -> str:
+    """SQL for 100 * part / whole of two counts, rounded half up; DOUBLE."""
+    unit = 10**places
+    return (
+        f"CASE WHEN {whole} > 0 THEN ((200 * {unit} * ({part})::HUGEINT + {whole}) "
+        f"// (2 * {whole}))::DOUBLE / {unit} END"
+    )

@@ -3,6 +3,7 @@ inside whole-stage codegen; a bad value becomes NULL, never an error."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -13,11 +14,11 @@ SUPPRESSED = "*"
 BLANK = ""
 DEFAULT_MARKERS = (SUPPRESSED, BLANK)
 
-# Fixed patterns: what a tolerant cast accepts. Spark alone would also take
-# '1e3' as a decimal and 'NaN' or '1d' as a double.
-INTEGER_TEXT = r"^[+-]?[0-9]+$"
-DECIMAL_TEXT = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"
-FLOAT_TEXT = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# Fixed patterns: what a tolerant cast accepts between blanks. Spark alone would
+# also take '1e3' as a decimal and 'NaN' or '1d' as a double.
+INTEGER_TEXT = r"^ *[+-]?[0-9]+ *$"
+DECIMAL_TEXT = r"^ *[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+) *$"
+FLOAT_TEXT = r"^ *[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)? *$"
 
 # Fixed range: an unsigned one-byte integer, held in a SMALLINT.
 UNSIGNED_BYTE = (0, 255)
@@ -49,9 +50,14 @@ def _accepts(dtype: str) -> str:
 def safe_cast(c: Column | str, dtype: str, markers: Sequence[str] = DEFAULT_MARKERS) -> Column:
     """Tolerant numeric cast. ``dtype`` is a Spark type name, or ``ubyte`` for
     an integer in 0..255 (returned as SMALLINT)."""
-    text = null_markers(c, markers)
     target = "smallint" if dtype == "ubyte" else dtype
-    value = F.when(text.rlike(_accepts(target)), text.try_cast(target))
+    pattern = _accepts(target)
+    readable = col(c).rlike(pattern)
+    # A marker that is no number is already refused by the pattern.
+    numeric = [m for m in markers if re.match(pattern, m)]
+    if numeric:
+        readable = readable & ~F.trim(col(c)).isin(numeric)
+    value = F.when(readable, col(c).try_cast(target))
     return _within_ubyte(value) if dtype == "ubyte" else value
 
 
@@ -123,17 +129,20 @@ def lifecycle_status(
     start: Column | str,
     end: Column | str,
     restart: Column | str,
-    fmt: str = "M/d/yyyy",
+    end_date: Column | str | None = None,
+    restart_date: Column | str | None = None,
     active: str = "Active",
     closed: str = "Closed",
 ) -> Column:
     """Snapshot status from the RAW date texts. Presence is judged on the text,
-    order on the parsed dates, so an unreadable end date counts as closed."""
-    reopened = clean_text(restart).isNotNull() & (safe_date(restart, fmt) > safe_date(end, fmt))
+    order on the parsed dates, so an unreadable end date counts as closed. Pass
+    the parsed dates where they exist already, to parse them once."""
+    ended = safe_date(end) if end_date is None else col(end_date)
+    restarted = safe_date(restart) if restart_date is None else col(restart_date)
     return (
         F.when(clean_text(start).isNull(), F.lit(None).cast("string"))
         .when(clean_text(end).isNull(), F.lit(active))
-        .when(reopened, F.lit(active))
+        .when(restarted > ended, F.lit(active))
         .otherwise(F.lit(closed))
     )
 

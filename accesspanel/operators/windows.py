@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accesspanel.operators.joins import lookup_join
+from accesspanel.sources.tables import materialize
 
-# Ranges of the distributed rank: a multiple of the shuffle partitions, within
-# limits. Each boundary is picked from this many drawn rows.
-RANGES_PER_PARTITION = 4
-MIN_RANGES, MAX_RANGES = 64, 16_384
-DRAWN_PER_RANGE = 16
+# monotonically_increasing_id puts the partition above this many bits of row number.
+ROW_BITS = 33
 
 
 def _nulls_last(name: str, descending: bool) -> list[Column]:
@@ -69,47 +66,6 @@ def group_size(
     return sized.crossJoin(F.broadcast(blank)).withColumn(name, filled).drop("_blank")
 
 
-def _range_target(df: DataFrame) -> int:
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(RANGES_PER_PARTITION * partitions, MIN_RANGES), MAX_RANGES)
-
-
-def _boundaries(df: DataFrame, sort_key: Column, tie: Column, ranges: int) -> DataFrame:
-    """One row: a two-level array of about ``ranges`` sort keys that split the
-    frame evenly. Picked from the rows whose tie hashes lowest, which is a fair
-    draw, bounded in size, and the same draw at every evaluation."""
-    blocks = math.isqrt(ranges)
-    drawn = (
-        df.select(sort_key.alias("k"), F.xxhash64(tie).alias("h"))
-        .orderBy("h", "k")
-        .limit(ranges * DRAWN_PER_RANGE)
-    )
-    step = F.greatest(F.ceil(F.size("ks") / F.lit(ranges)), F.lit(1)).cast("int")
-    picks = F.filter("ks", lambda _, i: i % F.col("step") == F.col("step") - 1)
-    block = F.greatest(F.ceil(F.size("picks") / F.lit(blocks)), F.lit(1)).cast("int")
-    return (
-        drawn.agg(F.array_sort(F.collect_list("k")).alias("ks"))
-        .withColumn("step", step)
-        .withColumn("picks", F.array_distinct(picks))
-        .withColumn("block", block)
-        .select(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(blocks - 1)),
-                lambda b: F.slice("picks", b * F.col("block") + 1, F.col("block")),
-            ).alias("blocks")
-        )
-    )
-
-
-def _range_id(sort_key: Column, blocks: Column) -> Column:
-    """Rising number of the range a sort key falls in: first the block, then
-    the place inside it, so a key meets about two square roots of the
-    boundaries and not all of them."""
-    full = F.size(F.filter(blocks, lambda b: (F.size(b) > 0) & (F.element_at(b, -1) < sort_key)))
-    inside = F.coalesce(F.get(blocks, full), F.slice(blocks[0], 1, 0))
-    return full * F.lit(MAX_RANGES) + F.size(F.filter(inside, lambda b: b < sort_key))
-
-
 def global_rank(
     df: DataFrame,
     order: str,
@@ -120,36 +76,44 @@ def global_rank(
 ) -> DataFrame:
     """Row number 1..N by (order, tie), NULLs first, and N, per stratum.
 
-    The frame is cut into many ranges of the full sort key; rows are numbered
-    inside their range and shifted by the rows in earlier ranges.
-    Because the tie key takes part in the cut, one repeated ``order`` value is
-    still spread over many ranges. ``tie`` must be unique within a stratum. The
-    input is read three times, so give it a written table, not a long plan."""
-    sort_key = F.struct(*strata, order, tie)
-    bounds = _boundaries(df, sort_key, F.struct(*strata, tie), _range_target(df))
-    ranged = (
-        df.crossJoin(F.broadcast(bounds))
-        .withColumn("_range", _range_id(sort_key, F.col("blocks")))
-        .drop("blocks")
+    No task sees more than its range of the sort key: the rows are range
+    partitioned and sorted on (strata, order, tie), numbered inside their
+    partition and written once; the rows of the partitions before, one number
+    per partition, are then added. As ``tie`` takes part in the ranges, one
+    repeated ``order`` value still spreads over many. ``tie`` must be unique
+    within a stratum. The write makes the numbering the same for every reader,
+    whatever is recomputed later."""
+    keys = [
+        *[F.col(s).asc_nulls_first() for s in strata],
+        F.col(order).asc_nulls_first(),
+        F.col(tie).asc_nulls_first(),
+    ]
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slot = F.monotonically_increasing_id()
+    placed = materialize(
+        df.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).withColumn("_slot", slot),
+        "rank",
+    )
+    part = F.shiftright("_slot", ROW_BITS)
+    row = F.col("_slot").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    numbered = placed.withColumns({"_part": part, "_row": row})
+    # A stratum's rows are consecutive, so there are at most partitions + strata pieces.
+    pieces = numbered.groupBy(*strata, "_part").agg(
+        F.count("*").alias("_rows"), F.min("_row").alias("_first")
     )
-    sizes = ranged.groupBy(*strata, "_range").agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy(*strata).orderBy("_range")
     whole = Window.partitionBy(*strata)
-    offsets = sizes.select(
+    earlier = Window.partitionBy(*strata).orderBy("_part")
+    offsets = pieces.select(
         *[F.col(s).alias(f"_s_{s}") for s in strata],
-        F.col("_range").alias("_range_o"),
-        (F.sum("_rows").over(before) - F.col("_rows")).alias("_offset"),
+        F.col("_part").alias("_p"),
+        (F.sum("_rows").over(earlier) - F.col("_rows") - F.col("_first") + 1).alias("_offset"),
         F.sum("_rows").over(whole).alias(total),
     )
-    within = Window.partitionBy(*strata, "_range").orderBy(
-        F.col(order).asc_nulls_first(), F.col(tie).asc()
-    )
-    same = F.col("_range") == F.col("_range_o")
+    same = F.col("_part") == F.col("_p")
     for s in strata:
         same = same & F.col(s).eqNullSafe(F.col(f"_s_{s}"))
-    numbered = ranged.withColumn("_n", F.row_number().over(within))
     return numbered.join(offsets, same, "inner").select(
-        *df.columns, (F.col("_n") + F.col("_offset")).alias(name), total
+        *df.columns, (F.col("_row") + F.col("_offset")).alias(name), total
     )
 
 

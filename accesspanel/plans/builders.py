@@ -64,9 +64,7 @@ def raw_crosswalk(spark: SparkSession, path: str) -> DataFrame:
 def clean_medicare(raw: DataFrame, code_width: int = 5, level: str = "County") -> DataFrame:
     """County rows only, typed, with the two spend shares."""
     state, county = split_first("BENE_GEO_DESC")
-    total = safe_cast("TOT_MDCR_STDZD_PYMT_PC", "decimal(12,2)")
-    inpatient = safe_cast("IP_MDCR_STDZD_PYMT_PC", "decimal(12,2)")
-    outpatient = safe_cast("OP_MDCR_STDZD_PYMT_PC", "decimal(12,2)")
+    total = "tot_mdcr_stdzd_pymt_pc"
     typed = raw.filter(same_text("BENE_GEO_LVL", level)).select(
         F.col("BENE_GEO_LVL").alias("geo_lvl"),
         state.alias("state_abbrev"),
@@ -75,10 +73,12 @@ def clean_medicare(raw: DataFrame, code_width: int = 5, level: str = "County") -
         safe_cast("YEAR", "int").alias("year_id"),
         F.col("BENE_AGE_LVL").alias("bene_age_lvl"),
         *[safe_cast(src, t).alias(name) for src, (name, t) in schemas.MEASURES.items()],
-        safe_ratio(inpatient, total).alias("inpatient_spend_share"),
-        safe_ratio(outpatient, total).alias("outpatient_spend_share"),
     )
-    return conform(typed, schemas.clean_medicare(code_width))
+    shares = {
+        "inpatient_spend_share": safe_ratio("ip_mdcr_stdzd_pymt_pc", total),
+        "outpatient_spend_share": safe_ratio("op_mdcr_stdzd_pymt_pc", total),
+    }
+    return conform(typed.withColumns(shares), schemas.clean_medicare(code_width))
 
 
 def clean_codes(raw: DataFrame, code_width: int = 5) -> DataFrame:
@@ -127,21 +127,24 @@ def clean_pharmacies(
 ) -> DataFrame:
     """Every provider with typed dates, snapshot status and, where its postal
     code is known, its county."""
+    dates = ("enumeration_date", "last_update_date", "deactivation_date", "reactivation_date")
     placed = attach_area(raw, crosswalk, "postal_code", width=code_width, skewed=skewed)
-    typed = placed.select(
+    parsed = placed.withColumns({f"_{d}": safe_date(d) for d in dates})
+    typed = parsed.select(
         F.trim("npi").alias("npi"),
         safe_cast("entity_type_code", "ubyte").alias("entity_type_code"),
         *[F.trim(c).alias(c) for c in ("org_name", "city", "state")],
         "zip5",
         "county_fips",
-        safe_date("enumeration_date").alias("enumeration_date"),
-        safe_date("last_update_date").alias("last_update_date"),
-        safe_date("deactivation_date").alias("deactivation_date"),
-        safe_date("reactivation_date").alias("reactivation_date"),
+        *[F.col(f"_{d}").alias(d) for d in dates],
         clean_text("deactivation_reason_code").alias("deactivation_reason_code"),
-        lifecycle_status("enumeration_date", "deactivation_date", "reactivation_date").alias(
-            "most_recent_status"
-        ),
+        lifecycle_status(
+            "enumeration_date",
+            "deactivation_date",
+            "reactivation_date",
+            "_deactivation_date",
+            "_reactivation_date",
+        ).alias("most_recent_status"),
         clean_text("pharmacy_taxonomy_code").alias("pharmacy_taxonomy_code"),
         safe_cast("pharmacy_taxonomy_position", "ubyte").alias("pharmacy_taxonomy_pos"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -132,3 +133,14 @@ def staging_root(spark: SparkSession) -> str:
     created = tempfile.mkdtemp(prefix="accesspanel-")
     spark.conf.set("spark.checkpoint.dir", created)
     return created
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write the frame once to the shared folder and return it as read back:
+    everything after it sees the same rows in the same files, and a lost
+    executor does not replay what came before."""
+    spark = df.sparkSession
+    app = spark.sparkContext.applicationId
+    path = f"{staging_root(spark)}/accesspanel/{app}/steps/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
