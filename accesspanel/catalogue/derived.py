@@ -167,14 +167,23 @@ def raw_medicare(spark: SparkSession, sf_dir: str) -> DataFrame:
                 *sums,
             )
         )
+    # Integer quotients first, then their texts.
     q, n = F.col("q"), F.col("n")
+    quotients = {
+        "total": (F.col("total"), q),
+        "ip": (F.col("ip"), q),
+        "op": (F.col("op"), q),
+        "visits": (n * F.lit(100_000), q),
+        "back": (F.col("back") * F.lit(1_000_000), n),
+        **{p: (F.col(p) * F.lit(10_000), q) for p in parts},
+    }
+    levels = levels.withColumns(
+        {c: F.call_function("div", a, b) for c, (a, b) in quotients.items()}
+    )
     small, absent = q < 30, F.col("c_acctbal") < -900
 
-    def shown(value: Column) -> Column:
-        return F.when(small, " * ").when(absent, "").otherwise(value)
-
-    def per_unit(c: str, digits: int, factor: int = 1) -> Column:
-        return fixed_text(scaled_quotient(F.col(c), factor, q), digits)
+    def shown(c: str, digits: int) -> Column:
+        return F.when(small, " * ").when(absent, "").otherwise(fixed_text(F.col(c), digits))
 
     return levels.select(
         F.col("order_year").cast("string").alias("YEAR"),
@@ -184,12 +193,12 @@ def raw_medicare(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("All").alias("BENE_AGE_LVL"),
         F.when(q < 10, "*").otherwise(q.cast("string")).alias("BENES_FFS_CNT"),
         (q + n).cast("string").alias("BENES_TOTAL_CNT"),
-        shown(per_unit("total", 2)).alias("TOT_MDCR_STDZD_PYMT_PC"),
-        shown(per_unit("ip", 2)).alias("IP_MDCR_STDZD_PYMT_PC"),
-        shown(per_unit("op", 2)).alias("OP_MDCR_STDZD_PYMT_PC"),
-        shown(per_unit("n", 2, 100_000)).alias("ER_VISITS_PER_1000_BENES"),
-        fixed_text(scaled_quotient(F.col("back"), 1_000_000, n), 4).alias("ACUTE_HOSP_READMSN_PCT"),
-        *[shown(per_unit(p, 4, 1_000_000)).alias(p) for p in parts],
+        shown("total", 2).alias("TOT_MDCR_STDZD_PYMT_PC"),
+        shown("ip", 2).alias("IP_MDCR_STDZD_PYMT_PC"),
+        shown("op", 2).alias("OP_MDCR_STDZD_PYMT_PC"),
+        shown("visits", 2).alias("ER_VISITS_PER_1000_BENES"),
+        fixed_text(F.col("back"), 4).alias("ACUTE_HOSP_READMSN_PCT"),
+        *[shown(p, 4).alias(p) for p in parts],
     )
 
 

@@ -18,6 +18,7 @@ DEFAULT_MARKERS = (SUPPRESSED, BLANK)
 # also take '1e3' as a decimal and 'NaN' or '1d' as a double.
 INTEGER_TEXT = r"^ *[+-]?[0-9]+ *$"
 DECIMAL_TEXT = r"^ *[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+) *$"
+UNSIGNED_BYTE_TEXT = r"^ *[+]?0*([0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5]) *$"
 FLOAT_TEXT = r"^ *[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)? *$"
 
 # Fixed range: an unsigned one-byte integer, held in a SMALLINT.
@@ -42,6 +43,8 @@ def clean_text(c: Column | str) -> Column:
 def _accepts(dtype: str) -> str:
     if dtype.startswith("decimal"):
         return DECIMAL_TEXT
+    if dtype == "ubyte":
+        return UNSIGNED_BYTE_TEXT
     if dtype in ("double", "float"):
         return FLOAT_TEXT
     return INTEGER_TEXT
@@ -51,14 +54,13 @@ def safe_cast(c: Column | str, dtype: str, markers: Sequence[str] = DEFAULT_MARK
     """Tolerant numeric cast. ``dtype`` is a Spark type name, or ``ubyte`` for
     an integer in 0..255 (returned as SMALLINT)."""
     target = "smallint" if dtype == "ubyte" else dtype
-    pattern = _accepts(target)
+    pattern = _accepts(dtype)
     readable = col(c).rlike(pattern)
     # A marker that is no number is already refused by the pattern.
     numeric = [m for m in markers if re.match(pattern, m)]
     if numeric:
         readable = readable & ~F.trim(col(c)).isin(numeric)
-    value = F.when(readable, col(c).try_cast(target))
-    return _within_ubyte(value) if dtype == "ubyte" else value
+    return F.when(readable, col(c).try_cast(target))
 
 
 def safe_int_via_decimal(
@@ -66,14 +68,10 @@ def safe_int_via_decimal(
 ) -> Column:
     """Integer from text such as ``'1.0'``: read as a decimal, drop the fraction."""
     step = safe_cast(c, f"decimal({precision},{scale})")
-    target = "smallint" if dtype == "ubyte" else dtype
-    value = step.try_cast(target)
-    return _within_ubyte(value) if dtype == "ubyte" else value
-
-
-def _within_ubyte(value: Column) -> Column:
+    if dtype != "ubyte":
+        return step.try_cast(dtype)
     low, high = UNSIGNED_BYTE
-    return F.when(value.between(low, high), value)
+    return F.when((step > low - 1) & (step < high + 1), step.try_cast("smallint"))
 
 
 def safe_date(c: Column | str, fmt: str = "M/d/yyyy") -> Column:

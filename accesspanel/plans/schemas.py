@@ -1,5 +1,6 @@
 """Contracts of the layered tables. Names, types and widths are fixed values:
-they must equal the published table layouts."""
+they must equal the published table layouts. Labels made by this package itself
+carry no width."""
 
 from __future__ import annotations
 
@@ -112,7 +113,7 @@ def clean_codes(code_width: int = 5) -> Contract:
             Field("population_2020", "int"),
             Field("rucc_code", "smallint"),
             Field("rucc_description", width=500),
-            Field("rural_urban_group", width=10),
+            Field("rural_urban_group"),
         ),
         ("county_fips",),
     )
@@ -152,7 +153,7 @@ def clean_pharmacies(code_width: int = 5) -> Contract:
             Field("deactivation_date", "date"),
             Field("reactivation_date", "date"),
             Field("deactivation_reason_code", width=10),
-            Field("most_recent_status", width=10),
+            Field("most_recent_status"),
             Field("pharmacy_taxonomy_code", width=20),
             Field("pharmacy_taxonomy_pos", "smallint"),
         ),
@@ -203,7 +204,7 @@ def curated_fact(first: int = 2019, last: int = 2023, code_width: int = 5) -> Co
             Field("state_abbrev", width=2),
             Field("county_desc", width=100),
             Field("rucc_code", "smallint"),
-            Field("rural_urban_group", width=10),
+            Field("rural_urban_group"),
             Field("rucc_description", width=500),
             *_panel_fields(first, last),
             measures["benes_ffs_cnt"],

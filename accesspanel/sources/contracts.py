@@ -41,27 +41,36 @@ def text_contract(name: str, columns: dict[str, int | None] | list[str]) -> Cont
     return Contract(name, tuple(Field(n, "string", w) for n, w in widths.items()))
 
 
-def violation(df: DataFrame, contract: Contract) -> Column:
-    """First broken rule of a row as text, NULL for a good row. Judged on the
-    row before the cast, so a value the cast would lose is also reported."""
+def _rules(df: DataFrame, contract: Contract) -> list[tuple[str, Column]]:
+    """(message, condition that breaks the rule), judged on the row before the
+    cast, so a value the cast would lose counts too."""
     types = dict(df.dtypes)
-    rules: list[Column] = []
+    rules: list[tuple[str, Column]] = []
     for f in contract.fields:
         c = F.col(f.name)
         if f.required:
-            rules.append(F.when(c.isNull(), F.lit(f"{f.name}: required value missing")))
+            rules.append((f"{f.name}: required value missing", c.isNull()))
         if f.width is not None:
-            rules.append(
-                F.when(text_length(c.cast("string")) > f.width, F.lit(f"{f.name}: longer than {f.width}"))
-            )
+            text = c if types[f.name] == "string" else c.cast("string")
+            rules.append((f"{f.name}: longer than {f.width}", text_length(text) > f.width))
         if f.dtype not in ("string", types[f.name]):
-            rules.append(
-                F.when(
-                    c.isNotNull() & c.try_cast(f.dtype).isNull(),
-                    F.lit(f"{f.name}: does not fit {f.dtype}"),
-                )
-            )
-    return F.coalesce(*rules) if rules else F.lit(None).cast("string")
+            lost = c.isNotNull() & c.try_cast(f.dtype).isNull()
+            rules.append((f"{f.name}: does not fit {f.dtype}", lost))
+    return rules
+
+
+def violation(df: DataFrame, contract: Contract) -> Column:
+    """First broken rule of a row as text, NULL for a good row."""
+    named = [F.when(broken, F.lit(message)) for message, broken in _rules(df, contract)]
+    return F.coalesce(*named) if named else F.lit(None).cast("string")
+
+
+def _is_good(df: DataFrame, contract: Contract) -> Column:
+    """True for a row that breaks no rule; less code than naming the rule."""
+    good = F.lit(True)
+    for _, broken in _rules(df, contract):
+        good = good & ~F.coalesce(broken, F.lit(False))
+    return good
 
 
 def _shaped(df: DataFrame, contract: Contract) -> DataFrame:
@@ -71,23 +80,22 @@ def _shaped(df: DataFrame, contract: Contract) -> DataFrame:
 def conform(df: DataFrame, contract: Contract, on_error: str = "fail") -> DataFrame:
     """Project to the contract's columns and types.
 
-    ``fail``: the first bad row raises when the frame is executed.
+    ``fail``: the first bad row raises, with its key, when the frame is executed.
     ``drop``: only the good rows; pair with :func:`quarantine` to keep the rest.
     """
     missing = [n for n in contract.columns if n not in df.columns]
     if missing:
         raise ValueError(f"{contract.name}: columns missing from input: {', '.join(missing)}")
+    good = _is_good(df, contract)
     if on_error == "drop":
-        return _shaped(df.filter(violation(df, contract).isNull()), contract)
+        return _shaped(df.filter(good), contract)
     if on_error != "fail":
         raise ValueError(f"unknown on_error {on_error!r}")
-    checked = df.withColumn("_broken", violation(df, contract))
+    keys = [F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in contract.keys]
+    message = F.concat_ws(" ", F.lit(f"{contract.name}: row breaks the contract"), *keys)
     # A filter, not a column: column pruning can never drop the check.
-    message = F.concat(F.lit(f"{contract.name}: "), F.col("_broken"))
-    guard = F.when(F.col("_broken").isNull(), F.lit(True)).otherwise(
-        F.raise_error(message).cast("boolean")
-    )
-    return _shaped(checked.filter(guard), contract)
+    guard = F.when(good, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return _shaped(df.filter(guard), contract)
 
 
 def quarantine(df: DataFrame, contract: Contract) -> DataFrame:
