@@ -66,6 +66,21 @@ def group_size(
     return sized.crossJoin(F.broadcast(blank)).withColumn(name, filled).drop("_blank")
 
 
+def range_numbered(
+    df: DataFrame, order: str, tie: str, strata: Sequence[str] = ()
+) -> DataFrame:
+    """The frame range partitioned and sorted on (strata, order, tie), NULLs
+    first, written once, with ``_part`` (rises with the sort key) and ``_row``
+    (0, 1, ... inside the part)."""
+    keys = [F.col(c).asc_nulls_first() for c in (*strata, order, tie)]
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
+    written = materialize(placed.withColumn("_slot", F.monotonically_increasing_id()), "rank")
+    part = F.shiftright("_slot", ROW_BITS)
+    row = F.col("_slot").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    return written.withColumns({"_part": part, "_row": row}).drop("_slot")
+
+
 def global_rank(
     df: DataFrame,
     order: str,
@@ -83,20 +98,7 @@ def global_rank(
     repeated ``order`` value still spreads over many. ``tie`` must be unique
     within a stratum. The write makes the numbering the same for every reader,
     whatever is recomputed later."""
-    keys = [
-        *[F.col(s).asc_nulls_first() for s in strata],
-        F.col(order).asc_nulls_first(),
-        F.col(tie).asc_nulls_first(),
-    ]
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slot = F.monotonically_increasing_id()
-    placed = materialize(
-        df.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).withColumn("_slot", slot),
-        "rank",
-    )
-    part = F.shiftright("_slot", ROW_BITS)
-    row = F.col("_slot").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    numbered = placed.withColumns({"_part": part, "_row": row})
+    numbered = range_numbered(df, order, tie, strata)
     # A stratum's rows are consecutive, so there are at most partitions + strata pieces.
     pieces = numbered.groupBy(*strata, "_part").agg(
         F.count("*").alias("_rows"), F.min("_row").alias("_first")
