@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -26,17 +27,32 @@ def frequent_keys(df: DataFrame, keys: Sequence[str], k: int = HOT_KEYS) -> list
     return [item["item"] for item in sketch.first()["top"] or [] if item["item"] is not None]
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's own size estimate puts the frame below its broadcast limit."""
+    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= _bytes(limit)
+
+
+def _bytes(text: str) -> int:
+    """Bytes of a Spark size setting such as 10485760, 10485760b or 10MB."""
+    number, unit = re.fullmatch(r"(-?[0-9]+)([a-z]*)", text.strip().lower()).groups()
+    return int(number) * 1024 ** "bkmgtp".index((unit or "b")[0])
+
+
 def lookup_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str] | str, skewed: bool = False
+    left: DataFrame, right: DataFrame, on: Sequence[str] | str, skewed: bool | None = None
 ) -> DataFrame:
     """Left join to a lookup that has at most one row per key.
 
-    Unhinted: a small lookup is broadcast by its measured size, a large one is
-    shuffled. ``skewed=True`` is for a large lookup and a left side where a few
-    keys (a blank code, say) hold much of the rows: rows of the frequent keys
-    never shuffle, they meet the at most ``HOT_KEYS`` lookup rows they need by
-    broadcast; all other rows take the ordinary shuffled join."""
+    A lookup small enough to be broadcast is simply joined. Beside a larger one
+    a few keys (a blank code, say) may hold much of the left rows, so those are
+    split off: rows of the frequent keys never shuffle, they meet the at most
+    ``HOT_KEYS`` lookup rows they need by broadcast; all other rows take the
+    ordinary shuffled join. ``skewed`` forces the choice."""
     keys = [on] if isinstance(on, str) else list(on)
+    if skewed is None:
+        skewed = not fits_broadcast(right)
     if not skewed:
         return left.join(right, keys, "left")
     is_hot = F.xxhash64(*keys).isin(frequent_keys(left, keys))
@@ -54,7 +70,7 @@ def attach_area(
     area: str = "county_fips",
     crosswalk_zip: str = "zip",
     width: int = 5,
-    skewed: bool = False,
+    skewed: bool | None = None,
 ) -> DataFrame:
     """Give each row the area of its normalised postal code; rows without a
     match keep a NULL area."""

@@ -52,18 +52,27 @@ def dominant_row(
     return best.select(*columns, *([size] if size else []))
 
 
-def group_size(
-    df: DataFrame, key: str, name: str = "group_size", skewed: bool = False
+def with_key_stats(
+    df: DataFrame, key: str, stats: Sequence[Column], skewed: bool | None = None
 ) -> DataFrame:
-    """Every row with the row count of its key. Counts combine map-side and are
-    looked up, so rows of one key need not meet in one task."""
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(name))
-    sized = lookup_join(df, counts, key, skewed)
+    """Every row with aggregates of its key's rows (NULL is a key too). The
+    aggregates combine map-side and are looked up, so the rows of one key need
+    not meet in one task, as they would in a window."""
+    per_key = df.groupBy(key).agg(*stats)
+    present = F.col(key).isNotNull()
     if not df.schema[key].nullable:
-        return sized
-    blank = df.filter(F.col(key).isNull()).agg(F.count("*").alias("_blank"))
-    filled = F.when(F.col(key).isNull(), F.col("_blank")).otherwise(F.col(name))
-    return sized.crossJoin(F.broadcast(blank)).withColumn(name, filled).drop("_blank")
+        return lookup_join(df, per_key, key, skewed)
+    known = lookup_join(df.filter(present), per_key.filter(present), key, skewed)
+    of_null = per_key.filter(~present).drop(key)
+    return known.unionByName(df.filter(~present).crossJoin(F.broadcast(of_null)))
+
+
+def group_size(
+    df: DataFrame, key: str, name: str = "group_size", skewed: bool | None = None
+) -> DataFrame:
+    """Every row with the row count of its key."""
+    sized = with_key_stats(df, key, [F.count("*").alias(name)], skewed)
+    return sized.select(*df.columns, name)
 
 
 def range_numbered(
@@ -146,16 +155,29 @@ def ntile_bucket(
 
 
 def first_last_delta(
-    df: DataFrame, key: str, order: str, cols: Sequence[str], suffix: str = "_change"
+    df: DataFrame,
+    key: str,
+    order: str,
+    cols: Sequence[str],
+    suffix: str = "_change",
+    few_rows_per_key: bool = False,
+    skewed: bool | None = None,
 ) -> DataFrame:
-    """Every row with last-minus-first of each column over its key, by position:
-    a NULL at either end gives NULL. For keys of few rows (one per period)."""
-    w = (
-        Window.partitionBy(key)
-        .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    )
-    return df.select(
-        "*",
-        *[(F.last(c).over(w) - F.first(c).over(w)).alias(f"{c}{suffix}") for c in cols],
+    """Every row with last-minus-first of each column over its key, by position
+    in ``order`` (unique within the key): a NULL at either end gives NULL.
+    ``few_rows_per_key`` says that a key cannot have more rows than, say, there
+    are years; then a window, which reads the input once, is safe."""
+    if few_rows_per_key:
+        w = (
+            Window.partitionBy(key)
+            .orderBy(order)
+            .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        )
+        deltas = [(F.last(c).over(w) - F.first(c).over(w)).alias(f"{c}{suffix}") for c in cols]
+        return df.select("*", *deltas)
+    point = F.struct(order, *[F.col(c) for c in cols])
+    ends = with_key_stats(
+        df, key, [F.min(point).alias("_first"), F.max(point).alias("_last")], skewed
     )
+    changes = [(F.col("_last")[c] - F.col("_first")[c]).alias(f"{c}{suffix}") for c in cols]
+    return ends.select(*df.columns, *changes)

@@ -123,7 +123,7 @@ def clean_crosswalk(raw: DataFrame, code_width: int = 5) -> DataFrame:
 
 
 def clean_pharmacies(
-    raw: DataFrame, crosswalk: DataFrame, code_width: int = 5, skewed: bool = False
+    raw: DataFrame, crosswalk: DataFrame, code_width: int = 5, skewed: bool | None = None
 ) -> DataFrame:
     """Every provider with typed dates, snapshot status and, where its postal
     code is known, its county."""
@@ -214,7 +214,7 @@ def build_tables(
     inputs: Mapping[str, str],
     root: str,
     years: Sequence[int] = YEARS,
-    skewed: bool = False,
+    skewed: bool | None = None,
 ) -> dict[str, DataFrame]:
     """Raw, clean and curated tables from the four source files (keys
     pharmacies, medicare, codes, crosswalk). Each table is written before the

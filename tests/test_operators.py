@@ -105,10 +105,11 @@ def test_group_size_counts_null_keys_too(spark, skewed):
     assert rows(out.select("v", "group_size")) == [(1, 2), (2, 2), (3, 2), (4, 2), (5, 1)]
 
 
-def test_delta_is_by_position_and_keeps_nulls(spark):
+@pytest.mark.parametrize("few", [True, False])
+def test_delta_is_by_position_and_keeps_nulls(spark, few):
     data = [("a", 1, 10), ("a", 2, None), ("a", 3, 4), ("b", 1, None), ("b", 2, 5)]
     df = spark.createDataFrame(data, "k string, y int, v int")
-    out = w.first_last_delta(df, "k", "y", ["v"])
+    out = w.first_last_delta(df, "k", "y", ["v"], few_rows_per_key=few)
     assert rows(out.select("k", "y", "v_change")) == [
         ("a", 1, -6), ("a", 2, -6), ("a", 3, -6), ("b", 1, None), ("b", 2, None),
     ]
@@ -252,3 +253,22 @@ def test_tie_back_and_dominant_check(spark):
     assert q.verify_dominant(raw, good, "k", ["x"], "t").count() == 0
     bad = raw.filter("t = '1'")
     assert rows(q.verify_dominant(raw, bad, "k", ["x"], "t")) == [("z", "2", "1")]
+
+
+def test_lookup_chooses_by_the_size_of_the_lookup(spark):
+    left, right = skewed_sides(spark)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    assert j._bytes("10485760b") == j._bytes("10MB") == 10485760 and j._bytes("-1") == -1
+    assert j.fits_broadcast(right.filter("area < 5").limit(3))
+    assert "xxhash64" not in plan_of(j.lookup_join(left, right.limit(3), "k"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "xxhash64" in plan_of(j.lookup_join(left, right, "k"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_delta_of_null_key(spark):
+    df = spark.createDataFrame([(None, 1, 10), (None, 2, 3), ("b", 1, 5)], "k string, y int, v int")
+    out = w.first_last_delta(df, "k", "y", ["v"])
+    assert rows(out.select("k", "y", "v_change")) == [(None, 1, -7), (None, 2, -7), ("b", 1, 0)]
