@@ -75,7 +75,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     raw = staged(spark, sf_dir, CODES)
     root = scratch(spark, "layers")
-    tables.write_layer(raw.limit(1), root, "raw", "rewritten")
+    tables.write_layer(raw, root, "raw", "rewritten")
     again = tables.write_layer(raw, root, "raw", "rewritten", cluster_by=["fips"])
     return distribution(again, ["state"])
 

@@ -7,6 +7,7 @@ Every row of every given table takes part."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -261,7 +262,20 @@ def raw_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- staged layers -----------------------------------------------------------
 
-_written: dict[tuple[str, str, str], str] = {}
+SOURCES = ("region", "nation", "customer", "orders", "lineitem")
+
+_written: dict[tuple, str] = {}
+
+
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Size and time of the given files, so that changed ones are read anew."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    out = []
+    for name in SOURCES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append((status.getLen(), status.getModificationTime()))
+    return tuple(out)
 
 
 def _build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -303,14 +317,13 @@ def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def staged(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the layered run, written once per application and read back."""
     app = spark.sparkContext.applicationId
-    key = (app, sf_dir, name)
+    key = (app, sf_dir, _stamp(spark, sf_dir), name)
     if key in _written:
         try:
             return spark.read.parquet(_written[key])
         except AnalysisException:  # the shared folder was cleared
             del _written[key]
-    label = "".join(ch if ch.isalnum() else "_" for ch in sf_dir.strip("/"))
-    root = f"{staging_root(spark)}/accesspanel/{app}/{label}"
+    root = f"{staging_root(spark)}/accesspanel/{app}/tables/{uuid.uuid4().hex}"
     layer, short = name.split(".")
     written = write_layer(_build(spark, sf_dir, name), root, layer, short)
     _written[key] = layer_path(root, layer, short)
