@@ -118,88 +118,102 @@ def raw_pharmacies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_medicare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """County, State and National rows of every year."""
-    owner = customers(spark, sf_dir).select(
-        F.col("c_custkey").alias("o_custkey"), "state", "c_mktsegment", "c_acctbal"
-    )
-    flag = F.col("l_returnflag")
-    qty, cents = F.col("qty"), F.col("cents")
-    parts = {}
-    for i, condition in enumerate(schemas.PREVENTABLE, start=1):
-        for band, letter in zip(schemas.PREVENTABLE[condition], ("A", "N", "R"), strict=True):
-            hit = (F.col("l_linenumber") == i) & (flag == letter)
-            parts[f"{condition}_AGE_{band}"] = F.sum(F.when(hit, qty).otherwise(0))
-    county = (
+BAND_LETTERS = ("A", "N", "R")
+
+
+def county_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line sums of every customer and order year."""
+    bands = [
+        F.expr(
+            f"sum(CASE WHEN l_linenumber = {i} AND l_returnflag = '{letter}' THEN qty ELSE 0 END)"
+        ).alias(f"{condition}_AGE_{band}")
+        for i, (condition, names) in enumerate(schemas.PREVENTABLE.items(), start=1)
+        for band, letter in zip(names, BAND_LETTERS, strict=True)
+    ]
+    return (
         lines(spark, sf_dir)
         .groupBy("o_custkey", "order_year")
         .agg(
             F.count("*").alias("n"),
             F.sum("qty").alias("q"),
             F.sum("cents").alias("total"),
-            F.sum(F.when(flag == "A", cents).otherwise(0)).alias("ip"),
-            F.sum(F.when(flag == "R", cents).otherwise(0)).alias("op"),
-            F.sum(F.when(flag == "R", 1).otherwise(0)).alias("back"),
-            *[c.alias(name) for name, c in parts.items()],
+            F.expr("sum(CASE WHEN l_returnflag = 'A' THEN cents ELSE 0 END)").alias("ip"),
+            F.expr("sum(CASE WHEN l_returnflag = 'R' THEN cents ELSE 0 END)").alias("op"),
+            F.expr("sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)").alias("back"),
+            *bands,
         )
-        .join(owner, ["o_custkey"], "left")
     )
-    sums = ["n", "q", "total", "ip", "op", "back", *parts]
-    levels = county.select(
-        "order_year",
-        F.lit("County").alias("level"),
-        F.concat_ws("-", "state", "c_mktsegment", F.col("o_custkey").cast("string")).alias("name"),
-        F.concat(F.lit(" "), F.col("o_custkey").cast("string")).alias("code"),
-        "c_acctbal",
-        *sums,
+
+
+def raw_medicare(
+    spark: SparkSession, sf_dir: str, sums: DataFrame | None = None
+) -> DataFrame:
+    """County, State and National rows of every year."""
+    sums = county_sums(spark, sf_dir) if sums is None else sums
+    owner = customers(spark, sf_dir).select(
+        F.col("c_custkey").alias("o_custkey"), "state", "c_mktsegment", "c_acctbal"
     )
-    for level, keys, name in (
-        ("State", ["order_year", "state"], F.col("state")),
-        ("National", ["order_year"], F.lit("National")),
-    ):
-        grouped = county.groupBy(*keys).agg(*[F.sum(s).alias(s) for s in sums])
-        levels = levels.unionByName(
-            grouped.select(
-                "order_year",
-                F.lit(level).alias("level"),
-                name.alias("name"),
-                F.lit("").alias("code"),
-                F.lit(0.0).alias("c_acctbal"),
-                *sums,
-            )
+    parts = list(schemas.PREVENTABLE_COLUMNS)
+    added = ["n", "q", "total", "ip", "op", "back", *parts]
+    owned = sums.join(owner, ["o_custkey"], "left")
+
+    def level(df: DataFrame, label: str, name: str, code: str, balance: str) -> DataFrame:
+        return df.selectExpr(
+            "order_year",
+            f"'{label}' AS level",
+            f"{name} AS name",
+            f"{code} AS code",
+            f"{balance} AS c_acctbal",
+            *added,
         )
+
+    totals = [F.sum(c).alias(c) for c in added]
+    of_state = owned.groupBy("order_year", "state").agg(*totals)
+    of_nation = sums.groupBy("order_year").agg(*totals)
+    name = "concat_ws('-', state, c_mktsegment, cast(o_custkey AS string))"
+    levels = (
+        level(owned, "County", name, "concat(' ', cast(o_custkey AS string))", "c_acctbal")
+        .unionByName(level(of_state, "State", "state", "''", "0.0D"))
+        .unionByName(level(of_nation, "National", "'National'", "''", "0.0D"))
+    )
     # Integer quotients first, then their texts.
-    q, n = F.col("q"), F.col("n")
     quotients = {
-        "total": (F.col("total"), q),
-        "ip": (F.col("ip"), q),
-        "op": (F.col("op"), q),
-        "visits": (n * F.lit(100_000), q),
-        "back": (F.col("back") * F.lit(1_000_000), n),
-        **{p: (F.col(p) * F.lit(10_000), q) for p in parts},
+        "total": "total div q",
+        "ip": "ip div q",
+        "op": "op div q",
+        "visits": "n * 100000 div q",
+        "back": "back * 1000000 div n",
+        **{p: f"{p} * 10000 div q" for p in parts},
     }
-    levels = levels.withColumns(
-        {c: F.call_function("div", a, b) for c, (a, b) in quotients.items()}
-    )
-    small, absent = q < 30, F.col("c_acctbal") < -900
-
-    def shown(c: str, digits: int) -> Column:
-        return F.when(small, " * ").when(absent, "").otherwise(fixed_text(F.col(c), digits))
-
-    return levels.select(
-        F.col("order_year").cast("string").alias("YEAR"),
-        F.col("level").alias("BENE_GEO_LVL"),
-        F.col("name").alias("BENE_GEO_DESC"),
-        F.col("code").alias("BENE_GEO_CD"),
-        F.lit("All").alias("BENE_AGE_LVL"),
-        F.when(q < 10, "*").otherwise(q.cast("string")).alias("BENES_FFS_CNT"),
-        (q + n).cast("string").alias("BENES_TOTAL_CNT"),
-        shown("total", 2).alias("TOT_MDCR_STDZD_PYMT_PC"),
-        shown("ip", 2).alias("IP_MDCR_STDZD_PYMT_PC"),
-        shown("op", 2).alias("OP_MDCR_STDZD_PYMT_PC"),
-        shown("visits", 2).alias("ER_VISITS_PER_1000_BENES"),
-        fixed_text(F.col("back"), 4).alias("ACUTE_HOSP_READMSN_PCT"),
-        *[shown(p, 4).alias(p) for p in parts],
+    whole = levels.withColumns({c: F.expr(e) for c, e in quotients.items()})
+
+    def text(c: str, digits: int) -> str:
+        unit = 10**digits
+        return (
+            f"concat(cast({c} div {unit} AS string), '.', "
+            f"lpad(cast({c} % {unit} AS string), {digits}, '0'))"
+        )
+
+    def shown(c: str, digits: int, name: str) -> str:
+        return (
+            f"CASE WHEN q < 30 THEN ' * ' WHEN c_acctbal < -900 THEN '' "
+            f"ELSE {text(c, digits)} END AS {name}"
+        )
+
+    return whole.selectExpr(
+        "cast(order_year AS string) AS YEAR",
+        "level AS BENE_GEO_LVL",
+        "name AS BENE_GEO_DESC",
+        "code AS BENE_GEO_CD",
+        "'All' AS BENE_AGE_LVL",
+        "CASE WHEN q < 10 THEN '*' ELSE cast(q AS string) END AS BENES_FFS_CNT",
+        "cast(q + n AS string) AS BENES_TOTAL_CNT",
+        shown("total", 2, "TOT_MDCR_STDZD_PYMT_PC"),
+        shown("ip", 2, "IP_MDCR_STDZD_PYMT_PC"),
+        shown("op", 2, "OP_MDCR_STDZD_PYMT_PC"),
+        shown("visits", 2, "ER_VISITS_PER_1000_BENES"),
+        f"{text('back', 4)} AS ACUTE_HOSP_READMSN_PCT",
+        *[shown(p, 4, p) for p in parts],
     )
 
 
@@ -284,7 +298,8 @@ def _build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
     steps: dict[str, Callable[[], DataFrame]] = {
         "raw.pharmacies": lambda: raw_pharmacies(spark, sf_dir),
-        "raw.medicare_spending": lambda: raw_medicare(spark, sf_dir),
+        "raw.county_sums": lambda: county_sums(spark, sf_dir),
+        "raw.medicare_spending": lambda: raw_medicare(spark, sf_dir, need("raw.county_sums")),
         "raw.rucc_codes": lambda: raw_codes(spark, sf_dir),
         "raw.zip_to_fips": lambda: raw_crosswalk(spark, sf_dir),
         "clean.medicare_spending": lambda: builders.clean_medicare(
