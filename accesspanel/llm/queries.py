@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from accesspanel.llm import golay_simhash
+from accesspanel.llm import golay_simhash, lm_scoring, quality_rules
 from accesspanel.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,7 +16,17 @@ def op3_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay_simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(documents(spark, sf_dir))
+
+
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op3_golay_simhash": op3_golay_simhash,
+    "op7_perplexity_rules": op7_perplexity_rules,
+    "op9_kneser_ney": op9_kneser_ney,
 }
 ORACLES: dict[str, str] = {}
