@@ -224,7 +224,9 @@ def near_edges(fps: DataFrame) -> DataFrame:
     One shuffle deals the keys. A key with over GROUP_ROWS members is cut into
     blocks, and each pair of blocks is a group of its own, so no task holds
     more; a group yields at most one edge per member, never all its pairs."""
-    keyed = fps.select("fp").mapInArrow(_keyed, "key bigint, fp bigint")
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # by number: each row becomes some 180, which the size of the rows does not show
+    keyed = fps.select("fp").repartition(parts, "fp").mapInArrow(_keyed, "key bigint, fp bigint")
     found = materialize(
         keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(True), EDGES), "golay"
     )

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from accesspanel.llm import golay_simhash, lm_scoring, quality_rules
+from accesspanel.llm import bpe, golay_simhash, lm_scoring, quality_rules
 from accesspanel.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,10 @@ def op3_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay_simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op6_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.tokenize(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(documents(spark, sf_dir))
 
@@ -26,6 +31,7 @@ def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_golay_simhash": op3_golay_simhash,
+    "op6_backtracking_bpe": op6_backtracking_bpe,
     "op7_perplexity_rules": op7_perplexity_rules,
     "op9_kneser_ney": op9_kneser_ney,
 }
