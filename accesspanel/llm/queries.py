@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from accesspanel.llm import bpe, golay_simhash, lm_scoring, quality_rules
+from accesspanel.llm import bpe, golay_simhash, language_id, lm_scoring, quality_rules
 from accesspanel.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(documents(spark, sf_dir))
+
+
 def op3_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay_simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -30,6 +34,7 @@ def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_cross_parsing": op1_cross_parsing,
     "op3_golay_simhash": op3_golay_simhash,
     "op6_backtracking_bpe": op6_backtracking_bpe,
     "op7_perplexity_rules": op7_perplexity_rules,
