@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from accesspanel.llm import bpe, golay_simhash, language_id, lm_scoring, quality_rules
+from accesspanel.llm import bpe, golay_simhash, language_id, lm_scoring, quality_cnn, quality_rules
 from accesspanel.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op7_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(documents(spark, sf_dir))
 
 
+def op8_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(documents(spark, sf_dir))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Query] = {
     "op3_golay_simhash": op3_golay_simhash,
     "op6_backtracking_bpe": op6_backtracking_bpe,
     "op7_perplexity_rules": op7_perplexity_rules,
+    "op8_byte_cnn": op8_byte_cnn,
     "op9_kneser_ney": op9_kneser_ney,
 }
 ORACLES: dict[str, str] = {}
