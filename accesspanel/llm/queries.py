@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from accesspanel.llm import bpe, golay_simhash, language_id, lm_scoring, quality_cnn, quality_rules
+from accesspanel.llm import bpe, golay_simhash, language_id, lm_scoring, quality_cnn, quality_rules, sharding
 from accesspanel.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op3_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay_simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op5_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(documents(spark, sf_dir))
+
+
 def op6_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -40,6 +44,7 @@ def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_cross_parsing": op1_cross_parsing,
     "op3_golay_simhash": op3_golay_simhash,
+    "op5_best_fit_shards": op5_best_fit_shards,
     "op6_backtracking_bpe": op6_backtracking_bpe,
     "op7_perplexity_rules": op7_perplexity_rules,
     "op8_byte_cnn": op8_byte_cnn,
