@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from accesspanel.llm import bpe, golay_simhash, language_id, lm_scoring, quality_cnn, quality_rules, sharding
+from accesspanel.llm import bpe, golay_simhash, language_id, line_templates, lm_scoring, quality_cnn, quality_rules, sharding
 from accesspanel.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,11 @@ def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(documents(spark, sf_dir))
 
 
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return line_templates.drop_recurring(docs)
+
+
 QUERIES: dict[str, Query] = {
     "op1_cross_parsing": op1_cross_parsing,
     "op3_golay_simhash": op3_golay_simhash,
@@ -49,5 +54,8 @@ QUERIES: dict[str, Query] = {
     "op7_perplexity_rules": op7_perplexity_rules,
     "op8_byte_cnn": op8_byte_cnn,
     "op9_kneser_ney": op9_kneser_ney,
+    "op10_line_templates": op10_line_templates,
+}
+ORACLES: dict[str, str] = {
+    "op10_line_templates": line_templates.ORACLE_SQL,
 }
-ORACLES: dict[str, str] = {}
