@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from accesspanel.llm import bpe, golay_simhash, language_id, line_templates, lm_scoring, quality_cnn, quality_rules, sharding
+from accesspanel.llm import bpe, decontamination, golay_simhash, language_id, line_templates, lm_scoring, quality_cnn, quality_rules, sharding
 from accesspanel.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(documents(spark, sf_dir))
 
 
+def op2_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay_simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -48,6 +52,7 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_cross_parsing": op1_cross_parsing,
+    "op2_benchmark_templates": op2_benchmark_templates,
     "op3_golay_simhash": op3_golay_simhash,
     "op5_best_fit_shards": op5_best_fit_shards,
     "op6_backtracking_bpe": op6_backtracking_bpe,
