@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from accesspanel.llm import bpe, decontamination, golay_simhash, language_id, line_templates, lm_scoring, quality_cnn, quality_rules, sharding
+from accesspanel.llm import bpe, decontamination, golay_simhash, language_id, line_templates, lm_scoring, quality_cnn, quality_rules, repeated_passages, sharding
 from accesspanel.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay_simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages.remove_repeated(documents(spark, sf_dir))
+
+
 def op5_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op1_cross_parsing": op1_cross_parsing,
     "op2_benchmark_templates": op2_benchmark_templates,
     "op3_golay_simhash": op3_golay_simhash,
+    "op4_repeated_passages": op4_repeated_passages,
     "op5_best_fit_shards": op5_best_fit_shards,
     "op6_backtracking_bpe": op6_backtracking_bpe,
     "op7_perplexity_rules": op7_perplexity_rules,
