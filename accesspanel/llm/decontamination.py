@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -74,21 +75,26 @@ _HASHES = Hashes()
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 
-def windows(tokens: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window of ``size`` tokens, and which have enough literals."""
-    h = np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
+def windows(texts: list[list[str]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each window of ``size`` tokens within one of the texts; starts
+    count through all texts."""
+    ends = np.cumsum([len(t) for t in texts])
+    h = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(texts)), np.uint64, int(ends[-1]) if len(ends) else 0)
     n = len(h) - size + 1
     if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     key = np.full(n, size, np.uint64)
-    slots = np.zeros(n, np.int64)
     for k in range(size):
-        key = key * np.uint64(MULTIPLIER) + h[k : k + n]
-        slots += (h[k : k + n] & np.uint64(1)).astype(np.int64)
+        key *= np.uint64(MULTIPLIER)
+        key += h[k : k + n]
     key ^= key >> np.uint64(29)
     key *= np.uint64(0xBF58476D1CE4E5B9)
     key ^= key >> np.uint64(32)
-    return key, size - slots >= min(LEAST_LITERALS, size)
+    inside = np.ones(n, bool)
+    for k in range(1, size):  # a window may not start so close before an end
+        inside[ends[(ends - k >= 0) & (ends - k < n)] - k] = False
+    place = np.flatnonzero(inside)
+    return key[place], place
 
 
 def tokenize(text: str) -> list[str]:
@@ -110,19 +116,29 @@ def _window_rows(sizes: tuple[int, ...], marked: np.ndarray | None, short_items:
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, at, hashes, values, keys = [], [], [], [], []
-        for i, r, t in zip(*(batch.column(c).to_pylist() for c in ("id", "row", "text")), strict=True):
-            tokens = tokenize(t or "")
-            for size in ((min(WINDOW, len(tokens)),) if short_items and tokens else sizes):
-                key, usable = windows(tokens, size)
-                if marked is not None:
-                    bit = key & np.uint64((1 << FILTER_BITS) - 1)
-                    usable &= marked[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 > 0
-                for p in np.flatnonzero(usable).tolist():
-                    ids.append(i)
-                    keys.append(r)
-                    at.append(p)
-                    hashes.append(int(key[p].astype(np.int64)))
-                    values.append(slots(tokens[p : p + size]))
+        texts = [tokenize(t or "") for t in batch.column("text").to_pylist()]
+        starts = np.cumsum([0, *map(len, texts)])
+        id_of, row_of = batch.column("id").to_pylist(), batch.column("row").to_pylist()
+        lengths = sorted({min(WINDOW, len(t)) for t in texts} - {0}) if short_items else sizes
+        for size in lengths:
+            # an item has windows of one length only; the others' tokens stay where they are
+            key, place = windows(texts, size)
+            if marked is not None:
+                bit = key & np.uint64((1 << FILTER_BITS) - 1)
+                met = marked[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 > 0
+                key, place = key[met], place[met]
+            owner = np.searchsorted(starts, place, "right") - 1
+            for k, i, p in zip(key.astype(np.int64).tolist(), owner.tolist(), (place - starts[owner]).tolist(), strict=True):
+                if short_items and size != min(WINDOW, len(texts[i])):
+                    continue
+                held = slots(texts[i][p : p + size])
+                if size - len(held) < min(LEAST_LITERALS, size):
+                    continue
+                ids.append(id_of[i])
+                keys.append(row_of[i])
+                at.append(p)
+                hashes.append(k)
+                values.append(held)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(at, pa.int64()),
