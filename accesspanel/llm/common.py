@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accesspanel.sources.tables import materialize
+from accesspanel.sources import tables
 
 #: Bytes of text a worker handles at once, whatever the Arrow batch holds.
 SLICE_BYTES = 4 << 20
@@ -31,6 +31,18 @@ def ship_package(spark: SparkSession) -> None:
     context._accesspanel_shipped = True
 
 
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Writes the frame to the shared folder and returns it as read back. The
+    shuffle files behind it are not needed any more and are given up at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return tables.materialize(df, label)
+    finally:
+        conf.set(key, before)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

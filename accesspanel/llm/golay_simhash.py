@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accesspanel.llm.common import components, materialize, per_slice, text_rows, utf8
+from accesspanel.llm.common import components, materialize, per_slice, row_hash, text_rows, utf8
 
 #: Fixed value: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the binary Golay code.
 GENERATOR = 0b101011100011
@@ -57,13 +57,16 @@ def fingerprint(text: bytes, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp`` (the 64 bits as a signed BIGINT) of every row."""
+    """``doc_id``, ``row`` (row_hash) and ``fp`` (the 64 bits as a signed BIGINT) of every row."""
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.array([fingerprint(t, words) for t in utf8(batch.column("text"))], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("row"), pa.array(fp.view(np.int64))], ["doc_id", "row", "fp"]
+        )
 
-    return text_rows(docs, doc_id, text).mapInArrow(per_slice(hashed), "doc_id bigint, fp bigint")
+    rows = text_rows(docs, doc_id, text).withColumn("row", row_hash())
+    return rows.mapInArrow(per_slice(hashed), "doc_id bigint, row bigint, fp bigint")
 
 
 @lru_cache(maxsize=1)
@@ -243,6 +246,15 @@ def near_edges(fps: DataFrame) -> DataFrame:
     return found.where("not hot").select("a", "b").unionByName(again.select("a", "b"))
 
 
+def _grouped(marked: DataFrame) -> DataFrame:
+    """``fp`` and ``root``, the fingerprint that names its component."""
+    distinct = marked.select("fp").distinct()
+    roots = components(near_edges(distinct))
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
+        "fp", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row.
 
@@ -250,13 +262,24 @@ def near_duplicates(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", tex
     repeated rows share a component. A NULL id never names a component while
     another id can; one of only NULL ids has a NULL component. No rows: none."""
     marked = materialize(fingerprints(docs, words, doc_id, text), "fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(near_edges(distinct))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    named = _grouped(marked).join(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = named.join(ids, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
+    """The rows of ``docs`` that stand for their component, as they are: the one of
+    least ``doc_id`` (a NULL id last), and of equal ids that of least row_hash."""
+    marked = materialize(fingerprints(docs, words), "fingerprints")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    least = marked.groupBy("fp", "row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    stay = materialize(
+        least.join(_grouped(marked), "fp").groupBy("root").agg(F.min_by(F.struct("row", "n"), rank).alias("best")), "stay"
+    ).select(F.col("best.row").alias("stay_row"), "best.n")
+    kept = docs.join(stay, row_hash() == F.col("stay_row"))
+    if not stay.where("n > 1").isEmpty():  # the same row more than once
+        kept = kept.dropDuplicates(["stay_row"])
+    return kept.select(*docs.columns)

@@ -13,7 +13,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accesspanel.llm import ngram_lm
@@ -27,7 +27,7 @@ FENCES = 3.5
 SPACES = re.compile(r"[\x20\x09-\x0D]")
 
 MEASURED = (
-    "doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, "
+    "row_key bigint, doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, "
     "n_dup_lines bigint, n_repeat_words bigint, surprise double"
 )
 
@@ -65,6 +65,7 @@ def _measurer(model: ngram_lm.Model):
         words = [t.split() for t in raw]
         n_words = [len(w) for w in words]
         columns = [
+            batch.column("row_key"),
             batch.column("doc_id"),
             batch.column("lang"),
             pa.array(n_words, pa.int64()),
@@ -85,6 +86,7 @@ def measure(docs: DataFrame) -> DataFrame:
     ``base_failed`` and ``surprise``, the log10 perplexity per word."""
     ship_package(docs.sparkSession)
     rows = docs.select(
+        _row_key().alias("row_key"),
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("lang").cast("string").alias("lang"),
         F.col("text").cast("string").alias("text"),
@@ -96,13 +98,12 @@ def measure(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_measurer(model), MEASURED).withColumn("base_failed", failed)
 
 
-def verdicts(docs: DataFrame) -> DataFrame:
-    """The counts of ``measure`` and ``kept``: no simple rule failed and the
-    perplexity lies in the band of the row's language.
+def _row_key() -> Column:
+    """Tells rows apart by all that the verdict and its place depend on; never NULL."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("lang").cast("string"))
 
-    A NULL text has no words and fails; a NULL language is a language of its own.
-    Repeated rows each get the same verdict. A language none of whose rows passes
-    the simple rules has no band and keeps none. No rows: none."""
+
+def _judged(docs: DataFrame) -> DataFrame:
     measured = materialize(measure(docs), "quality")
     quartiles = F.percentile_approx("surprise", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10000))
     low, high = F.col("q")[0], F.col("q")[1]
@@ -119,3 +120,19 @@ def verdicts(docs: DataFrame) -> DataFrame:
         .withColumn("kept", ~F.col("base_failed") & inside)
         .drop("band_lang")
     )
+
+
+def verdicts(docs: DataFrame) -> DataFrame:
+    """The counts of ``measure`` and ``kept``: no simple rule failed and the
+    perplexity lies in the band of the row's language.
+
+    A NULL text has no words and fails; a NULL language is a language of its own.
+    Repeated rows each get the same verdict. A language none of whose rows passes
+    the simple rules has no band and keeps none. No rows: none."""
+    return _judged(docs).drop("row_key")
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``verdicts`` keeps, as they are."""
+    rejected = _judged(docs).where("not kept").select("row_key").distinct()
+    return docs.join(rejected, _row_key() == F.col("row_key"), "left_anti")
