@@ -30,12 +30,15 @@ from accesspanel.llm.common import materialize, slices, utf8
 
 ORDER = 6
 END = b"\n"
-ENTRY = np.dtype([("hash", "<u8"), ("log_p", "<f4"), ("log_backoff", "<f4")])
+#: Of one order: hashes in order, log10 probability (NaN: only a context) and log10
+#: back-off (NaN: no context) of each n-gram.
+Table = tuple[np.ndarray, np.ndarray, np.ndarray]
+TYPES = ("<u8", "<f4", "<f4")
 #: n-grams of the highest order the driver takes (16 bytes each); it stops beyond that.
 MAX_ENTRIES = 30_000_000
 #: n-grams a counting task holds before it passes its sums on.
-HELD_NGRAMS = 4_000_000
-PIECE_BYTES = 2 << 20
+HELD_NGRAMS = 1_000_000
+PIECE_BYTES = 1 << 20
 
 
 SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -106,7 +109,7 @@ def _counter(order: int, lower: bool) -> Callable[[Iterator[pa.RecordBatch]], It
                 key, count = np.unique(grams, return_counts=True)
                 keys.append(key)
                 counts.append(count.astype(np.int64))
-                if len(keys) >= 8:
+                if len(keys) >= 4:
                     key, count = summed(keys, counts)
                     keys, counts = [key], [count]
                 if len(key) > HELD_NGRAMS:
@@ -144,7 +147,7 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return np.array([0.0, 0.5, 1.0, 1.5])
 
 
-def estimate(grams: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
+def estimate(grams: np.ndarray, counts: np.ndarray, order: int) -> list[Table]:
     """Entries of each order, shortest first, sorted by hash. An order below the
     highest counts the distinct bytes before each n-gram."""
     byte = np.uint64(8)
@@ -174,35 +177,39 @@ def estimate(grams: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarr
         gram, p = tables[n - 1] if n else (np.zeros(0, np.uint64), np.zeros(0))
         context, left = contexts.get(n, (np.zeros(0, np.uint64), np.zeros(0)))
         keys = np.union1d(gram, context)
-        entry = np.zeros(len(keys), ENTRY)
-        entry["hash"] = mix(keys, n)
-        entry["log_p"], entry["log_backoff"] = np.nan, np.nan
-        entry["log_p"][np.searchsorted(keys, gram)] = np.log10(p)
-        entry["log_backoff"][np.searchsorted(keys, context)] = np.log10(left)
-        out.append(np.sort(entry, order="hash"))
+        log_p, backoff = (np.full(len(keys), np.nan, np.float32) for _ in range(2))
+        log_p[np.searchsorted(keys, gram)] = np.log10(p)
+        backoff[np.searchsorted(keys, context)] = np.log10(left)
+        hashes = mix(keys, n)
+        by = np.argsort(hashes)
+        out.append((hashes[by], log_p[by], backoff[by]))
     return out
 
 
-def find(table: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(table["hash"], hashes), max(0, len(table) - 1))
-    if not len(table):
-        return at, np.zeros(len(hashes), bool)
-    return at, table["hash"][at] == hashes
-
-
-def log_probabilities(tables: list[np.ndarray], grams: np.ndarray) -> np.ndarray:
-    """log10 probability of the last byte of each n-gram after the others."""
-    order = len(tables) - 1
-    log_p = np.full(len(grams), np.log10(1 / 256))
-    for n in range(1, order + 1):
-        context = grams >> np.uint64(8) & np.uint64((1 << 8 * (n - 1)) - 1)
-        at, known = find(tables[n - 1], mix(context, n - 1))
-        backoff = np.where(known, tables[n - 1]["log_backoff"][at], np.nan) if len(tables[n - 1]) else np.full(len(grams), np.nan)
-        log_p = log_p + np.nan_to_num(backoff, nan=0.0)
-        at, known = find(tables[n], mix(grams & np.uint64((1 << 8 * n) - 1), n))
-        if len(tables[n]):
-            seen = np.where(known, tables[n]["log_p"][at], np.nan)
-            log_p = np.where(np.isnan(seen), log_p, seen)
+def find(table: Table, column: int, hashes: np.ndarray) -> np.ndarray:
+    """A column of the n-grams with these hashes; NaN where unknown."""
+    if not len(table[0]):
+        return np.full(len(hashes), np.nan, np.float32)
+    at = np.minimum(np.searchsorted(table[0], hashes), len(table[0]) - 1)
+    return np.where(table[0][at] == hashes, table[column][at], np.float32(np.nan))
+
+
+def log_probabilities(tables: list[Table], grams: np.ndarray) -> np.ndarray:
+    """log10 probability of the last byte of each n-gram after the others: that of
+    the longest known n-gram, after the back-offs of the longer contexts."""
+    log_p = np.zeros(len(grams))
+    left = np.arange(len(grams))
+    for n in range(len(tables) - 1, 0, -1):
+        rest = grams[left]
+        value = find(tables[n], 1, mix(rest & np.uint64((1 << 8 * n) - 1), n))
+        known = ~np.isnan(value)
+        log_p[left[known]] += value[known]
+        left, rest = left[~known], rest[~known]
+        if not len(left):
+            break
+        context = rest >> np.uint64(8) & np.uint64((1 << 8 * (n - 1)) - 1)
+        log_p[left] += np.nan_to_num(find(tables[n - 1], 2, mix(context, n - 1)))
+    log_p[left] += np.log10(1 / 256)
     return log_p
 
 
@@ -226,9 +233,10 @@ class Model:
 
 
 @lru_cache(maxsize=2)
-def _mapped(model: Model) -> list[np.ndarray]:
-    entries = np.load(SparkFiles.get(model.file), mmap_mode="r")
-    return [entries[a:b] for a, b in zip(model.bounds, model.bounds[1:], strict=False)]
+def _mapped(model: Model) -> list[Table]:
+    path, n = SparkFiles.get(model.file), model.bounds[-1]
+    columns = [np.memmap(path, t, "r", at * n, n) for t, at in zip(TYPES, (0, 8, 12), strict=True)] if n else [np.zeros(0)] * 3
+    return [tuple(c[a:b] for c in columns) for a, b in zip(model.bounds, model.bounds[1:], strict=False)]
 
 
 def train(rows: DataFrame, order: int = ORDER, lower: bool = False) -> Model:
@@ -244,8 +252,11 @@ def train(rows: DataFrame, order: int = ORDER, lower: bool = False) -> Model:
     counted = table.toArrow()
     grams = counted.column("gram").to_numpy().astype(np.int64).view(np.uint64)
     tables = estimate(grams, counted.column("n").to_numpy(), order)
-    name = f"ngram-{uuid.uuid4().hex}.npy"
+    name = f"ngram-{uuid.uuid4().hex}.bin"
     folder = tempfile.mkdtemp(prefix="run-model-")
-    np.save(f"{folder}/{name}", np.concatenate(tables))
+    with open(f"{folder}/{name}", "wb") as file:
+        for column, kind in enumerate(TYPES):
+            for table in tables:
+                file.write(table[column].astype(kind).tobytes())
     rows.sparkSession.sparkContext.addFile(f"{folder}/{name}")
-    return Model(name, (0, *np.cumsum([len(t) for t in tables]).tolist()))
+    return Model(name, (0, *np.cumsum([len(t[0]) for t in tables]).tolist()))
