@@ -166,7 +166,8 @@ def _gradients(
     to_x = error[:, None] * net.out[None, :-1]
     grad = (to_x[:, :FILTERS] / blocks[:, None])[owner]
     is_top = chunk == x[owner, FILTERS : 2 * FILTERS]
-    grad = grad + np.where(is_top, to_x[:, FILTERS:][owner], 0)
+    ties = np.add.reduceat(is_top.astype(float), np.cumsum(blocks) - blocks)
+    grad = grad + np.where(is_top, (to_x[:, FILTERS:] / ties)[owner], 0)
     own = np.ones(chunk.shape, bool)
     own[:-1] = last[:-1, None] | (high[:-1] >= high[1:])
     to_high = np.where(own, grad, 0)
