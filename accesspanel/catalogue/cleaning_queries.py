@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,21 +31,21 @@ FACT = "curated.fact_county_year"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own for each call, so that no frame loses its files to a later one."""
     app = spark.sparkContext.applicationId
-    return f"{tables.staging_root(spark)}/accesspanel/{app}/files/{name}"
+    return f"{tables.staging_root(spark)}/accesspanel/{app}/files/{name}-{uuid.uuid4().hex}"
 
 
-def csv_of(spark: SparkSession, sf_dir: str, df: DataFrame, name: str) -> str:
+def csv_of(spark: SparkSession, df: DataFrame, name: str) -> str:
     """Path of the frame written as delimited text."""
-    label = "".join(ch if ch.isalnum() else "_" for ch in sf_dir.strip("/"))
-    path = scratch(spark, f"{label}/{name}")
+    path = scratch(spark, name)
     tables.export_csv(df, path)
     return path
 
 
 # --- sources -----------------------------------------------------------------
 
-_TEXT_COLUMNS = schemas.RAW_PHARMACIES.columns[:-1]
+_TEXT_COLUMNS = schemas.RAW_PHARMACIES.columns
 
 
 @query(
@@ -52,8 +54,9 @@ _TEXT_COLUMNS = schemas.RAW_PHARMACIES.columns[:-1]
     ("raw_pharmacies",),
 )
 def _(spark, sf_dir):
-    path = csv_of(spark, sf_dir, staged(spark, sf_dir, PHARMACIES).select(*_TEXT_COLUMNS), "s1")
-    return tables.load_raw_csv(spark, path, _TEXT_COLUMNS)
+    path = csv_of(spark, staged(spark, sf_dir, PHARMACIES).select(*_TEXT_COLUMNS), "s1")
+    # split on line feeds only: the last column carries carriage returns
+    return tables.load_raw_csv(spark, path, _TEXT_COLUMNS, line_sep="\n")
 
 
 @query(
@@ -139,14 +142,8 @@ def _(spark, sf_dir):
     return profile.select("column_name", "position", "row_count")
 
 
-@query(
-    "s7_export_csv",
-    "SELECT county_fips, year_id, tot_mdcr_stdzd_pymt_pc::DOUBLE AS spend FROM fact "
-    f"WHERE year_id BETWEEN {YEARS[0]} AND {YEARS[-1]}",
-    ("fact",),
-)
-def _(spark, sf_dir):
-    fact = staged(spark, sf_dir, FACT).filter(F.col("year_id").between(YEARS[0], YEARS[-1]))
+def _exported(spark: SparkSession, sf_dir: str, first: int, last: int) -> DataFrame:
+    fact = staged(spark, sf_dir, FACT).filter(F.col("year_id").between(first, last))
     path = scratch(spark, "fact_csv")
     tables.export_csv(fact, path, order_by=["county_fips", "year_id"])
     loaded = tables.load_raw_csv(spark, path)
@@ -157,6 +154,19 @@ def _(spark, sf_dir):
     )
 
 
+EXPORT_SQL = "SELECT county_fips, year_id, tot_mdcr_stdzd_pymt_pc::DOUBLE AS spend FROM fact WHERE year_id BETWEEN "
+
+
+@query("s7_export_csv", f"{EXPORT_SQL}{YEARS[0]} AND {YEARS[-1]}", ("fact",))
+def _(spark, sf_dir):
+    return _exported(spark, sf_dir, YEARS[0], YEARS[-1])
+
+
+@query("s7_export_one_year", f"{EXPORT_SQL}{YEAR} AND {YEAR}", ("fact",))
+def _(spark, sf_dir):
+    return _exported(spark, sf_dir, YEAR, YEAR)
+
+
 # --- projections -------------------------------------------------------------
 
 

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from accesspanel.plans import builders, schemas
 from accesspanel.sources.tables import layer_path, staging_root, write_layer
 
-# Keys outgrow five digits on large inputs, so codes are this wide here.
-CODE_WIDTH = 10
+# Wide enough for any positive BIGINT key, so that padding never cuts one.
+CODE_WIDTH = 19
 YEARS = (1996, 1997, 1998, 1999, 2000)
 YEAR = 2000
 MIN_WEIGHT = 50
@@ -218,15 +218,14 @@ def raw_medicare(
 
 
 def raw_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rural-urban codes. The last nation stands for territories without any."""
+    """Rural-urban codes. The last nation stands for territories, whose codes match no area."""
     nation = F.col("c_nationkey")
+    key = F.col("c_custkey").cast("string")
     no_code = (nation == 23) & (F.col("c_mktsegment") == "BUILDING")
     code = F.concat((nation % 9 + 1).cast("string"), F.lit(".0"))
     return (
-        customers(spark, sf_dir)
-        .filter(nation != 24)
-        .select(
-            F.col("c_custkey").cast("string").alias("fips"),
+        customers(spark, sf_dir).select(
+            F.when(nation == 24, F.concat(F.lit("T"), key)).otherwise(key).alias("fips"),
             F.concat(F.lit(" "), F.col("state"), F.lit(" ")).alias("state"),
             F.concat(F.lit(" "), F.col("c_name")).alias("county_name"),
             F.when(F.col("c_acctbal") < 0, "").otherwise((F.col("c_custkey") * 7 + 1000).cast("string")).alias("population_2020"),
@@ -278,18 +277,33 @@ def raw_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SOURCES = ("region", "nation", "customer", "orders", "lineitem")
 
+#: Tables whose key is checked once written; a repeated one stops the run.
+CONTRACTS = {
+    c.name: c
+    for c in (
+        schemas.clean_medicare(CODE_WIDTH),
+        schemas.clean_codes(CODE_WIDTH),
+        schemas.clean_crosswalk(CODE_WIDTH),
+        schemas.clean_pharmacies(CODE_WIDTH, CODE_WIDTH),
+        schemas.curated_panel(YEARS[0], YEARS[-1], CODE_WIDTH),
+        schemas.curated_fact(YEARS[0], YEARS[-1], CODE_WIDTH),
+    )
+}
+
 _written: dict[tuple, str] = {}
 
 
 def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
-    """Size and time of the given files, so that changed ones are read anew."""
+    """Name, size and time of each given file, so that changed ones are read anew."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     out = []
     for name in SOURCES:
         path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
-        status = path.getFileSystem(conf).getFileStatus(path)
-        out.append((status.getLen(), status.getModificationTime()))
-    return tuple(out)
+        files = path.getFileSystem(conf).listFiles(path, True)
+        while files.hasNext():
+            status = files.next()
+            out.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(out))
 
 
 def _build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -308,7 +322,7 @@ def _build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         "clean.rucc_codes": lambda: builders.clean_codes(need("raw.rucc_codes"), CODE_WIDTH),
         "clean.zip_to_fips": lambda: builders.clean_crosswalk(need("raw.zip_to_fips"), CODE_WIDTH),
         "clean.pharmacies": lambda: builders.clean_pharmacies(
-            need("raw.pharmacies"), need("clean.zip_to_fips"), CODE_WIDTH
+            need("raw.pharmacies"), need("clean.zip_to_fips"), CODE_WIDTH, npi_width=CODE_WIDTH
         ),
         "curated.county_year_panel": lambda: builders.county_year_panel(
             need("clean.pharmacies"), need("clean.medicare_spending"), YEARS, CODE_WIDTH
@@ -340,6 +354,10 @@ def staged(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             del _written[key]
     root = f"{staging_root(spark)}/accesspanel/{app}/tables/{uuid.uuid4().hex}"
     layer, short = name.split(".")
-    written = write_layer(_build(spark, sf_dir, name), root, layer, short)
+    contract = CONTRACTS.get(name)
+    if contract:
+        written = builders.write_checked(_build(spark, sf_dir, name), root, contract)
+    else:
+        written = write_layer(_build(spark, sf_dir, name), root, layer, short)
     _written[key] = layer_path(root, layer, short)
     return written

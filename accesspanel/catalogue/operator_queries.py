@@ -25,7 +25,7 @@ SPEND, WEIGHT, DENSITY = "tot_mdcr_stdzd_pymt_pc", "benes_ffs_cnt", "pharmacies_
 AREA_SQL = "SELECT npi, zip5, county_fips FROM clean_pharmacies"
 
 
-def _attached(spark, sf_dir, skewed):
+def _attached(spark, sf_dir, skewed=None):
     raw, xwalk = staged(spark, sf_dir, PHARMACIES), staged(spark, sf_dir, C_XWALK)
     placed = joins.attach_area(raw, xwalk, "postal_code", width=CODE_WIDTH, skewed=skewed)
     return placed.select(F.trim("npi").alias("npi"), "zip5", "county_fips")
@@ -33,7 +33,7 @@ def _attached(spark, sf_dir, skewed):
 
 @query("j1_attach_area", AREA_SQL, ("clean_pharmacies",))
 def _(spark, sf_dir):
-    return _attached(spark, sf_dir, skewed=False)
+    return _attached(spark, sf_dir)
 
 
 @query("j1_attach_area_skewed", AREA_SQL, ("clean_pharmacies",))
@@ -323,7 +323,7 @@ GROUP_SIZE_SQL = (
 )
 
 
-def _sized(spark, sf_dir, skewed):
+def _sized(spark, sf_dir, skewed=None):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     return windows.group_size(lines, "l_suppkey", skewed=skewed).select(
         "l_orderkey", "l_linenumber", "l_suppkey", "group_size"
@@ -332,7 +332,7 @@ def _sized(spark, sf_dir, skewed):
 
 @query("w2_group_size", GROUP_SIZE_SQL)
 def _(spark, sf_dir):
-    return _sized(spark, sf_dir, skewed=False)
+    return _sized(spark, sf_dir)
 
 
 @query("w2_group_size_skewed", GROUP_SIZE_SQL)
@@ -529,7 +529,7 @@ def _(spark, sf_dir):
     "THEN 1 ELSE 0 END AS within FROM lineitem",
 )
 def _(spark, sf_dir):
-    expected = 4 * table(spark, sf_dir, "orders").count()
+    expected = table(spark, sf_dir, "orders").agg(4 * F.count("*"))
     return quality.check_row_count(table(spark, sf_dir, "lineitem"), expected, 0.1)
 
 
@@ -786,6 +786,71 @@ def _(spark, sf_dir):
     return quality.verify_dominant(raw, claimed, "zip", ["bus_ratio", "tot_ratio"], "county_fips")
 
 
+@query(
+    "v16_verify_clean_crosswalk",
+    "SELECT z.zip, b.best AS expected, z.county_fips AS found FROM clean_crosswalk z FULL JOIN (SELECT zip, "
+    "first(county_fips ORDER BY bus_ratio DESC NULLS LAST, tot_ratio DESC NULLS LAST, county_fips) AS best "
+    "FROM typed_crosswalk GROUP BY zip) b ON z.zip = b.zip WHERE b.best IS DISTINCT FROM z.county_fips",
+    ("typed_crosswalk", "clean_crosswalk"),
+)
+def _(spark, sf_dir):
+    raw = typed_crosswalk(staged(spark, sf_dir, CROSSWALK), CODE_WIDTH)
+    clean = staged(spark, sf_dir, C_XWALK)
+    return quality.verify_dominant(raw, clean, "zip", ["bus_ratio", "tot_ratio"], "county_fips")
+
+
+KEYED = {
+    C_CODES: ("clean_codes", ["county_fips"]),
+    C_XWALK: ("clean_crosswalk", ["zip"]),
+    C_PHARM: ("clean_pharmacies", ["npi"]),
+    PANEL: ("panel", ["county_fips", "year_id"]),
+    FACT: ("fact", ["county_fips", "year_id"]),
+}
+
+
+@query(
+    "v2_table_keys",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, count(*) AS repeated_keys FROM "
+        f"(SELECT 1 FROM {cte} GROUP BY {', '.join(keys)} HAVING count(*) > 1)"
+        for name, (cte, keys) in KEYED.items()
+    ),
+    tuple(cte for cte, _ in KEYED.values()),
+)
+def _(spark, sf_dir):
+    out = None
+    for name, (_, keys) in KEYED.items():
+        repeated = quality.check_unique(staged(spark, sf_dir, name), keys)
+        row = repeated.agg(F.lit(name).alias("table_name"), F.count("*").alias("repeated_keys"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(
+    "v8_unmatched_crosswalk",
+    "SELECT DISTINCT z.county_fips, z.state_abbrev FROM clean_crosswalk z LEFT JOIN clean_codes r "
+    "ON z.county_fips = r.county_fips WHERE r.county_fips IS NULL ORDER BY ALL LIMIT 10",
+    ("clean_crosswalk", "clean_codes"),
+)
+def _(spark, sf_dir):
+    return quality.unmatched_sample(
+        staged(spark, sf_dir, C_XWALK), staged(spark, sf_dir, C_CODES), "county_fips", ["county_fips", "state_abbrev"]
+    )
+
+
+@query(
+    "v11_spot_check_panel",
+    "SELECT county_fips, year_id, active_pharmacies, benes_ffs_cnt FROM panel "
+    f"WHERE county_fips = '{1:0{CODE_WIDTH}d}' AND year_id = {YEAR}",
+    ("panel",),
+)
+def _(spark, sf_dir):
+    known = (F.col("county_fips") == f"{1:0{CODE_WIDTH}d}") & (F.col("year_id") == YEAR)
+    return quality.spot_check(
+        staged(spark, sf_dir, PANEL), known, ["county_fips", "year_id", "active_pharmacies", "benes_ffs_cnt"]
+    )
+
+
 @query(
     "r5_first_match_slot",
     "SELECT trim(npi) AS npi, CASE WHEN trim(taxonomy_code_1) LIKE '3336%' THEN trim(taxonomy_code_1) "

@@ -36,7 +36,7 @@ from accesspanel.plans import builders, questions, schemas
 def _from_csv(
     spark: SparkSession, sf_dir: str, name: str, load: Callable[[SparkSession, str], DataFrame]
 ) -> DataFrame:
-    return load(spark, csv_of(spark, sf_dir, staged(spark, sf_dir, name), name.replace(".", "_")))
+    return load(spark, csv_of(spark, staged(spark, sf_dir, name), name.replace(".", "_")))
 
 
 def blank_is_null(columns) -> str:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from accesspanel.functions.cleaning import zip5
 
-# How many frequent keys a skewed join treats apart. Each is one row of a
-# broadcast, so this number is the bound on its size.
+# How many frequent keys a skewed join spreads out.
 HOT_KEYS = 256
+# Shuffle keys that the rows of one frequent key are spread over.
+SALTS = 64
 SKETCH_ITEMS = 16_384
 
 
@@ -41,25 +42,50 @@ def _bytes(text: str) -> int:
 
 
 def lookup_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str] | str, skewed: bool | None = None
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str] | str,
+    skewed: bool | None = None,
+    null_is_key: bool = False,
 ) -> DataFrame:
-    """Left join to a lookup that has at most one row per key.
-
-    A lookup small enough to be broadcast is simply joined. Beside a larger one
-    a few keys (a blank code, say) may hold much of the left rows, so those are
-    split off: rows of the frequent keys never shuffle, they meet the at most
-    ``HOT_KEYS`` lookup rows they need by broadcast; all other rows take the
-    ordinary shuffled join. ``skewed`` forces the choice."""
+    """Left join to a lookup that has at most one row per key; with ``null_is_key``
+    NULL keys meet too.
+
+    A lookup small enough to be broadcast is simply joined. Beside a larger one a few
+    keys (a blank code, say) may hold much of the left rows. Rows of the frequent keys
+    are then salted by their content over ``SALTS`` shuffle keys, and each of the at
+    most ``HOT_KEYS`` lookup rows they need is repeated for every salt. Each side is
+    read once, beside the pass that finds the keys. A key beyond HOT_KEYS is left to
+    adaptive skew handling. ``skewed`` forces the choice, which never changes the result."""
     keys = [on] if isinstance(on, str) else list(on)
     if skewed is None:
         skewed = not fits_broadcast(right)
     if not skewed:
-        return left.join(right, keys, "left")
+        if not null_is_key:
+            return left.join(right, keys, "left")
+        return _joined(left, right, keys)
     is_hot = F.xxhash64(*keys).isin(frequent_keys(left, keys))
-    few = F.broadcast(right.filter(is_hot))
-    heavy = left.filter(is_hot).join(few, keys, "left")
-    rest = left.filter(~is_hot).join(right, keys, "left")
-    return heavy.unionByName(rest)
+    none = F.array(F.lit(0).cast("bigint"))
+    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
+    salted = left.withColumn(
+        "_salt", F.when(is_hot, F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(F.lit(0).cast("bigint"))
+    )
+    spread = right.withColumn("_salt", F.explode(F.when(is_hot, salts).otherwise(none)))
+    if null_is_key:
+        return _joined(salted, spread, [*keys, "_salt"]).drop("_salt")
+    return salted.join(spread, [*keys, "_salt"], "left").drop("_salt")
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on null-safe equality, columns as in a join by name."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = None
+    for k in keys:
+        one = F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+        same = one if same is None else same & one
+    rest = [c for c in left.columns if c not in keys]
+    added = [c for c in right.columns if c not in keys]
+    return left.join(named, same, "left").select(*keys, *rest, *added)
 
 
 def attach_area(
@@ -141,10 +167,14 @@ def join_coverage(
 
 
 def cross_scalars(*frames: DataFrame) -> DataFrame:
-    """Side-by-side columns of global aggregates. Each frame is re-aggregated to
-    exactly one row, so no row can multiply and an empty one gives NULLs."""
+    """Side-by-side columns of one-row frames. An empty frame gives NULLs; one
+    with more rows fails when it is read, as it has no single value."""
     out = None
+    several = F.raise_error(F.lit("cross_scalars: a frame has more than one row"))
     for frame in frames:
-        one = frame.agg(*[F.max(c).alias(c) for c in frame.columns])
+        counted = frame.agg(F.count("*").alias("_n"), *[F.max(c).alias(c) for c in frame.columns])
+        one = counted.select(
+            *[F.when(F.col("_n") > 1, several.cast(t)).otherwise(F.col(c)).alias(c) for c, t in frame.dtypes]
+        )
         out = one if out is None else out.crossJoin(one)
     return out

@@ -58,15 +58,19 @@ def require_empty(found: DataFrame, what: str, show: int = 5) -> None:
         raise CheckFailed(f"{what}: " + "; ".join(str(r.asDict()) for r in rows))
 
 
-def check_row_count(df: DataFrame, expected: int, tolerance: float = 0.0) -> DataFrame:
-    """One row: rows found, rows expected, 1 when within the tolerance."""
-    n = F.count("*")
-    slack = int(abs(expected) * tolerance)
-    return df.agg(
-        n.alias("row_count"),
-        F.lit(expected).cast("bigint").alias("expected"),
-        F.when(F.abs(n - expected) <= slack, 1).otherwise(0).alias("within"),
-    )
+def check_row_count(
+    df: DataFrame, expected: int | DataFrame, tolerance: float = 0.0
+) -> DataFrame:
+    """One row: rows found, rows expected, 1 when within the tolerance. The expected
+    number is given or is the one value of a one-row frame, which stays in the plan."""
+    found = df.agg(F.count("*").alias("row_count"))
+    if isinstance(expected, int):
+        both = found.withColumn("expected", F.lit(expected).cast("bigint"))
+    else:
+        both = found.crossJoin(expected.toDF("expected").withColumn("expected", F.col("expected").cast("bigint")))
+    slack = F.floor(F.abs("expected") * F.lit(tolerance))
+    within = F.abs(F.col("row_count") - F.col("expected")) <= slack
+    return both.withColumn("within", F.when(within, 1).otherwise(0))
 
 
 def load_report(df: DataFrame, table: str, expected: int | None = None) -> DataFrame:

@@ -12,6 +12,10 @@ from accesspanel.sources.tables import materialize
 
 # monotonically_increasing_id puts the partition above this many bits of row number.
 ROW_BITS = 33
+# Bytes that a range of a global ranking should hold, and the most ranges it is cut
+# into: each is a row of the table of offsets.
+RANGE_BYTES = 256 << 20
+MAX_RANGES = 1_000_000
 
 
 def _nulls_last(name: str, descending: bool) -> list[Column]:
@@ -59,12 +63,7 @@ def with_key_stats(
     aggregates combine map-side and are looked up, so the rows of one key need
     not meet in one task, as they would in a window."""
     per_key = df.groupBy(key).agg(*stats)
-    present = F.col(key).isNotNull()
-    if not df.schema[key].nullable:
-        return lookup_join(df, per_key, key, skewed)
-    known = lookup_join(df.filter(present), per_key.filter(present), key, skewed)
-    of_null = per_key.filter(~present).drop(key)
-    return known.unionByName(df.filter(~present).crossJoin(F.broadcast(of_null)))
+    return lookup_join(df, per_key, key, skewed, null_is_key=df.schema[key].nullable)
 
 
 def group_size(
@@ -75,6 +74,14 @@ def group_size(
     return sized.select(*df.columns, name)
 
 
+def range_count(df: DataFrame) -> int:
+    """Ranges of about RANGE_BYTES each by Spark's size estimate of the frame, and no
+    fewer than the session's shuffle partitions."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(floor, min(MAX_RANGES, -(-int(str(size)) // RANGE_BYTES)))
+
+
 def range_numbered(
     df: DataFrame, order: str, tie: str, strata: Sequence[str] = ()
 ) -> DataFrame:
@@ -82,8 +89,7 @@ def range_numbered(
     first, written once, with ``_part`` (rises with the sort key) and ``_row``
     (0, 1, ... inside the part)."""
     keys = [F.col(c).asc_nulls_first() for c in (*strata, order, tie)]
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
+    placed = df.repartitionByRange(range_count(df), *keys).sortWithinPartitions(*keys)
     written = materialize(placed.withColumn("_slot", F.monotonically_increasing_id()), "rank")
     part = F.shiftright("_slot", ROW_BITS)
     row = F.col("_slot").bitwiseAND(F.lit((1 << ROW_BITS) - 1))

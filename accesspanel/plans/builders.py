@@ -50,7 +50,7 @@ def raw_medicare(spark: SparkSession, path: str) -> DataFrame:
 
 
 def raw_codes(spark: SparkSession, path: str) -> DataFrame:
-    return load_raw_csv(spark, path, schemas.RAW_CODES.columns)
+    return conform(load_raw_csv(spark, path, schemas.RAW_CODES.columns), schemas.RAW_CODES)
 
 
 def raw_crosswalk(spark: SparkSession, path: str) -> DataFrame:
@@ -123,7 +123,11 @@ def clean_crosswalk(raw: DataFrame, code_width: int = 5) -> DataFrame:
 
 
 def clean_pharmacies(
-    raw: DataFrame, crosswalk: DataFrame, code_width: int = 5, skewed: bool | None = None
+    raw: DataFrame,
+    crosswalk: DataFrame,
+    code_width: int = 5,
+    skewed: bool | None = None,
+    npi_width: int = 10,
 ) -> DataFrame:
     """Every provider with typed dates, snapshot status and, where its postal
     code is known, its county."""
@@ -148,7 +152,7 @@ def clean_pharmacies(
         clean_text("pharmacy_taxonomy_code").alias("pharmacy_taxonomy_code"),
         safe_cast("pharmacy_taxonomy_position", "ubyte").alias("pharmacy_taxonomy_pos"),
     )
-    return conform(typed, schemas.clean_pharmacies(code_width))
+    return conform(typed, schemas.clean_pharmacies(code_width, npi_width))
 
 
 # --- curated ---------------------------------------------------------------
@@ -165,7 +169,7 @@ def county_year_panel(
     panel = build_panel(
         pharmacies, medicare, years, weight="benes_ffs_cnt", only=F.col("bene_age_lvl") == "All"
     )
-    first, last = years[0], years[-1]
+    first, last = min(years), max(years)
     named = panel.withColumnsRenamed(
         {
             "active": "active_pharmacies",
@@ -194,7 +198,7 @@ def fact_county_year(
         panel.drop("benes_ffs_cnt", "closures_per_10k_benes"),
         codes.select("county_fips", "rucc_code", "rural_urban_group", "rucc_description"),
     )
-    return conform(fact, schemas.curated_fact(years[0], years[-1], code_width))
+    return conform(fact, schemas.curated_fact(min(years), max(years), code_width))
 
 
 # --- the whole run -----------------------------------------------------------
@@ -229,7 +233,7 @@ def build_tables(
         key: write_layer(load(spark, inputs[key]), root, "raw", name)
         for key, (load, name) in loaders.items()
     }
-    first, last = years[0], years[-1]
+    first, last = min(years), max(years)
     medicare = write_checked(clean_medicare(raw["medicare"]), root, schemas.clean_medicare())
     codes = write_checked(clean_codes(raw["codes"]), root, schemas.clean_codes())
     crosswalk = write_checked(clean_crosswalk(raw["crosswalk"]), root, schemas.clean_crosswalk())

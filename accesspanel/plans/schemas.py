@@ -137,11 +137,11 @@ def clean_crosswalk(code_width: int = 5) -> Contract:
     )
 
 
-def clean_pharmacies(code_width: int = 5) -> Contract:
+def clean_pharmacies(code_width: int = 5, npi_width: int = 10) -> Contract:
     return Contract(
         "clean.pharmacies",
         (
-            Field("npi", width=10, required=True),
+            Field("npi", width=npi_width, required=True),
             Field("entity_type_code", "smallint"),
             Field("org_name", width=500),
             Field("city", width=100),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -34,12 +35,12 @@ def load_raw_csv(
     position to ``columns``; without it the header gives the names. A row with
     too few or too many fields fails the read. Files split across tasks, so
     line breaks inside quotes are not supported."""
-    reader = _csv_reader(spark, line_sep)
+    # Column pruning would skip parsing the unread fields and so hide bad rows.
+    reader = _csv_reader(spark, line_sep).option("columnPruning", False)
     if columns is None:
         return reader.option("inferSchema", False).csv(path)
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
-    # Column pruning would skip parsing the unread fields and so hide bad rows.
-    return reader.schema(schema).option("columnPruning", False).csv(path)
+    return reader.schema(schema).csv(path)
 
 
 def strip_trailing_cr(df: DataFrame, column: str) -> DataFrame:
@@ -81,37 +82,10 @@ def read_layer(spark: SparkSession, root: str, layer: str, name: str) -> DataFra
     return spark.read.parquet(layer_path(root, layer, name))
 
 
-def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int) -> DataFrame:
-    """Catalog table bucketed and sorted on its join keys: tables bucketed alike
-    join on those keys without a shuffle."""
-    (
-        df.repartition(buckets, *keys)
-        .write.mode("overwrite")
-        .bucketBy(buckets, *keys)
-        .sortBy(*keys)
-        .format("parquet")
-        .saveAsTable(table)
-    )
-    return df.sparkSession.table(table)
-
-
-def export_csv(
-    df: DataFrame,
-    path: str,
-    order_by: Sequence[str] = (),
-    single_file: bool = False,
-    single_file_rows: int = 1_000_000,
-) -> None:
+def export_csv(df: DataFrame, path: str, order_by: Sequence[str] = ()) -> None:
     """Header CSV. With ``order_by`` the part files are range-partitioned, so
-    read in name order they are one total order. ``single_file`` writes one
-    file for a desktop tool and refuses a frame above ``single_file_rows``."""
+    read in name order they are one total order."""
     out = df.orderBy(*order_by) if order_by else df
-    if single_file:
-        if df.limit(single_file_rows + 1).count() > single_file_rows:
-            raise ValueError(f"more than {single_file_rows} rows: export without single_file")
-        out = df.coalesce(1)
-        if order_by:
-            out = out.sortWithinPartitions(*order_by)
     (
         out.write.mode("overwrite")
         .option("header", True)
@@ -128,7 +102,8 @@ def staging_root(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    # an unset master counts as a cluster, and local-cluster has executors of its own
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     created = tempfile.mkdtemp(prefix="accesspanel-")
     spark.conf.set("spark.checkpoint.dir", created)

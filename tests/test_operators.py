@@ -146,15 +146,39 @@ def test_frequent_keys_are_bounded_and_find_the_hot_ones(spark):
     assert len(hashes) <= 10 and set(hot) <= set(hashes)
 
 
-def test_skewed_lookup_keeps_hot_rows_out_of_the_shuffle(spark):
+def test_skewed_lookup_spreads_hot_rows_and_reads_each_side_once(spark, folder):
     left, right = skewed_sides(spark)
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        text = plan_of(j.lookup_join(left, right, "k", skewed=True))
-        assert "BroadcastHashJoin" in text and "SortMergeJoin" in text
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    left.write.parquet(f"{folder}/left")
+    right.write.parquet(f"{folder}/right")
+    left, right = spark.read.parquet(f"{folder}/left"), spark.read.parquet(f"{folder}/right")
+    joined = j.lookup_join(left, right.hint("merge"), "k", skewed=True)
+    assert plan_of(joined).count("FileScan") == 2
+    hot = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(j.SALTS))).filter("k = 'hot'")
+    most = hot.groupBy("_salt").count().agg(F.max("count")).first()[0]
+    assert most < 3 * 3_000 / j.SALTS
+
+
+@pytest.mark.parametrize("skewed", [False, True])
+def test_null_keys_meet_when_asked(spark, skewed):
+    left = spark.createDataFrame([("a", 1), (None, 2), ("z", 3)], "k string, v int")
+    right = spark.createDataFrame([("a", 10), (None, 20)], "k string, w int")
+    out = j.lookup_join(left, right, "k", skewed=skewed, null_is_key=True)
+    assert rows(out.select("v", "w")) == [(1, 10), (2, 20), (3, None)]
+
+
+def test_key_stats_read_the_table_twice(spark, folder):
+    skewed_sides(spark)[0].write.parquet(f"{folder}/t")
+    df = spark.read.parquet(f"{folder}/t")
+    assert plan_of(w.group_size(df, "k", skewed=False)).count("FileScan") == 2
+    assert plan_of(w.group_size(df, "k", skewed=True)).count("FileScan") == 2
+
+
+def test_ranges_follow_the_input_size(spark, monkeypatch):
+    df = spark.range(100_000)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert w.range_count(df) == least
+    monkeypatch.setattr(w, "RANGE_BYTES", 10_000)
+    assert w.range_count(df) == 80
 
 
 def test_right_condition_does_not_drop_left_rows(spark):
@@ -178,6 +202,9 @@ def test_cross_scalars_keeps_one_row(spark):
     empty = spark.range(0).agg(F.sum("id").alias("s"))
     full = spark.range(4).agg(F.count("*").alias("n"))
     assert rows(j.cross_scalars(empty, full)) == [(None, 4)]
+    two = spark.createDataFrame([(1, 9), (2, 3)], "a int, b int")
+    with pytest.raises(Exception, match="more than one row"):
+        j.cross_scalars(two, full).collect()
 
 
 # --- aggregates --------------------------------------------------------------
@@ -223,6 +250,7 @@ def test_row_count_gate_and_report(spark):
     df = spark.range(95)
     assert rows(q.check_row_count(df, 100, 0.1)) == [(95, 100, 1)]
     assert rows(q.check_row_count(df, 100)) == [(95, 100, 0)]
+    assert rows(q.check_row_count(df, spark.range(50).agg(2 * F.count("*")), 0.1)) == [(95, 100, 1)]
     assert rows(q.load_report(df, "raw.t")) == [("raw.t", 95, None, "Rows loaded into raw.t: 95")]
 
 

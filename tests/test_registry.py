@@ -23,6 +23,10 @@ def duck():
     return con
 
 
+#: Checks whose good result has no rows.
+FINDS_NOTHING = {"v16_verify_clean_crosswalk"}
+
+
 def tidy(row):
     return tuple(round(v, 9) if isinstance(v, float) and not math.isnan(v) else v for v in row)
 
@@ -42,13 +46,31 @@ def test_query_equals_sql(spark, duck, name):
     at = [names.index(c) for c in cols]
     want = sorted((tidy(r[i] for i in at) for r in cursor.fetchall()), key=order)
     assert got == want
-    assert got
+    assert got or name in FINDS_NOTHING
 
 
 def test_every_query_has_sql():
     assert set(QUERIES) <= set(registry.oracle_sql())
 
 
+@pytest.mark.parametrize("name", ["s1_csv_round_trip", "s3_layer_rewrite", "s7_export_csv", "b4_raw_codes"])
+def test_a_second_call_leaves_the_first_result(spark, name):
+    first = registry.queries()[name](spark, SF_DIR)
+    second = registry.queries()[name](spark, SF_DIR)
+    assert first.count() == second.count()
+
+
+def test_long_keys_stay_apart(spark):
+    from accesspanel.catalogue.derived import CODE_WIDTH
+    from accesspanel.functions.cleaning import zero_pad, zip5
+
+    keys = ["1", "10000000001", str(2**63 - 1), str(10**18)]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    assert df.select(zero_pad("k", CODE_WIDTH)).distinct().count() == len(keys)
+    padded = df.withColumn("z", zip5("k", CODE_WIDTH))
+    assert [int(r["z"]) for r in padded.collect()] == [int(k) for k in keys]
+
+
 def test_entry(spark):
     rows = registry.entry(spark).collect()
     assert len(rows) == 1

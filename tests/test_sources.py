@@ -54,16 +54,6 @@ def test_rewrite_replaces(spark, folder):
     assert tables.read_layer(spark, folder, "raw", "t").count() == 3
 
 
-def test_bucketed_tables_join_without_shuffle(spark):
-    left = spark.range(1000).withColumn("v", F.col("id") * 2)
-    right = spark.range(500).withColumn("w", F.col("id") + 1)
-    a = tables.write_bucketed(left, "bucket_a", ["id"], 4)
-    b = tables.write_bucketed(right, "bucket_b", ["id"], 4)
-    joined = a.join(b.hint("merge"), ["id"], "left")
-    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
-    assert joined.filter("w is not null").count() == 500
-
-
 def test_export_is_one_total_order(spark, folder):
     df = spark.range(1000).select((999 - F.col("id")).alias("k"), F.lit(" a,b ").alias("t"))
     path = os.path.join(folder, "out")
@@ -78,14 +68,6 @@ def test_export_is_one_total_order(spark, folder):
     assert tables.load_raw_csv(spark, path).first()["t"] == " a,b "
 
 
-def test_single_file_is_bounded(spark, folder):
-    path = os.path.join(folder, "one")
-    tables.export_csv(spark.range(100), path, order_by=["id"], single_file=True)
-    assert len([f for f in os.listdir(path) if f.endswith(".csv")]) == 1
-    with pytest.raises(ValueError, match="more than 10 rows"):
-        tables.export_csv(spark.range(100), path, single_file=True, single_file_rows=10)
-
-
 RULE = Contract(
     "clean.t",
     (Field("k", "string", 3, True), Field("n", "smallint"), Field("d", "date")),
@@ -128,3 +110,27 @@ def test_staging_uses_the_shared_folder(spark):
     assert tables.staging_root(spark) == spark.conf.get("spark.checkpoint.dir")
     df = tables.materialize(spark.range(5), "t")
     assert df.count() == 5 and df.inputFiles()[0].find(spark.conf.get("spark.checkpoint.dir")) >= 0
+
+
+@pytest.mark.parametrize("master,local", [("", False), ("local[4]", True), ("local-cluster[2,1,1024]", False), ("yarn", False)])
+def test_temporary_folders_are_for_local_mode_only(master, local):
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Session:
+        conf = Conf({"spark.master": master} if master else {})
+
+    if local:
+        assert tables.staging_root(Session()) == Session.conf["spark.checkpoint.dir"]
+    else:
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            tables.staging_root(Session())
+
+
+@pytest.mark.parametrize("columns", [None, ["a", "b"]])
+def test_unread_columns_are_checked_too(spark, folder, columns):
+    path = os.path.join(folder, "bad.csv")
+    with open(path, "w") as f:
+        f.write("a,b\n1,2\n3\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tables.load_raw_csv(spark, path, columns).select("a").collect()
