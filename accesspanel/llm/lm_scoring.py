@@ -9,20 +9,22 @@ come back as one array per chunk, which prices the chunk's tokens.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accesspanel.llm import ngram_lm
-from accesspanel.llm.common import crc_mod, materialize, ship_package, utf8
+from accesspanel.llm.common import crc_mod, materialize, ship_package, slices, utf8
 
-#: A chunk ends with the text that takes it past so many bytes, or within a longer one.
-CHUNK_BYTES = 8 << 20
-CHUNK_TOKENS = CHUNK_BYTES // 4
+#: A chunk is closed when it holds so many bytes of text or distinct words, within a
+#: text if need be.
+CHUNK_BYTES = 24 << 20
+CHUNK_WORDS = 400_000
+BLOCK_BYTES = 1 << 20
 
 #: Two kinds of rows: a chunk with its documents (``words`` NULL), or one of its words.
 CHUNKS = (
@@ -44,55 +46,83 @@ def _frame(**columns: pa.Array) -> pa.RecordBatch:
     )
 
 
+class Numbers(dict):
+    """Word -> its number by first appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Integers as four planes of like bytes, compressed: most are small."""
+    planes = np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
+def word_blocks(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a normalised text and the end token, about BLOCK_BYTES at a time."""
+    at = 0
+    while len(text) - at > BLOCK_BYTES:
+        cut = text.find(b" ", at + BLOCK_BYTES)
+        if cut < 0:
+            break
+        yield text[at:cut].split(b" ")
+        at = cut + 1
+    yield [*(text[at:].split(b" ") if at < len(text) else []), ngram_lm.END]
+
+
 def _chunks(model: ngram_lm.Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def closed(chunk: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        """``rows``: row number, doc_id, held_out, score, words, number of tokens."""
-        words = list(chain.from_iterable(r[4] for r in rows))
-        number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-        numbers = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
-        lengths = [len(r[4]) for r in rows]
-        in_training = np.repeat([not r[2] for r in rows], lengths)
-        trained = np.bincount(numbers[in_training], minlength=len(number)) if len(words) else np.zeros(0, np.int64)
-        listed = [pa.array([[r[k] for r in rows]]) for k in range(4)]
+    def closed(chunk: int, number: Numbers, rows: list[tuple], held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """``rows``: row number, doc_id, held_out, score, number of tokens."""
+        numbers = np.concatenate(held)
+        in_training = np.repeat([not r[2] for r in rows], [r[4] for r in rows])
+        trained = np.bincount(numbers[in_training], minlength=len(number))
+        listed = [pa.array([[r[k] for r in rows]]) for k in range(5)]
         yield _frame(
             chunk=pa.array([chunk]), row=listed[0], doc_id=listed[1], held_out=listed[2], score=listed[3],
-            tokens=pa.array([lengths]), numbers=pa.array([numbers.tobytes()], pa.binary()),
+            tokens=listed[4], numbers=pa.array([packed(numbers)], pa.binary()),
         )
-        if number:
+        words = list(number)
+        for a in range(0, len(words), 50_000):
+            part = words[a : a + 50_000]
             yield _frame(
-                chunk=pa.array(np.full(len(number), chunk)),
-                word=pa.array(list(number), pa.binary()),
-                number=pa.array(np.arange(len(number), dtype=np.int32)),
-                trained=pa.array(trained),
+                chunk=pa.array(np.full(len(part), chunk)),
+                word=pa.array(part, pa.binary()),
+                number=pa.array(np.arange(a, a + len(part), dtype=np.int32)),
+                trained=pa.array(trained[a : a + len(part)]),
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = row = TaskContext.get().partitionId() << 33
-        held: list[tuple] = []
-        size = tokens = 0
+        number, rows, held, size = Numbers(), [], [], 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                text = ngram_lm.normal(utf8(one.column("text"))[0], lower=True)
-                words = text.split(b" ") if text else []
-                words.append(ngram_lm.END)
-                doc_id, held_out = one.column("doc_id")[0].as_py(), one.column("held_out")[0].as_py()
-                for a in range(0, len(words), CHUNK_TOKENS):
-                    held.append([row, doc_id, held_out, text if a == 0 else None, words[a : a + CHUNK_TOKENS]])
-                    tokens += len(held[-1][4])
-                    size += len(text) if a == 0 else 0
-                    if size > CHUNK_BYTES or tokens >= CHUNK_TOKENS:
-                        yield from closed(chunk, _scored(held))
-                        held, size, tokens, chunk = [], 0, 0, chunk + 1
-                row += 1
+            for part in slices(batch, "text"):
+                texts = [ngram_lm.normal(t, lower=True) for t in utf8(part.column("text"))]
+                for text, score, doc_id, held_out in zip(
+                    texts,
+                    model.scores(texts).tolist(),
+                    part.column("doc_id").to_pylist(),
+                    part.column("held_out").to_pylist(),
+                    strict=True,
+                ):
+                    for words in word_blocks(text):
+                        held.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+                        rows.append((row, doc_id, held_out, score, len(words)))
+                        score = 0.0
+                        size += sum(map(len, words)) + len(words)
+                        if size > CHUNK_BYTES or len(number) > CHUNK_WORDS:
+                            yield from closed(chunk, number, rows, held)
+                            chunk += 1
+                            number, rows, held, size = Numbers(), [], [], 0
+                    row += 1
         if held:
-            yield from closed(chunk, _scored(held))
-
-    def _scored(held: list[list]) -> list[tuple]:
-        first = [k for k, r in enumerate(held) if r[3] is not None]
-        score = np.zeros(len(held))
-        score[first] = model.scores([held[k][3] for k in first])
-        return [(r[0], r[1], r[2], float(s), r[4]) for r, s in zip(held, score, strict=True)]
+            yield from closed(chunk, number, rows, held)
 
     return run
 
@@ -108,22 +138,29 @@ def _price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             get = {k: batch.column(k)[i] for k in batch.schema.names}
-            numbers = np.frombuffer(get["numbers"].as_py(), np.int32)
+            numbers = unpacked(get["numbers"].as_py())
             counted = get["counts"].values
             trained = np.zeros(len(counted), np.int64)
             trained[counted.field("number").to_numpy()] = counted.field("n").to_numpy()
             total, kinds = get["total"].as_py() or 0, get["kinds"].as_py() or 0
             price = np.log10((trained + 0.5) / (total + 0.5 * (kinds + 1)))
             lengths = get["tokens"].values.to_numpy().astype(np.int64)
-            starts = np.cumsum(lengths) - lengths
+            ends = np.cumsum(lengths)
+            known, base = np.zeros(len(lengths), np.int64), np.zeros(len(lengths))
+            cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(0, ends[-1], 1 << 20), "right"), len(lengths)])
+            for a, b in zip(cuts, cuts[1:], strict=False):  # a million tokens at a time
+                part = numbers[ends[a] - lengths[a] : ends[b - 1]]
+                starts = (ends - lengths)[a:b] - (ends[a] - lengths[a])
+                known[a:b] = np.add.reduceat((trained > 0)[part], starts, dtype=np.int64)
+                base[a:b] = np.add.reduceat(price[part], starts)
             yield pa.RecordBatch.from_arrays(
                 [
                     get["row"].values,
                     get["doc_id"].values,
                     get["held_out"].values,
                     pa.array(lengths),
-                    pa.array(np.add.reduceat((trained > 0)[numbers].astype(np.int64), starts)),
-                    pa.array(np.add.reduceat(price[numbers], starts)),
+                    pa.array(known),
+                    pa.array(base),
                     get["score"].values,
                 ],
                 ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
