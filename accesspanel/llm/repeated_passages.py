@@ -3,7 +3,7 @@
 Where do strings of MATCH bytes also start in a document of smaller id? Documents
 meet at anchors: of the KGRAM-byte strings inside each MATCH-byte string, the one of least hash,
 so that equal strings choose equal anchors. Occurrences of an anchor are grouped by
-their context, the bytes that a MATCH-byte string around the anchor can reach. An
+their context, the bytes of the MATCH-byte strings in a row that chose it. An
 occurrence in a later document of the same context is covered whole. The first of each
 context is compared with the anchor's other contexts:
 
@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +29,9 @@ from accesspanel.llm.common import materialize, row_hash, ship_package, slices,
 MATCH = 50
 KGRAM = 24
 WINDOW = MATCH - KGRAM + 1
-#: Context of an anchor: so many bytes before it, and MATCH from its start on.
-BEFORE = MATCH - KGRAM
-SEGMENT_BYTES = 1 << 20
+#: Places in a segment fit in so many bits.
+PLACE_BITS = 20
+SEGMENT_BYTES = 1_000_000
 #: Bytes of contexts in one transform, and contexts of one anchor in a group.
 TRANSFORM_BYTES = 4 << 20
 GROUP_CONTEXTS = 1 << 14
@@ -66,46 +65,47 @@ def sliding(x: np.ndarray, width: int, fn) -> np.ndarray:
     return fn(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Starts, hashes and context hashes of a text's anchors, in segments; an anchor
-    at a segment's edge may come twice."""
+def anchors(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of MATCH-byte strings with one anchor: the start of the first string, the
+    number of bytes the run covers, the anchor's hash and a hash of those bytes.
+
+    A string's anchor is the first of its KGRAM-byte strings of least hash (by its high
+    bits). Texts are taken in segments; a run may be cut at a segment's end."""
     for a in range(0, len(text) - MATCH + 1, SEGMENT_BYTES):
-        low = max(0, a - BEFORE)
-        starts = min(SEGMENT_BYTES, len(text) - MATCH + 1 - a)
-        data = np.frombuffer(text[low : a + starts + 2 * MATCH], np.uint8)
+        data = np.frombuffer(text[a : a + SEGMENT_BYTES + MATCH - 1], np.uint8)
         h = kgram_hashes(data)
-        least = sliding(h[a - low : a - low + starts + WINDOW - 1], WINDOW, np.minimum)
-        around = np.zeros(starts + 2 * (WINDOW - 1), np.uint64)
-        around[WINDOW - 1 : WINDOW - 1 + starts] = least
-        chosen = sliding(around, WINDOW, np.maximum)
-        place = np.flatnonzero(chosen == h[a - low : a - low + len(chosen)]) + a - low
-        context = h[np.maximum(place - BEFORE, 0)] * np.uint64(3)
-        for shift, factor in ((KGRAM, 5), (2 * KGRAM, 7), (BEFORE + MATCH - KGRAM, 11)):
-            context = (context ^ context >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-            context += h[np.minimum(place - BEFORE + shift, len(h) - 1)] * np.uint64(factor)
-        for k in np.flatnonzero((place + low < BEFORE) | (place + low + MATCH > len(text))).tolist():
-            p = int(place[k]) + low
-            cut = text[max(0, p - BEFORE) : p + MATCH]
-            context[k] = xxhash.xxh64_intdigest(cut, seed=1 + min(p, BEFORE))
-        yield place + low, h[place], context
+        place = np.arange(len(h), dtype=np.uint64)
+        ranked = h >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS) | place
+        chosen = (sliding(ranked, WINDOW, np.minimum) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        low = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
+        end = np.r_[low[1:], len(chosen)] - 1 + MATCH
+        anchor = chosen[low]
+        context = (end - low).astype(np.uint64) << np.uint64(8) | (anchor - low).astype(np.uint64)
+        # these four strings of KGRAM bytes cover all of up to 4 * KGRAM
+        for at in (low, low + KGRAM, end - 2 * KGRAM, end - KGRAM):
+            context = (context ^ context >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) + h[at]
+        yield low + a, end - low, h[anchor], context
 
 
 OCCURRENCES = "anchor bigint, context bigint, doc bigint, spot bigint"
 
 
+#: A spot: the run's start, the bytes beyond MATCH that it covers, and the row's tag.
+START_BITS, TAG_AT = 34, 40
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``spot``: the anchor's place in the low 40 bits, the row's tag above."""
     for batch in batches:
         for part in slices(batch, "text", SEGMENT_BYTES):
             columns: list[list[np.ndarray]] = [[], [], [], []]
             for text, doc, tag in zip(
                 utf8(part.column("text")), part.column("doc").to_pylist(), part.column("tag").to_pylist(), strict=True
             ):
-                for place, h, context in anchors(text):
+                for low, size, h, context in anchors(text):
                     columns[0].append(h.view(np.int64))
                     columns[1].append(context.view(np.int64))
                     columns[2].append(np.full(len(h), doc))
-                    columns[3].append(place | tag << 40)
+                    columns[3].append(low | size - MATCH << START_BITS | tag << TAG_AT)
             if columns[0]:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(c)) for c in columns], ["anchor", "context", "doc", "spot"]
@@ -166,14 +166,24 @@ def suffix_order(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for j in range(8):
         keys <<= np.uint64(8)
         keys |= padded[j : j + len(data)]
-    order, key = np.argsort(keys, kind="stable"), keys
+    order = suffix = np.argsort(keys)
+    order = order.copy()
+    key = keys[suffix]
+    tied = np.arange(len(data))  # places whose suffix ties with a neighbour so far
+    rank = np.zeros(len(data) + 32, np.uint32)
     for size in (8, 16, 32):
-        ordered = key[order]
-        rank = np.empty(len(data), np.uint64)
-        rank[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]]).astype(np.uint64) + np.uint64(1)
-        key = rank << np.uint64(32)
-        key[:-size] |= rank[size:]
-        order = np.argsort(key, kind="stable")
+        same = key[1:] == key[:-1]
+        first = np.r_[True, ~same]
+        # a suffix is ranked by the first place of those it ties with
+        rank[suffix] = tied[np.flatnonzero(first)][np.cumsum(first) - 1] + 1
+        still = np.r_[False, same] | np.r_[same, False]
+        suffix, tied = suffix[still], tied[still]
+        if not len(tied):
+            break
+        key = rank[suffix].astype(np.uint64) << np.uint64(32) | rank[suffix + size]
+        by = np.argsort(key)
+        suffix, key = suffix[by], key[by]
+        order[tied] = suffix
     return order, keys
 
 
@@ -225,21 +235,21 @@ def found_earlier(texts: list[bytes], docs: np.ndarray, match: int = MATCH) -> l
     data = np.frombuffer(STOP.join(texts) + STOP, np.uint8)
     size = np.array([len(t) + 1 for t in texts])
     begin = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+    is_start = np.arange(len(data)) + match < np.repeat(begin + size, size)
     order, keys = suffix_order(data)
-    shares = shared_neighbours(data, order, keys, match)
-    text = np.searchsorted(begin, order, "right") - 1
-    whole = order + match < begin[text] + size[text]
-    run = np.cumsum(~shares)
-    run, suffix, text = run[whole], order[whole], text[whole]
+    run = np.cumsum(~shared_neighbours(data, order, keys, match), dtype=np.int32)
+    whole = is_start[order]
+    run, suffix = run[whole], order[whole]
+    text = owner[suffix]
     if not len(run):
         return [np.zeros(0, np.int64) for _ in texts]
     at = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
     least = np.repeat(np.minimum.reduceat(docs[text], at), np.diff(np.r_[at, len(run)]))
     later = least < docs[text]
-    suffix, text = suffix[later], text[later]
-    by = np.lexsort((suffix, text))
-    suffix, text = suffix[by] - begin[text[by]], text[by]
-    return np.split(suffix, np.searchsorted(text, np.arange(1, len(texts))))
+    suffix = np.sort(suffix[later])
+    text = owner[suffix]
+    return np.split(suffix - begin[text], np.searchsorted(text, np.arange(1, len(texts))))
 
 
 FOUND = "anchor bigint, context bigint, low int, high int"
@@ -282,8 +292,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, asked in enumerate(batch.column("asked").to_pylist()):
             text, doc = texts[i].as_py(), batch.column("doc")[i].as_py()
             for a in asked:
-                p = a["spot"] & (1 << 40) - 1
-                for column, value in zip(columns, (a["anchor"], a["context"], doc, text[max(0, p - BEFORE) : p + MATCH]), strict=True):
+                low = a["spot"] & (1 << START_BITS) - 1
+                high = low + MATCH + (a["spot"] >> START_BITS & (1 << TAG_AT - START_BITS) - 1)
+                for column, value in zip(columns, (a["anchor"], a["context"], doc, text[low:high]), strict=True):
                     column.append(value)
         yield pa.RecordBatch.from_arrays(
             [*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())],
@@ -339,10 +350,16 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
         .sortWithinPartitions("anchor", "context", "doc")
         .mapInArrow(_sorted_out, SORTED),
         "anchors",
-    ).withColumn("tag", F.shiftright("spot", 40)).withColumn("place", F.col("spot").bitwiseAND((1 << 40) - 1))
+    ).withColumns(
+        {
+            "tag": F.shiftright("spot", TAG_AT),
+            "start": F.col("spot").bitwiseAND((1 << START_BITS) - 1),
+            "size": F.shiftright("spot", START_BITS).bitwiseAND((1 << TAG_AT - START_BITS) - 1) + MATCH,
+        }
+    )
     still_open = met.where("open")
     one = still_open.groupBy("anchor", "context").agg(F.min("doc").alias("doc"), F.min("spot").alias("spot"))
-    asked = one.groupBy("doc", F.shiftright("spot", 40).alias("tag")).agg(
+    asked = one.groupBy("doc", F.shiftright("spot", TAG_AT).alias("tag")).agg(
         F.collect_list(F.struct("anchor", "context", "spot")).alias("asked")
     )
     contexts = materialize(
@@ -366,10 +383,9 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
         .sortWithinPartitions("chunk")
         .mapInArrow(_compared, FOUND)
     )
-    start = F.greatest(F.lit(0), F.col("place") - BEFORE)
-    covered = met.where("not open").select("doc", "tag", start.alias("low"), (F.col("place") + MATCH).alias("high"))
-    part = still_open.join(found, ["anchor", "context"]).select(
-        "doc", "tag", (start + F.col("low")).alias("low"), (start + F.col("high")).alias("high")
+    covered = met.where("not open").selectExpr("doc", "tag", "start AS low", "start + size AS high")
+    part = still_open.join(found, ["anchor", "context"]).selectExpr(
+        "doc", "tag", "start + low AS low", "start + high AS high"
     )
     spans = covered.unionByName(part).groupBy("doc", "tag").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     return rows.join(spans, ["doc", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(
