@@ -57,6 +57,14 @@ def text_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     )
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it where the frame has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def row_hash(doc_id: str = "doc_id", text: str = "text") -> Column:
     """Tells rows of one ``doc_id`` apart by their text; equal rows share it.
     Never NULL, so rows without an id can be joined too."""

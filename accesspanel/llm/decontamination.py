@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accesspanel.llm.common import materialize, row_hash, ship_package, slices
+from accesspanel.llm.common import free_name, materialize, row_hash, ship_package, slices
 
 WINDOW = 8
 #: Tokens of a window that are not placeholders; fewer say nothing about its source.
@@ -250,5 +250,6 @@ def _sizes(benchmark: DataFrame) -> tuple[int, ...]:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no item is found, as they are."""
-    dirty = found_items(docs, benchmark).where(F.col("coverage") >= COVERAGE).select("hit_row")
-    return docs.join(dirty, row_hash() == F.col("hit_row"), "left_anti")
+    key = free_name(docs, "hit_row")
+    dirty = found_items(docs, benchmark).where(F.col("coverage") >= COVERAGE).select(F.col("hit_row").alias(key))
+    return docs.join(dirty, row_hash() == F.col(key), "left_anti")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accesspanel.llm.common import components, materialize, per_slice, row_hash, text_rows, utf8
+from accesspanel.llm.common import components, free_name, materialize, per_slice, row_hash, text_rows, utf8
 
 #: Fixed value: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the binary Golay code.
 GENERATOR = 0b101011100011
@@ -278,8 +278,9 @@ def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
     least = marked.groupBy("fp", "row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     stay = materialize(
         least.join(_grouped(marked), "fp").groupBy("root").agg(F.min_by(F.struct("row", "n"), rank).alias("best")), "stay"
-    ).select(F.col("best.row").alias("stay_row"), "best.n")
-    kept = docs.join(stay, row_hash() == F.col("stay_row"))
+    ).select("best.*")
+    key = free_name(docs, "stay_row")
+    kept = docs.join(stay.select(F.col("row").alias(key)), row_hash() == F.col(key))
     if not stay.where("n > 1").isEmpty():  # the same row more than once
-        kept = kept.dropDuplicates(["stay_row"])
+        kept = kept.dropDuplicates([key])
     return kept.select(*docs.columns)

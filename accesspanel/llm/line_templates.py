@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accesspanel.llm.common import materialize
+from accesspanel.llm.common import free_name, materialize
 
 #: Shorter lines recur by chance in prose and are left alone.
 MIN_TOKENS = 5
@@ -89,7 +89,8 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     A NULL text stays NULL with no lines; an empty one is one empty line. Rows of
     one ``doc_id`` are one document when it comes to which is first; a NULL id comes
     last. Repeated rows count as lines of two documents but lose nothing to each
-    other. A row whose every line goes has an empty text. No rows: none."""
+    other. A row whose every line goes has an empty text. Columns of ``docs`` named like the
+    two counts give way to them. No rows: none."""
     no_id = -(1 << 63)
     plain = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
@@ -110,28 +111,25 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     goes = materialize(
         named.select("line", "template").join(recurring, "template").select("line", "first"), "recurring"
     )
+    key, gone, kept = (free_name(docs, n) for n in ("drop_id", "drop_lines", "lines_left"))
     drops = (
         narrow.join(goes, "line")
         .where(~F.col("doc_id").eqNullSafe(F.col("first")))
-        .groupBy(F.coalesce("doc_id", F.lit(no_id)).alias("drop_id"))
-        .agg(F.collect_set("line").alias("drop_lines"))
+        .groupBy(F.coalesce("doc_id", F.lit(no_id)).alias(key))
+        .agg(F.collect_set("line").alias(gone))
     )
     split = F.split(F.col("text").cast("string"), "\n")
-    left = F.filter(split, lambda x: ~F.array_contains("drop_lines", F.xxhash64(tokens(x))))
-    joined = docs.join(drops, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(no_id)) == F.col("drop_id"), "left")
-    changed = F.col("drop_id").isNotNull()
-    return (
-        joined.withColumn("lines_left", F.when(changed, left))
-        .withColumn("n_lines", F.coalesce(F.size(split), F.lit(0)).cast("bigint"))
-        .withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("bigint"))
-        .withColumn(
-            "n_dropped",
-            F.when(changed & F.col("text").isNotNull(), F.col("n_lines") - F.size("lines_left"))
-            .otherwise(F.lit(0))
-            .cast("bigint"),
-        )
-        .withColumn("text", F.when(changed, F.array_join("lines_left", "\n")).otherwise(F.col("text").cast("string")))
-        .select(*docs.columns, "n_lines", "n_dropped")
+    left = F.filter(split, lambda x: ~F.array_contains(gone, F.xxhash64(tokens(x))))
+    joined = docs.join(drops, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(no_id)) == F.col(key), "left")
+    changed = F.col(key).isNotNull()
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(split))
+    n_dropped = F.when(changed & F.col("text").isNotNull(), n_lines - F.size(kept)).otherwise(0)
+    text = F.when(changed, F.array_join(kept, "\n")).otherwise(F.col("text").cast("string"))
+    others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return joined.withColumn(kept, F.when(changed, left)).select(
+        *[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in others],
+        n_lines.cast("bigint").alias("n_lines"),
+        n_dropped.cast("bigint").alias("n_dropped"),
     )
 
 

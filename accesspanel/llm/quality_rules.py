@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accesspanel.llm import ngram_lm
-from accesspanel.llm.common import materialize, per_slice, ship_package
+from accesspanel.llm.common import free_name, materialize, per_slice, ship_package
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -134,5 +134,6 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``verdicts`` keeps, as they are."""
-    rejected = _judged(docs).where("not kept").select("row_key").distinct()
-    return docs.join(rejected, _row_key() == F.col("row_key"), "left_anti")
+    key = free_name(docs, "row_key")
+    rejected = _judged(docs).where("not kept").select(F.col("row_key").alias(key)).distinct()
+    return docs.join(rejected, _row_key() == F.col(key), "left_anti")

@@ -145,10 +145,16 @@ def test_repeated_passages_equal_brute_force(spark, mixed, monkeypatch, groups):
 def test_long_texts_are_cut_into_segments(spark, monkeypatch):
     rng = random.Random(2)
     text = sentence(rng, 900)
+    rows = [(1, text), (2, "x" + text), (3, text[100:900] + "?" + text[:300])]
     monkeypatch.setattr(repeated_passages, "SEGMENT_BYTES", 257)
-    whole = {(int(p), int(h), int(c)) for ps, hs, cs in repeated_passages.anchors(text.encode()) for p, h, c in zip(ps, hs, cs, strict=True)}
-    monkeypatch.setattr(repeated_passages, "SEGMENT_BYTES", 1 << 20)
-    assert whole == {(int(p), int(h), int(c)) for ps, hs, cs in repeated_passages.anchors(text.encode()) for p, h, c in zip(ps, hs, cs, strict=True)}
+    occurrences = list(repeated_passages.anchors(text.encode()))
+    assert len(occurrences) > 10
+    covered = sorted((int(a), int(a + n)) for lows, sizes, _, _ in occurrences for a, n in zip(lows, sizes, strict=True))
+    starts = [p for a, b in covered for p in range(a, b - 49)]
+    assert starts == list(range(len(text) - 49))  # every string once
+    got = repeated_passages.remove_repeated(frame(spark, rows)).collect()
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert Counter(tuple(r[n] for n in names) for r in got) == brute_removal(rows)
 
 
 BOILER = "This page was made on 1 May for you"

@@ -297,9 +297,10 @@ def test_rules_equal_brute_force(spark, corpus):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, _, _ in rows if by_id[i]["kept"])
 
 
-@pytest.mark.parametrize("chunk", [4 << 20, 300])
+@pytest.mark.parametrize("chunk", [32 << 20, 300])
 def test_scores_equal_brute_force(spark, corpus, monkeypatch, chunk):
     monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", chunk // 2)
     got = lm_scoring.score_documents(frame(spark, corpus)).collect()
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     tokens = [[*WORD.findall((t or "").translate(lower)), "\n"] for _, t, _ in corpus]
