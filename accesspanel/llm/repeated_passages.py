@@ -362,10 +362,11 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     asked = one.groupBy("doc", F.shiftright("spot", TAG_AT).alias("tag")).agg(
         F.collect_list(F.struct("anchor", "context", "spot")).alias("asked")
     )
+    # a repeated row gives its contexts again, which changes no minimum
     contexts = materialize(
-        rows.select("doc", "tag", "text").dropDuplicates(["doc", "tag"]).join(asked, ["doc", "tag"]).mapInArrow(
-            _cut, "anchor bigint, context bigint, doc bigint, bytes binary"
-        ),
+        rows.select("doc", "tag", "text")
+        .join(asked, ["doc", "tag"])
+        .mapInArrow(_cut, "anchor bigint, context bigint, doc bigint, bytes binary"),
         "contexts",
     )
     sizes = contexts.groupBy("anchor").agg(F.ceil(F.count("*") / F.lit(GROUP_CONTEXTS // 2)).cast("int").alias("blocks"))
@@ -387,7 +388,7 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     part = still_open.join(found, ["anchor", "context"]).selectExpr(
         "doc", "tag", "start + low AS low", "start + high AS high"
     )
-    spans = covered.unionByName(part).groupBy("doc", "tag").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    spans = covered.unionByName(part).groupBy("doc", "tag").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     return rows.join(spans, ["doc", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(
         _removed, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     )
