@@ -92,24 +92,40 @@ OCCURRENCES = "anchor bigint, context bigint, doc bigint, spot bigint"
 
 #: A spot: the run's start, the bytes beyond MATCH that it covers, and the row's tag.
 START_BITS, TAG_AT = 34, 40
+#: Set in the spot of an occurrence known to be covered.
+KNOWN = -(1 << 63)
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences of a batch. Those whose context stands in a smaller document of the
+    same batch are known to be covered: they go out with a negative spot and an anchor
+    that spreads them, so that a passage in many documents sends few rows to its anchor."""
     for batch in batches:
+        columns: list[list[np.ndarray]] = [[], [], [], []]
         for part in slices(batch, "text", SEGMENT_BYTES):
-            columns: list[list[np.ndarray]] = [[], [], [], []]
             for text, doc, tag in zip(
                 utf8(part.column("text")), part.column("doc").to_pylist(), part.column("tag").to_pylist(), strict=True
             ):
                 for low, size, h, context in anchors(text):
-                    columns[0].append(h.view(np.int64))
-                    columns[1].append(context.view(np.int64))
+                    columns[0].append(h)
+                    columns[1].append(context)
                     columns[2].append(np.full(len(h), doc))
                     columns[3].append(low | size - MATCH << START_BITS | tag << TAG_AT)
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in columns], ["anchor", "context", "doc", "spot"]
-                )
+        if not columns[0]:
+            continue
+        h, context, doc, spot = (np.concatenate(c) for c in columns)
+        both = h * np.uint64(0x9E3779B97F4A7C15) ^ context
+        by = np.argsort(both)
+        first = np.flatnonzero(np.r_[True, both[by][1:] != both[by][:-1]])
+        least = np.empty(len(doc), np.int64)
+        least[by] = np.repeat(np.minimum.reduceat(doc[by], first), np.diff(np.r_[first, len(by)]))
+        known = doc > least
+        spot[known] |= KNOWN
+        h[known] = (spot[known].view(np.uint64) ^ doc[known].astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array(spot)],
+            ["anchor", "context", "doc", "spot"],
+        )
 
 
 SORTED = "open boolean, " + OCCURRENCES
@@ -132,6 +148,10 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         h, c, d, w = (batch.column(k).to_numpy() for k in ("anchor", "context", "doc", "spot"))
+        known = w < 0
+        if known.any():
+            yield frame(False, h, c, d[known], w[known] & ~KNOWN)
+            h, c, d, w = h[~known], c[~known], d[~known], w[~known]
         if not len(h):
             continue
         new_h = np.r_[h[0] != anchor if anchor is not None else True, h[1:] != h[:-1]]
