@@ -53,8 +53,14 @@ def _templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
         .where(f"kinds > 1 and in_leaf >= {MIN_DOCS}")
         .select("leaf")
     )
+    # the line itself is shuffled, which is smaller than its tokens
     texts = materialize(
-        _lines(docs).select("leaf", "line", "tokens").join(leaves, "leaf", "left_semi").distinct(), "leaf-lines"
+        _lines(docs)
+        .select("leaf", "line", "raw")
+        .join(leaves, "leaf", "left_semi")
+        .select("leaf", "line", tokens(F.col("raw")).alias("tokens"))
+        .distinct(),
+        "leaf-lines",
     )
     at = texts.join(lines.select("line", "n"), "line").select(
         "leaf", "line", "n", F.posexplode("tokens").alias("place", "token")
