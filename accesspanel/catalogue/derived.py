@@ -14,6 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from accesspanel.operators.joins import lookup_join
 from accesspanel.plans import builders, schemas
 from accesspanel.sources.tables import layer_path, staging_root, write_layer
 
@@ -75,7 +76,8 @@ def raw_pharmacies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.min("l_partkey").alias("part"))
     )
     owner = customers(spark, sf_dir).select(F.col("c_custkey").alias("o_custkey"), "state")
-    rows = orders.join(lead, ["o_orderkey"], "left").join(owner, ["o_custkey"], "left")
+    # a customer may hold much of the orders
+    rows = lookup_join(orders.join(lead, ["o_orderkey"], "left"), owner, "o_custkey")
     day = F.to_date("o_orderdate")
 
     def text(d: Column) -> Column:
@@ -258,9 +260,7 @@ def raw_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     returned_share = F.when(F.col("r_all") > 0, fixed_text(share("r"), 8)).otherwise("")
     return (
-        pairs.join(totals, ["l_partkey"], "inner")
-        .join(owner, ["o_custkey"], "left")
-        .select(
+        lookup_join(lookup_join(pairs, totals, "l_partkey"), owner, "o_custkey").select(
             F.col("l_partkey").cast("string").alias("zip"),
             F.concat(F.lit(" "), F.col("o_custkey").cast("string")).alias("county_fips"),
             F.concat(F.lit(" CITY OF "), F.col("l_partkey").cast("string")).alias("usps_zip_pref_city"),

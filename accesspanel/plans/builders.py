@@ -1,4 +1,5 @@
-"""The ten table builders, raw to curated, and the run that writes them all."""
+"""The ten table builders, raw to curated, and the run that writes them all. Output
+names and their order are fixed values: they follow the published layouts."""
 
 from __future__ import annotations
 

@@ -1,5 +1,5 @@
-"""Analytical questions over the fact table. Column names are arguments with
-the published names as defaults."""
+"""Analytical questions over the fact table. The names of the columns read and
+returned are fixed values: they are those of the published results."""
 
 from __future__ import annotations
 
