@@ -136,10 +136,15 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row])], ["key", "fp"])
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits; counted unsigned, as the count of a negative number is that of its size."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def spanning(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what links of at most MAX_BITS connect: each member to
     the least member it reaches."""
-    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= MAX_BITS
+    near = distance(fp[:, None], fp[None, :]) <= MAX_BITS
     label = np.arange(len(fp))
     while True:
         least = np.where(near, label[None, :], len(fp)).min(axis=1)
@@ -165,7 +170,7 @@ def _linked(keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         if not len(index):
             break
         a, b = fps[index], fps[index + lag]
-        near = np.bitwise_count(a ^ b) <= MAX_BITS
+        near = distance(a, b) <= MAX_BITS
         yield a[near], b[near]
     for s, n in zip(starts[length > 16], length[length > 16], strict=True):
         yield spanning(fps[s : s + n])

@@ -76,14 +76,15 @@ def test_one_row_of_each_group_stays(spark, mixed):
 @pytest.mark.parametrize("limit", [2048, 4])
 def test_search_keys_miss_no_link(spark, monkeypatch, limit):
     rng = np.random.default_rng(1)
-    base = rng.integers(0, 1 << 63, 40).astype(np.uint64)
-    near = [b ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, 3, replace=False).astype(np.uint64)) for b in base]
+    base = rng.integers(0, 1 << 63, 40).astype(np.uint64) << np.uint64(1)
+    near = [b ^ np.uint64(1 << 63) for b in base[:10]] + [b ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, 3, replace=False).astype(np.uint64)) for b in base]
     dense = [base[0] ^ np.uint64(1 << k) for k in range(40)]
     fps = np.unique(np.r_[base, near, dense].astype(np.uint64)).view(np.int64)
     monkeypatch.setattr(golay_simhash, "GROUP_ROWS", limit)
     edges = golay_simhash.near_edges(spark.createDataFrame([(int(x),) for x in fps], "fp bigint"))
     roots = {r["node"]: r["root"] for r in common.components(edges).collect()}
-    close = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+    bits = fps.view(np.uint64)
+    close = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= 3
     for a, b in zip(*np.where(close), strict=True):
         if a != b:
             assert roots[int(fps[a])] == roots[int(fps[b])]
