@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from accesspanel.sources import tables
 
 #: Bytes of text a worker handles at once, whatever the Arrow batch holds.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def ship_package(spark: SparkSession) -> None:

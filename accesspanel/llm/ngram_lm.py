@@ -252,6 +252,8 @@ def train(rows: DataFrame, order: int = ORDER, lower: bool = False) -> Model:
     counted = table.toArrow()
     grams = counted.column("gram").to_numpy().astype(np.int64).view(np.uint64)
     tables = estimate(grams, counted.column("n").to_numpy(), order)
+    del counted
+    pa.default_memory_pool().release_unused()
     name = f"ngram-{uuid.uuid4().hex}.bin"
     folder = tempfile.mkdtemp(prefix="run-model-")
     with open(f"{folder}/{name}", "wb") as file:
