@@ -109,8 +109,8 @@ def per_slice(
 def hash_sample(df: DataFrame, group: str, key: str, buckets: int, max_groups: int = 512) -> DataFrame:
     """At most ``buckets`` rows (and their repeats) of each ``group``: of each
     of that many hash buckets, the row with the least key hash. Only ``max_groups * buckets``
-    hashes reach the driver; more groups than that raise."""
-    hashed = df.withColumn("sample_hash", F.xxhash64(F.col(key)))
+    hashes reach the driver; more groups than that raise. Rows without a key are left out."""
+    hashed = df.where(F.col(key).isNotNull()).withColumn("sample_hash", F.xxhash64(F.col(key)))
     least = (
         hashed.where(F.col(group).isNotNull())
         .groupBy(group, F.pmod("sample_hash", F.lit(buckets)).alias("bucket"))

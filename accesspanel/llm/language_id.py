@@ -138,8 +138,8 @@ def learn(rows: DataFrame) -> tuple[tuple[str, bytes], ...]:
     usable = rows.where("lang is not null and text is not null and length(text) > 0")
     picked = (
         hash_sample(usable, "lang", "doc_id", SAMPLE_ROWS, MAX_LANGUAGES)
-        .select("lang", "sample_hash", F.substring(letters("text"), 1, SAMPLE_TEXT).alias("text"))
-        .distinct()
+        .groupBy("lang", "sample_hash")
+        .agg(F.min(F.substring(letters("text"), 1, SAMPLE_TEXT)).alias("text"))
         .collect()
     )
     texts: dict[str, bytes] = {}

@@ -189,8 +189,8 @@ def learn(rows: DataFrame, labels: DataFrame, label: str = "quality") -> Network
     chosen = hash_sample(known, "label", "labelled", SAMPLE_ROWS).select("labelled", "label").distinct()
     taken = (
         rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
-        .select("doc_id", "label", F.substring("text", 1, SAMPLE_TEXT).alias("text"))
-        .distinct()
+        .groupBy("doc_id", "label")
+        .agg(F.min(F.substring("text", 1, SAMPLE_TEXT)).alias("text"))
         .collect()
     )
     taken.sort(key=lambda r: (r["doc_id"], r["label"], r["text"] or ""))
