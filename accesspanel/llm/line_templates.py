@@ -23,15 +23,15 @@ MIN_DOCS = 3
 #: Least share of a line's tokens that its template must keep.
 SIMILAR = 0.8
 
-SPACE = r"[ \t\x0B\f\r]+"
-WITH_DIGIT = r"[^ \t\x0B\f\r]*[0-9][^ \t\x0B\f\r]*"
+SPACES = "\t\x0b\f\r"
 ANY = "<*>"
 
 
 def tokens(line: Column) -> Column:
-    """Tokens of a line, those with a digit as ``<*>``."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, WITH_DIGIT, ANY)).otherwise(line)
-    return F.array_remove(F.split(masked, SPACE), "")
+    """Tokens of a line, those with a digit as ``<*>``. Most lines have neither a digit
+    nor white space but blanks, and are split as they are."""
+    masked = F.regexp_replace(F.translate(line, SPACES, " " * len(SPACES)), "[^ ]*[0-9][^ ]*", ANY)
+    return F.array_remove(F.split(F.when(line.rlike(f"[0-9{SPACES}]"), masked).otherwise(line), " "), "")
 
 
 def _lines(docs: DataFrame, *keep: Column) -> DataFrame:
