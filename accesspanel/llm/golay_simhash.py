@@ -275,17 +275,22 @@ def near_duplicates(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", tex
     )
 
 
-def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stand for their component, as they are: the one of
-    least ``doc_id`` (a NULL id last), and of equal ids that of least row_hash."""
-    marked = materialize(fingerprints(docs, words), "fingerprints")
+def rows_that_stay(docs: DataFrame, marked: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` of least rank in each ``root`` of ``grouped`` (``fp``, ``root``)."""
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     least = marked.groupBy("fp", "row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     stay = materialize(
-        least.join(_grouped(marked), "fp").groupBy("root").agg(F.min_by(F.struct("row", "n"), rank).alias("best")), "stay"
+        least.join(grouped, "fp").groupBy("root").agg(F.min_by(F.struct("row", "n"), rank).alias("best")), "stay"
     ).select("best.*")
     key = free_name(docs, "stay_row")
     kept = docs.join(stay.select(F.col("row").alias(key)), row_hash() == F.col(key))
     if not stay.where("n > 1").isEmpty():  # the same row more than once
         kept = kept.dropDuplicates([key])
     return kept.select(*docs.columns)
+
+
+def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
+    """The rows of ``docs`` that stand for their component, as they are: the one of
+    least ``doc_id`` (a NULL id last), and of equal ids that of least row_hash."""
+    marked = materialize(fingerprints(docs, words), "fingerprints")
+    return rows_that_stay(docs, marked, _grouped(marked))
