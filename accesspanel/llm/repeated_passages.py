@@ -87,11 +87,11 @@ def anchors(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, n
         yield low + a, end - low, h[anchor], context
 
 
-OCCURRENCES = "anchor bigint, context bigint, doc bigint, spot bigint"
+OCCURRENCES = "anchor bigint, context bigint, doc bigint, row bigint, spot bigint"
 
 
-#: A spot: the run's start, the bytes beyond MATCH that it covers, and the row's tag.
-START_BITS, TAG_AT = 34, 40
+#: A spot: the run's start and the bytes beyond MATCH that it covers.
+START_BITS = 34
 #: Set in the spot of an occurrence known to be covered.
 KNOWN = -(1 << 63)
 
@@ -101,19 +101,20 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     same batch are known to be covered: they go out with a negative spot and an anchor
     that spreads them, so that a passage in many documents sends few rows to its anchor."""
     for batch in batches:
-        columns: list[list[np.ndarray]] = [[], [], [], []]
+        columns: list[list[np.ndarray]] = [[], [], [], [], []]
         for part in slices(batch, "text", SEGMENT_BYTES):
-            for text, doc, tag in zip(
-                utf8(part.column("text")), part.column("doc").to_pylist(), part.column("tag").to_pylist(), strict=True
+            for text, doc, row in zip(
+                utf8(part.column("text")), part.column("doc").to_pylist(), part.column("row").to_pylist(), strict=True
             ):
                 for low, size, h, context in anchors(text):
                     columns[0].append(h)
                     columns[1].append(context)
                     columns[2].append(np.full(len(h), doc))
-                    columns[3].append(low | size - MATCH << START_BITS | tag << TAG_AT)
+                    columns[3].append(np.full(len(h), row))
+                    columns[4].append(low | size - MATCH << START_BITS)
         if not columns[0]:
             continue
-        h, context, doc, spot = (np.concatenate(c) for c in columns)
+        h, context, doc, row, spot = (np.concatenate(c) for c in columns)
         both = h * np.uint64(0x9E3779B97F4A7C15) ^ context
         by = np.argsort(both)
         first = np.flatnonzero(np.r_[True, both[by][1:] != both[by][:-1]])
@@ -121,10 +122,10 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least[by] = np.repeat(np.minimum.reduceat(doc[by], first), np.diff(np.r_[first, len(by)]))
         known = doc > least
         spot[known] |= KNOWN
-        h[known] = (spot[known].view(np.uint64) ^ doc[known].astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
+        h[known] = ((spot ^ row)[known].view(np.uint64) ^ doc[known].astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array(spot)],
-            ["anchor", "context", "doc", "spot"],
+            [pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array(row), pa.array(spot)],
+            ["anchor", "context", "doc", "row", "spot"],
         )
 
 
@@ -137,21 +138,22 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     anchor has another context. Nothing but the current first document's rows is held."""
     none = np.zeros(0, np.int64)
     anchor = context = first = None
-    several, held = False, (none, none, none, none)
+    several, held = False, (none,) * 5
 
-    def frame(is_open: bool, h, c, d, w) -> pa.RecordBatch:
+    def frame(is_open: bool, h, c, d, r, w) -> pa.RecordBatch:
         if not is_open:
             h = c = np.zeros(len(d), np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(d), is_open)), *map(pa.array, (h, c, d, w))], ["open", "anchor", "context", "doc", "spot"]
+            [pa.array(np.full(len(d), is_open)), *map(pa.array, (h, c, d, r, w))],
+            ["open", "anchor", "context", "doc", "row", "spot"],
         )
 
     for batch in batches:
-        h, c, d, w = (batch.column(k).to_numpy() for k in ("anchor", "context", "doc", "spot"))
+        h, c, d, r, w = (batch.column(k).to_numpy() for k in ("anchor", "context", "doc", "row", "spot"))
         known = w < 0
         if known.any():
-            yield frame(False, h, c, d[known], w[known] & ~KNOWN)
-            h, c, d, w = h[~known], c[~known], d[~known], w[~known]
+            yield frame(False, h, c, d[known], r[known], w[known] & ~KNOWN)
+            h, c, d, r, w = (x[~known] for x in (h, c, d, r, w))
         if not len(h):
             continue
         new_h = np.r_[h[0] != anchor if anchor is not None else True, h[1:] != h[:-1]]
@@ -166,16 +168,16 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(held[0]) and multiple[0]:
             yield frame(True, *held)
         if run[-1] > 0 or multiple[0]:
-            held = (none, none, none, none)
+            held = (none,) * 5
         of_first = d == least
         later = ~of_first
         if later.any():
-            yield frame(False, h[later], c[later], d[later], w[later])
+            yield frame(False, *(x[later] for x in (h, c, d, r, w)))
         out = of_first & multiple[run]
         if out.any():
-            yield frame(True, h[out], c[out], d[out], w[out])
+            yield frame(True, *(x[out] for x in (h, c, d, r, w)))
         wait = of_first & (run == run[-1]) & ~multiple[run[-1]]
-        held = tuple(np.r_[x, y[wait]] for x, y in zip(held, (h, c, d, w), strict=True))
+        held = tuple(np.r_[x, y[wait]] for x, y in zip(held, (h, c, d, r, w), strict=True))
         anchor, context, first, several = h[-1], c[-1], least[-1], bool(multiple[run[-1]])
 
 
@@ -313,7 +315,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text, doc = texts[i].as_py(), batch.column("doc")[i].as_py()
             for a in asked:
                 low = a["spot"] & (1 << START_BITS) - 1
-                high = low + MATCH + (a["spot"] >> START_BITS & (1 << TAG_AT - START_BITS) - 1)
+                high = low + MATCH + (a["spot"] >> START_BITS)
                 for column, value in zip(columns, (a["anchor"], a["context"], doc, text[low:high]), strict=True):
                     column.append(value)
         yield pa.RecordBatch.from_arrays(
@@ -360,11 +362,11 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc"),
-        F.shiftrightunsigned(row_hash(), 42).alias("tag"),
+        row_hash().alias("row"),
         F.col("text").cast("string").alias("text"),
     )
     met = materialize(
-        rows.select("doc", "tag", "text")
+        rows.select("doc", "row", "text")
         .mapInArrow(_occurrences, OCCURRENCES)
         .repartition("anchor")
         .sortWithinPartitions("anchor", "context", "doc")
@@ -372,20 +374,19 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
         "anchors",
     ).withColumns(
         {
-            "tag": F.shiftright("spot", TAG_AT),
             "start": F.col("spot").bitwiseAND((1 << START_BITS) - 1),
-            "size": F.shiftright("spot", START_BITS).bitwiseAND((1 << TAG_AT - START_BITS) - 1) + MATCH,
+            "size": F.shiftright("spot", START_BITS) + MATCH,
         }
     )
     still_open = met.where("open")
-    one = still_open.groupBy("anchor", "context").agg(F.min("doc").alias("doc"), F.min("spot").alias("spot"))
-    asked = one.groupBy("doc", F.shiftright("spot", TAG_AT).alias("tag")).agg(
+    one = still_open.groupBy("anchor", "context").agg(F.min(F.struct("doc", "row", "spot")).alias("least"))
+    asked = one.select("anchor", "context", "least.*").groupBy("doc", "row").agg(
         F.collect_list(F.struct("anchor", "context", "spot")).alias("asked")
     )
     # a repeated row gives its contexts again, which changes no minimum
     contexts = materialize(
-        rows.select("doc", "tag", "text")
-        .join(asked, ["doc", "tag"])
+        rows.select("doc", "row", "text")
+        .join(asked, ["doc", "row"])
         .mapInArrow(_cut, "anchor bigint, context bigint, doc bigint, bytes binary"),
         "contexts",
     )
@@ -404,11 +405,11 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
         .sortWithinPartitions("chunk")
         .mapInArrow(_compared, FOUND)
     )
-    covered = met.where("not open").selectExpr("doc", "tag", "start AS low", "start + size AS high")
+    covered = met.where("not open").selectExpr("doc", "row", "start AS low", "start + size AS high")
     part = still_open.join(found, ["anchor", "context"]).selectExpr(
-        "doc", "tag", "start + low AS low", "start + high AS high"
+        "doc", "row", "start + low AS low", "start + high AS high"
     )
-    spans = covered.unionByName(part).groupBy("doc", "tag").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    return rows.join(spans, ["doc", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(
+    spans = covered.unionByName(part).groupBy("doc", "row").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    return rows.join(spans, ["doc", "row"], "left").select("doc_id", "text", "spans").mapInArrow(
         _removed, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     )
