@@ -1,20 +1,14 @@
-"""The headline question from the given tables in one lazy plan."""
+"""The headline question over the layers, each written before the next starts from it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from accesspanel.catalogue import derived
-from accesspanel.plans import builders, questions
+from accesspanel.plans import questions
 
 
 def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw texts, clean tables, panel, fact and gap without written steps."""
-    width = derived.CODE_WIDTH
-    medicare = builders.clean_medicare(derived.raw_medicare(spark, sf_dir), width)
-    codes = builders.clean_codes(derived.raw_codes(spark, sf_dir), width)
-    crosswalk = builders.clean_crosswalk(derived.raw_crosswalk(spark, sf_dir), width)
-    pharmacies = builders.clean_pharmacies(derived.raw_pharmacies(spark, sf_dir), crosswalk, width)
-    panel = builders.county_year_panel(pharmacies, medicare, derived.YEARS, width)
-    fact = builders.fact_county_year(medicare, panel, codes, derived.YEARS, width)
-    return questions.fragility_gap(fact, derived.YEAR)
+    """Raw texts, clean tables, panel and fact as written layers, and the gap in one scan
+    of the last. No plan spans more than one layer, so planning stays short."""
+    return questions.fragility_gap(derived.staged(spark, sf_dir, "curated.fact_county_year"), derived.YEAR)

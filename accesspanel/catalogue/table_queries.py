@@ -317,8 +317,7 @@ def _(spark, sf_dir):
     return questions.gap_trend(staged(spark, sf_dir, FACT), YEARS)
 
 
-@query(
-    "r2_excess_concentration",
+_RUNNING = (
     "WITH rural AS (SELECT county_fips, active_pharmacies, tot_mdcr_stdzd_pymt_pc AS spend, benes_ffs_cnt AS w "
     f"FROM fact WHERE year_id = {YEAR} AND rucc_code BETWEEN 4 AND 9 AND {SPEND} IS NOT NULL AND {WEIGHT} IS NOT NULL), "
     "bench AS (SELECT sum(spend * w)::DOUBLE / nullif(sum(w), 0)::DOUBLE AS pc FROM rural WHERE active_pharmacies >= 2), "
@@ -328,13 +327,20 @@ def _(spark, sf_dir):
     "FROM excess WINDOW o AS (ORDER BY excess DESC NULLS LAST, county_fips ROWS UNBOUNDED PRECEDING)) "
     "SELECT pos::INTEGER AS \"position\", county_fips, excess::DOUBLE AS excess, "
     "round(excess::DOUBLE / nullif(total::DOUBLE, 0), 6) AS share, "
-    "round(running::DOUBLE / nullif(total::DOUBLE, 0), 6) AS running_share FROM ranked WHERE pos <= 15",
-    ("fact",),
+    "round(running::DOUBLE / nullif(total::DOUBLE, 0), 6) AS running_share FROM ranked"
 )
+
+
+@query("r2_excess_concentration", f"{_RUNNING} WHERE pos <= 15", ("fact",))
 def _(spark, sf_dir):
     return questions.excess_concentration(staged(spark, sf_dir, FACT), YEAR)
 
 
+@query("r2_running_concentration", _RUNNING, ("fact",))
+def _(spark, sf_dir):
+    return questions.excess_concentration(staged(spark, sf_dir, FACT), YEAR, None)
+
+
 _WHOLE = bucket_sql(_SPEND_MEAN, [SPEND], extremes=False)
 _PARTS = bucket_sql(
     _SPEND_MEAN, [SPEND, "rural_urban_group"], extremes=False, strata="rural_urban_group"

@@ -35,6 +35,14 @@ def fits_broadcast(df: DataFrame) -> bool:
     return int(str(size)) <= _bytes(limit)
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name``, or with underscores before it where one of the frames has such a column."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def _bytes(text: str) -> int:
     """Bytes of a Spark size setting such as 10485760, 10485760b or 10MB."""
     number, unit = re.fullmatch(r"(-?[0-9]+)([a-z]*)", text.strip().lower()).groups()
@@ -53,10 +61,12 @@ def lookup_join(
 
     A lookup small enough to be broadcast is simply joined. Beside a larger one a few
     keys (a blank code, say) may hold much of the left rows. Rows of the frequent keys
-    are then salted by their content over ``SALTS`` shuffle keys, and each of the at
-    most ``HOT_KEYS`` lookup rows they need is repeated for every salt. Each side is
-    read once, beside the pass that finds the keys. A key beyond HOT_KEYS is left to
-    adaptive skew handling. ``skewed`` forces the choice, which never changes the result."""
+    are then salted over ``SALTS`` shuffle keys by their content and the partition they
+    come from, so equal rows are spread too and a repeated task deals its rows alike;
+    each of the at most ``HOT_KEYS`` lookup rows they need is repeated for every salt.
+    Each side is read once, beside the pass that finds the keys. A key beyond HOT_KEYS is
+    left to adaptive skew handling. ``skewed`` forces the choice, which never changes the
+    result: the left columns, whatever their names, then those of the lookup."""
     keys = [on] if isinstance(on, str) else list(on)
     if skewed is None:
         skewed = not fits_broadcast(right)
@@ -64,24 +74,27 @@ def lookup_join(
         if not null_is_key:
             return left.join(right, keys, "left")
         return _joined(left, right, keys)
+    salt = free_name("_salt", left, right)
     is_hot = F.xxhash64(*keys).isin(frequent_keys(left, keys))
-    none = F.array(F.lit(0).cast("bigint"))
-    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
-    salted = left.withColumn(
-        "_salt", F.when(is_hot, F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(F.lit(0).cast("bigint"))
-    )
-    spread = right.withColumn("_salt", F.explode(F.when(is_hot, salts).otherwise(none)))
+    one = F.lit(0).cast("bigint")
+    place = F.pmod(F.xxhash64(*left.columns, F.spark_partition_id()), F.lit(SALTS))
+    salts = F.sequence(one, F.lit(SALTS - 1).cast("bigint"))
+    salted = left.withColumn(salt, F.when(is_hot, place).otherwise(one))
+    spread = right.withColumn(salt, F.explode(F.when(is_hot, salts).otherwise(F.array(one))))
     if null_is_key:
-        return _joined(salted, spread, [*keys, "_salt"]).drop("_salt")
-    return salted.join(spread, [*keys, "_salt"], "left").drop("_salt")
+        return _joined(salted, spread, [*keys, salt]).drop(salt)
+    return salted.join(spread, [*keys, salt], "left").drop(salt)
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join on null-safe equality, columns as in a join by name."""
-    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
-    same = None
+    names: dict[str, str] = {}
     for k in keys:
-        one = F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+        names[k] = free_name(f"_right_{k}", left, right)
+    named = right.withColumnsRenamed(names)
+    same = None
+    for k, r in names.items():
+        one = F.col(k).eqNullSafe(F.col(r))
         same = one if same is None else same & one
     rest = [c for c in left.columns if c not in keys]
     added = [c for c in right.columns if c not in keys]

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accesspanel.functions.measures import tier_label
@@ -17,7 +17,7 @@ from accesspanel.operators.aggregates import (
     top_k,
     weighted_mean,
 )
-from accesspanel.operators.windows import ntile_bucket
+from accesspanel.operators.windows import ntile_bucket, running_totals
 
 AREA = "county_fips"
 PERIOD = "year_id"
@@ -160,46 +160,49 @@ def gap_trend(fact: DataFrame, years: Sequence[int]) -> DataFrame:
     return _gap_names(gaps, [PERIOD]).orderBy(PERIOD)
 
 
-def excess_concentration(fact: DataFrame, year: int, k: int = 15) -> DataFrame:
-    """The k fragile areas with the greatest excess (spend above the rural
-    benchmark, times people), each with its share of the total excess of all
-    fragile areas and the running share."""
+def excess_concentration(fact: DataFrame, year: int, k: int | None = 15) -> DataFrame:
+    """The k fragile areas with the greatest excess (spend above the rural benchmark, times
+    people), or all of them (``None``), each with its share of the total excess of all
+    fragile areas and the running share. Two scans: the benchmark, then the areas, whose
+    positions and running sums come from a prefix sum over ranges of the order."""
     rows = fact.filter((F.col(PERIOD) == year) & rural() & all_present(SPEND, WEIGHT))
     bench = rows.filter(F.col(ACTIVE) >= 2).agg(weighted_mean(SPEND, WEIGHT).alias("bench"))
     over = F.col(SPEND).cast("double") - F.col("bench")
     excess = (
         rows.filter(F.col(ACTIVE).isin(0, 1))
         .crossJoin(F.broadcast(bench))
-        .select(AREA, (over * F.col(WEIGHT)).cast("decimal(18,2)").alias("excess"))
+        .select(AREA, (over * F.col(WEIGHT)).cast("decimal(18,2)").alias("excess"), F.lit(1).alias("one"))
     )
-    total = excess.agg(F.sum("excess").cast("double").alias("total_excess"))
-    first = top_k(excess, [F.col("excess").desc_nulls_last(), F.col(AREA).asc()], k)
-    # At most k rows from here on.
-    order = Window.orderBy(F.col("excess").desc_nulls_last(), F.col(AREA).asc())
-    running = F.sum("excess").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    share = F.nullif("total_excess", F.lit(0.0))
-    return first.crossJoin(F.broadcast(total)).select(
-        F.row_number().over(order).alias("position"),
+    summed = running_totals(
+        excess,
+        {"position": "one", "running": "excess"},
+        "excess",
+        AREA,
+        descending=True,
+        totals={"total_excess": "excess"},
+    )
+    share = F.nullif(F.col("total_excess").cast("double"), F.lit(0.0))
+    out = summed.select(
+        F.col("position").cast("int").alias("position"),
         AREA,
         "excess",
         (F.col("excess").cast("double") / share).cast("decimal(18,6)").alias("share"),
-        (running.cast("double") / share).cast("decimal(18,6)").alias("running_share"),
+        (F.col("running").cast("double") / share).cast("decimal(18,6)").alias("running_share"),
     )
+    return out if k is None else out.filter(F.col("position") <= k)
 
 
 def stratified_contrast(fact: DataFrame, year: int, min_weight: int = 500) -> DataFrame:
     """Mean spend per density bucket over all areas beside the same within each
-    rural-urban group: a trend that turns once the groups are held apart."""
-    outcomes = {"avg_medicare_spend": SPEND}
-    whole = bucket_profile(fact, year, outcomes, [SPEND], min_weight, extremes=False)
-    parts = bucket_profile(
-        fact, year, outcomes, [SPEND, GROUP], min_weight, extremes=False, strata=[GROUP]
-    )
-    overall = whole.withColumn("stratum", F.lit("All"))
-    within = parts.withColumnRenamed(GROUP, "stratum")
-    return overall.unionByName(within).select(
-        "stratum", "density_bucket", "county_count", "avg_density", "avg_medicare_spend"
-    )
+    rural-urban group: a trend that turns once the groups are held apart. All areas are
+    one more stratum, so that all buckets come from the same passes over the year."""
+    strata = F.array(F.struct(F.lit(True).alias("whole"), F.lit("All").alias("stratum")),
+                     F.struct(F.lit(False).alias("whole"), F.col(GROUP).alias("stratum")))
+    given = F.filter(strata, lambda s: s["stratum"].isNotNull())
+    doubled = fact.select(PERIOD, AREA, DENSITY, SPEND, WEIGHT, F.inline(given))
+    return bucket_profile(
+        doubled, year, {"avg_medicare_spend": SPEND}, [SPEND], min_weight, extremes=False, strata=["whole", "stratum"]
+    ).select("stratum", "density_bucket", "county_count", "avg_density", "avg_medicare_spend")
 
 
 def spend_by_group(fact: DataFrame, year: int) -> DataFrame:

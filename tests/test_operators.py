@@ -62,6 +62,61 @@ def test_ntile_in_strata_with_null_stratum_and_hot_stratum(spark):
     assert rows(got) == rows(want.select(*got.columns))
 
 
+def test_ntile_by_selection_through_several_levels(spark):
+    df = spark.range(20_000).select(
+        "id",
+        F.when(F.col("id") < 14_000, "hot").when(F.col("id") % 3 > 0, F.concat(F.lit("s"), F.col("id") % 5)).alias("s"),
+        F.when(F.col("id") % 7 > 0, F.col("id") * 37 % 1000 % 211).alias("v"),
+        F.lit("x").alias("_n"),
+    )
+    got = w.ntile_bucket(df, 6, "v", "id", "b", strata=["s"], small=1500, sample=1000)
+    want = df.withColumn("b", F.ntile(6).over(Window.partitionBy("s").orderBy("v", "id")))
+    assert rows(got) == rows(want.select(*got.columns))
+    text = plan_of(got)
+    assert "rangepartitioning" not in text and "Sort " not in text and "Window" not in text
+    whole = w.ntile_bucket(df, 3, "v", "id", "b", small=1500, sample=1000)
+    assert rows(whole) == rows(df.withColumn("b", F.ntile(3).over(Window.orderBy("v", "id"))))
+
+
+def test_ntile_by_selection_with_one_value_and_text_keys(spark):
+    df = spark.range(3_000).select(F.format_string("k%05d", "id").alias("id"), F.lit(1.5).alias("v"))
+    got = w.ntile_bucket(df, 4, "v", "id", "b", small=1000, sample=1000)
+    assert rows(got.groupBy("b").agg(F.count("*"), F.min("id"), F.max("id"))) == [
+        (i + 1, 750, f"k{750 * i:05d}", f"k{750 * i + 749:05d}") for i in range(4)
+    ]
+
+
+def test_running_totals_equal_a_window(spark):
+    df = spark.range(5_000).select(
+        "id", (F.col("id") % 3).alias("s"), (F.col("id") * 7919 % 101).alias("v"),
+        F.when(F.col("id") % 9 > 0, (F.col("id") % 13).cast("decimal(18,2)")).alias("m"),
+    )
+    got = w.running_totals(df, {"run": "m"}, "v", "id", ["s"], descending=True, totals={"all": "m"})
+    over = Window.partitionBy("s")
+    in_order = over.orderBy(F.col("v").desc(), "id").rowsBetween(Window.unboundedPreceding, 0)
+    m = F.coalesce("m", F.lit(0))
+    want = df.withColumns({"run": F.sum(m).over(in_order), "all": F.sum(m).over(over)})
+    assert rows(got) == rows(want.select(*got.columns))
+    xor = w.running_totals(df, {"x": "v"}, "id", "id", combine="xor")
+    last = xor.where("id = 4999").first()["x"]
+    assert last == df.agg(F.bit_xor("v")).first()[0]
+    assert xor.where("id = 1").first()["x"] == 7919 % 101
+    assert w.running_totals(df.limit(0), {"run": "m"}, "v", "id").count() == 0
+
+
+def test_lookup_keeps_every_column_and_spreads_equal_rows(spark):
+    left = spark.range(4_000, numPartitions=8).select(F.lit(1).alias("k"), F.lit(5).alias("_salt"), F.lit(6).alias("_right_k"))
+    right = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    for null_is_key in (False, True):
+        out = j.lookup_join(left, right, "k", skewed=True, null_is_key=null_is_key)
+        assert out.columns == ["k", "_salt", "_right_k", "v"]
+        assert out.distinct().collect() == [(1, 5, 6, "a")] and out.count() == 4_000
+        plain = j.lookup_join(left, right, "k", skewed=False, null_is_key=null_is_key)
+        assert plain.columns == out.columns
+    salt = F.pmod(F.xxhash64("k", "_salt", F.spark_partition_id()), F.lit(j.SALTS))
+    assert left.select(salt).distinct().count() > 4
+
+
 def test_ntile_never_uses_a_single_partition(spark):
     df = spark.range(100).select("id", (F.col("id") % 3).alias("v"))
     ranked = w.ntile_bucket(df, 5, "v", "id")

@@ -83,3 +83,41 @@ def test_changed_files_are_read_anew(spark, folder):
         f"{folder}/customer.parquet"
     )
     assert derived.staged(spark, folder, "raw.rucc_codes").count() == 2 * before
+
+
+def scans(text):
+    return text.count("FileScan")
+
+
+def test_concentration_has_no_single_task_window(spark, large_sides):
+    text = plan_of(questions.excess_concentration(fact(spark), derived.YEAR, None))
+    # the areas are read from the written ranges: their rows and their one total per range
+    assert scans(text) == 2 and "year_id" not in text
+    assert "Window" in text and text.count("SinglePartition") <= 1  # totals per range only
+
+
+def test_buckets_need_no_sort_of_the_year(spark):
+    text = plan_of(questions.stratified_contrast(fact(spark), derived.YEAR))
+    assert text.count("county_year") <= 1 and "Window" not in text
+    assert text.count("rangepartitioning") <= 1  # the order of the result
+
+
+def test_entry_runs_with_a_small_heap(folder):
+    """The headline in a session of its own with 1 GB of driver heap."""
+    import subprocess
+    import sys
+
+    code = (
+        "import __spark_entry__ as e\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[4]').config('spark.ui.enabled', 'false')"
+        ".config('spark.driver.memory', '1g').config('spark.sql.shuffle.partitions', '4')"
+        f".config('spark.checkpoint.dir', '{folder}').getOrCreate()\n"
+        "df = e.entry(s)\n"
+        "print('rows', len(df.collect()), df._jdf.queryExecution().tracker().phases().apply('optimization').durationMs())\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=280)
+    words = done.stdout.split()
+    assert words[:2] == ["rows", "1"], done.stderr[-2000:]
+    assert int(words[2]) < 3_000
