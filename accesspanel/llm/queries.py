@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from accesspanel.llm import bpe, decontamination, golay_simhash, language_id, line_templates, lm_scoring, quality_cnn, quality_rules, repeated_passages, sharding
+from accesspanel.llm import (
+    bpe,
+    decontamination,
+    golay_simhash,
+    language_id,
+    lexical_search,
+    line_templates,
+    lm_scoring,
+    mixing,
+    prefix_trie,
+    quality_cnn,
+    quality_rules,
+    repeated_passages,
+    sharding,
+)
 from accesspanel.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +68,20 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.drop_recurring(docs)
 
 
+def op11_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(documents(spark, sf_dir))
+
+
+def op12_fp_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search_documents(
+        documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_cross_parsing": op1_cross_parsing,
     "op2_benchmark_templates": op2_benchmark_templates,
@@ -65,7 +93,12 @@ QUERIES: dict[str, Query] = {
     "op8_byte_cnn": op8_byte_cnn,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_line_templates": op10_line_templates,
+    "op11_hypergeometric_mix": op11_hypergeometric_mix,
+    "op12_fp_tree_search": op12_fp_tree_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES: dict[str, str] = {
     "op10_line_templates": line_templates.ORACLE_SQL,
+    "op12_fp_tree_search": lexical_search.ORACLE_SQL,
+    "op13_prefix_trie": prefix_trie.ORACLE_SQL,
 }

@@ -22,6 +22,7 @@ COLUMNS = {
     "op9_kneser_ney": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
     "base_score double, score double",
     "op10_line_templates": "doc_id bigint, text string, n_lines bigint, n_dropped bigint",
+    "op11_hypergeometric_mix": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
 }
 
 
@@ -40,13 +41,19 @@ def test_one_row_per_document(spark, documents, name):
     assert sorted(r["doc_id"] for r in df.select("doc_id").collect()) == documents
 
 
-def test_line_templates_equal_their_sql(spark):
+@pytest.mark.parametrize("name", ["op10_line_templates", "op12_fp_tree_search", "op13_prefix_trie"])
+def test_rows_equal_their_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF_DIR}/documents.parquet'")
-    cursor = con.execute(registry.oracle_sql()["op10_line_templates"])
+    for table in ("documents", "benchmark", "conversations"):
+        con.execute(f"create view {table} as select * from '{SF_DIR}/{table}.parquet'")
+    cursor = con.execute(registry.oracle_sql()[name])
     names = [d[0] for d in cursor.description]
-    got = registry.queries()["op10_line_templates"](spark, SF_DIR).collect()
-    assert sorted(tuple(r[n] for n in names) for r in got) == sorted(cursor.fetchall())
+    got = registry.queries()[name](spark, SF_DIR).collect()
+
+    def order(row):
+        return tuple((v is not None, v if v is not None else 0) for v in row)
+
+    assert sorted((tuple(r[n] for n in names) for r in got), key=order) == sorted(cursor.fetchall(), key=order)
 
 
 def test_pipeline_keeps_some_documents(spark, documents):
