@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accesspanel.llm import bpe, decontamination, line_templates, quality_rules, similar_texts
+from accesspanel.llm import bpe, decontamination, golay_simhash, line_templates, quality_rules
 from accesspanel.llm.common import documents, materialize
 
 
@@ -23,8 +23,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
-    return similar_texts.one_of_each(docs)
+    """One row of each group of near-duplicates: SimHash of three-word shingles, at most three
+    differing bits."""
+    return golay_simhash.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
