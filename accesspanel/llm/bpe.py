@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from accesspanel.llm.common import per_slice, text_rows
+from accesspanel.llm.common import held, per_slice, text_rows
 
 #: Words whose tokens a worker remembers; it forgets all of them beyond that.
 REMEMBERED_WORDS = 600_000
@@ -204,11 +204,6 @@ class Bpe:
         return np.frombuffer(self.encode_and_decode(text)[0], "<u4").tolist()
 
 
-@lru_cache(maxsize=2)
-def _loaded(spec: str) -> Bpe:
-    return Bpe(spec)
-
-
 def tokenize(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``n_tokens`` and the SHA-256 of the ids (as
     little-endian unsigned 32-bit integers) and of the text decoded from them.
@@ -220,7 +215,7 @@ def tokenize(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
     spec = spark.sparkContext.broadcast(Path(vocabulary).read_text())
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = _loaded(spec.value)
+        bpe = held(("bpe", spec.value), lambda: Bpe(spec.value))
         coded = [bpe.encode_and_decode(t or "") for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays(
             [

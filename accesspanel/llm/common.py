@@ -3,10 +3,13 @@ and connected components. Every intermediate table goes to the shared folder."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +21,25 @@ from accesspanel.sources import tables
 SLICE_BYTES = 2 << 20
 
 
+T = TypeVar("T")
+_HELD: dict = {}
+
+
+def held(key: object, make: Callable[[], T]) -> T:
+    """State that a Python worker keeps from task to task: tables, caches of words. A worker
+    holds one at a time; what another operator left in a reused worker is given up first,
+    and its memory handed back."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once per application: they need
     not share the driver's import path."""

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accesspanel.llm.common import free_name, materialize, row_hash, ship_package, slices
+from accesspanel.llm.common import free_name, held, materialize, row_hash, ship_package, slices
 
 WINDOW = 8
 #: Tokens of a window that are not placeholders; fewer say nothing about its source.
@@ -71,7 +71,6 @@ class Hashes(dict):
         return h
 
 
-_HASHES = Hashes()
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -79,7 +78,8 @@ def windows(texts: list[list[str]], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of each window of ``size`` tokens within one of the texts; starts
     count through all texts."""
     ends = np.cumsum([len(t) for t in texts])
-    h = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(texts)), np.uint64, int(ends[-1]) if len(ends) else 0)
+    known = held("template hashes", Hashes)
+    h = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), np.uint64, int(ends[-1]) if len(ends) else 0)
     n = len(h) - size + 1
     if n < 1:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)

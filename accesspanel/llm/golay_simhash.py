@@ -15,7 +15,6 @@ keys, rows of one key are compared, and linked pairs become component edges.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accesspanel.llm.common import components, free_name, materialize, per_slice, row_hash, text_rows, utf8
+from accesspanel.llm.common import components, free_name, held, materialize, per_slice, row_hash, text_rows, utf8
 
 #: Fixed value: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the binary Golay code.
 GENERATOR = 0b101011100011
@@ -31,6 +30,8 @@ WIDTHS = (23, 23, 18)
 MAX_BITS = 3
 #: Shingles counted at once, so that a long text needs no more memory than a short one.
 SHINGLES_AT_ONCE = 1 << 16
+#: Fingerprints that one task turns into keys.
+FINGERPRINTS_A_TASK = 50_000
 #: Rows of one key compared in one task; larger groups are cut into blocks of half this.
 GROUP_ROWS = 2048
 
@@ -60,6 +61,7 @@ def fingerprints(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text:
     """``doc_id``, ``row`` (row_hash) and ``fp`` (the 64 bits as a signed BIGINT) of every row."""
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held("fingerprints", dict)
         fp = np.array([fingerprint(t, words) for t in utf8(batch.column("text"))], np.uint64)
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("row"), pa.array(fp.view(np.int64))], ["doc_id", "row", "fp"]
@@ -69,7 +71,6 @@ def fingerprints(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text:
     return rows.mapInArrow(per_slice(hashed), "doc_id bigint, row bigint, fp bigint")
 
 
-@lru_cache(maxsize=1)
 def codeword_index() -> np.ndarray:
     """Index of the nearest codeword for each of the 2**23 words: every word is
     within three bits of exactly one."""
@@ -89,7 +90,7 @@ def codeword_index() -> np.ndarray:
 def fuzzy_indices(word: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(n, 6) codeword indices of each word and its one-bit neighbours, and which
     of the six are new."""
-    table = codeword_index()
+    table = held("Golay codewords", codeword_index)
     flips = np.array([0, *(1 << i for i in range(width))], np.int64)
     found = np.sort(table[word[:, None] ^ flips[None, :]].astype(np.int64), axis=1)
     new = np.ones(found.shape, bool)
@@ -232,9 +233,11 @@ def near_edges(fps: DataFrame) -> DataFrame:
     One shuffle deals the keys. A key with over GROUP_ROWS members is cut into
     blocks, and each pair of blocks is a group of its own, so no task holds
     more; a group yields at most one edge per member, never all its pairs."""
+    fps = materialize(fps.select("fp"), "distinct_fingerprints")
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # by number: each row becomes some 180, which the size of the rows does not show
-    keyed = fps.select("fp").repartition(parts, "fp").mapInArrow(_keyed, "key bigint, fp bigint")
+    parts = max(parts, -(-fps.count() // FINGERPRINTS_A_TASK))
+    keyed = fps.repartition(parts).mapInArrow(_keyed, "key bigint, fp bigint")
     found = materialize(
         keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(True), EDGES), "golay"
     )

@@ -18,7 +18,6 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accesspanel.llm.common import materialize, slices, utf8
+from accesspanel.llm.common import held, materialize, slices, utf8
 
 ORDER = 6
 END = b"\n"
@@ -101,6 +100,7 @@ def _counter(order: int, lower: bool) -> Callable[[Iterator[pa.RecordBatch]], It
         return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], ["gram", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("n-gram counts", dict)
         keys: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         for batch in batches:
@@ -227,12 +227,12 @@ class Model:
         for group in pieces(texts, order):
             grams, starts = ngrams([part for _, part in group], order)
             distinct, where = np.unique(grams, return_inverse=True)
-            sums = np.add.reduceat(log_probabilities(_mapped(self), distinct)[where], starts)
+            tables = held(self, lambda: _mapped(self))
+            sums = np.add.reduceat(log_probabilities(tables, distinct)[where], starts)
             np.add.at(out, [i for i, _ in group], sums)
         return out
 
 
-@lru_cache(maxsize=2)
 def _mapped(model: Model) -> list[Table]:
     path, n = SparkFiles.get(model.file), model.bounds[-1]
     columns = [np.memmap(path, t, "r", at * n, n) for t, at in zip(TYPES, (0, 8, 12), strict=True)] if n else [np.zeros(0)] * 3

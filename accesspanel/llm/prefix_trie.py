@@ -310,6 +310,8 @@ def prefix_trie(conversations: DataFrame, heavy_nodes: int = HEAVY_NODES, queue_
     without ``conv_id`` are left out. No conversation: no rows, not even a root."""
     ship_package(conversations.sparkSession)
     rows, convs = rebuilt(turns_of(conversations))
+    # written first: Spark would take the size of the joins before it for their product
+    rows = materialize(rows, "rebuilt")
     hashed = rows.withColumns({"g1": F.xxhash64("depth", "c1", "c2"), "g2": F.xxhash64("c2", "depth", "c1")})
     placed = running_totals(
         hashed.drop("c1", "c2"), {"h1": "g1", "h2": "g2"}, "depth", "conv_id", ["conv_id"], combine="xor"
