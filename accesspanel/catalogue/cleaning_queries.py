@@ -22,7 +22,7 @@ from accesspanel.operators.quality import profile_columns
 from accesspanel.operators.windows import dominant_row
 from accesspanel.plans import schemas
 from accesspanel.plans.builders import typed_crosswalk
-from accesspanel.sources import tables
+from accesspanel.sources import rejects, tables, versions
 from accesspanel.sources.contracts import Contract, Field, conform
 
 PHARMACIES, MEDICARE = "raw.pharmacies", "raw.medicare_spending"
@@ -83,6 +83,80 @@ def _(spark, sf_dir):
     return distribution(again, ["state"])
 
 
+_CODES_BY_STATE = "SELECT state, count(*) AS n FROM raw_codes GROUP BY state"
+
+
+@query("s3_failed_rewrite", _CODES_BY_STATE, ("raw_codes",))
+def _(spark, sf_dir):
+    raw = staged(spark, sf_dir, CODES)
+    root = scratch(spark, "layers")
+    tables.write_layer(raw, root, "raw", "codes")
+    # a rewrite that stops in the middle of its rows
+    stop = F.raise_error(F.lit("stopped")).cast("string")
+    broken = raw.withColumn("fips", F.when(F.crc32(F.col("fips").cast("binary")) % 50 == 7, stop).otherwise(F.col("fips")))
+    try:
+        tables.write_layer(broken, root, "raw", "codes")
+    except Exception as e:  # noqa: BLE001  (Spark's own, by kind of failure)
+        if "stopped" not in str(e):
+            raise
+    return distribution(tables.read_layer(spark, root, "raw", "codes"), ["state"])
+
+
+@query("s3_restored_version", _CODES_BY_STATE, ("raw_codes",))
+def _(spark, sf_dir):
+    raw = staged(spark, sf_dir, CODES)
+    root = scratch(spark, "layers")
+    tables.write_layer(raw, root, "raw", "codes")
+    tables.write_layer(raw.where("rucc_2023 > '5'"), root, "raw", "codes", cluster_by=["fips"])
+    versions.restore_previous(spark, tables.layer_path(root, "raw", "codes"))
+    return distribution(tables.read_layer(spark, root, "raw", "codes"), ["state"])
+
+
+def _lines(spark, sf_dir):
+    """Orders as delimited text; some rows lack a field or a closing quote."""
+    key = F.col("o_orderkey").cast("string")
+    short = F.concat(key, F.lit(",ORDER"))
+    unclosed = F.concat(key, F.lit(',"ORDER '), key, F.lit(","), F.col("o_orderstatus"))
+    good = F.concat(key, F.lit(',"ORDER ""'), key, F.lit('"", INC.",'), F.col("o_orderstatus"))
+    line = F.when(F.col("o_orderkey") % 97 == 0, short).when(F.col("o_orderkey") % 89 == 0, unclosed).otherwise(good)
+    path = scratch(spark, "lines")
+    out = table(spark, sf_dir, "orders").select(line.alias("key,name,status"))
+    out.write.option("header", True).option("sep", "\x01").option("quote", "").csv(path)
+    return path
+
+
+_LINE_SQL = (
+    "SELECT *, CASE WHEN o_orderkey % 97 = 0 THEN o_orderkey || ',ORDER' WHEN o_orderkey % 89 = 0 "
+    "THEN o_orderkey || ',\"ORDER ' || o_orderkey || ',' || o_orderstatus END AS row_text, CASE WHEN o_orderkey % 97 = 0 "
+    "THEN 'wrong number of fields' WHEN o_orderkey % 89 = 0 THEN 'unbalanced quote' END AS reject_reason FROM orders"
+)
+
+
+@query("s1_rejected_rows", f"SELECT row_text, reject_reason FROM ({_LINE_SQL}) WHERE reject_reason IS NOT NULL")
+def _(spark, sf_dir):
+    _, bad = rejects.load_with_rejects(spark, _lines(spark, sf_dir), scratch(spark, "layers"), "orders", ["key", "name", "status"])
+    return bad.select("row_text", "reject_reason")
+
+
+@query(
+    "s1_rows_beside_rejects",
+    "SELECT o_orderkey::VARCHAR AS \"key\", 'ORDER \"' || o_orderkey || '\", INC.' AS name, o_orderstatus AS status "
+    f"FROM ({_LINE_SQL}) WHERE reject_reason IS NULL",
+)
+def _(spark, sf_dir):
+    good, _ = rejects.load_with_rejects(spark, _lines(spark, sf_dir), scratch(spark, "layers"), "orders")
+    return good
+
+
+@query(
+    "s1_reject_counts",
+    f"SELECT reject_reason, count(*) AS n FROM ({_LINE_SQL}) WHERE reject_reason IS NOT NULL GROUP BY 1",
+)
+def _(spark, sf_dir):
+    _, bad = rejects.load_with_rejects(spark, _lines(spark, sf_dir), scratch(spark, "layers"), "orders")
+    return rejects.reject_report(bad).groupBy("reject_reason").agg(F.sum("n").alias("n"))
+
+
 _TYPED = Contract(
     "typed.measures",
     (

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from accesspanel.operators.joins import lookup_join
 from accesspanel.plans import builders, schemas
 from accesspanel.sources.tables import layer_path, staging_root, write_layer
+from accesspanel.sources.versions import current_path
 
 # Wide enough for any positive BIGINT key, so that padding never cuts one.
 CODE_WIDTH = 19
@@ -359,5 +360,5 @@ def staged(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         written = builders.write_checked(_build(spark, sf_dir, name), root, contract)
     else:
         written = write_layer(_build(spark, sf_dir, name), root, layer, short)
-    _written[key] = layer_path(root, layer, short)
+    _written[key] = current_path(spark, layer_path(root, layer, short))
     return written

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from accesspanel.catalogue.derived import CODE_WIDTH, YEAR, YEARS, staged, table
+from accesspanel.catalogue.derived import CODE_WIDTH, YEAR, YEARS, derive, staged, table
 from accesspanel.catalogue.registry import doubles, mean_text, percent_text, query
 from accesspanel.functions.cleaning import first_match_slot, match_label, safe_cast
-from accesspanel.operators import aggregates, joins, lifecycle, quality, windows
+from accesspanel.operators import aggregates, joins, lifecycle, observed, quality, windows
 from accesspanel.plans.builders import typed_crosswalk
 from accesspanel.sources import tables
 from accesspanel.sources.contracts import Contract, Field, quarantine
@@ -543,6 +545,31 @@ def _(spark, sf_dir):
     return quality.load_report(staged(spark, sf_dir, PHARMACIES), PHARMACIES).drop("expected")
 
 
+_WRITTEN = "clean.rucc_codes"
+
+
+@query(
+    "v1_checks_while_writing",
+    f"WITH c(check_name, column_name, value) AS (SELECT 'rows', '', count(*) FROM clean_codes "
+    "UNION ALL SELECT 'nulls', 'rucc_code', sum((rucc_code IS NULL)::INT) FROM clean_codes "
+    "UNION ALL SELECT 'nulls', 'state_abbrev', sum((state_abbrev IS NULL)::INT) FROM clean_codes "
+    "UNION ALL SELECT 'below', 'rucc_code', sum((rucc_code < 2)::INT) FROM clean_codes "
+    "UNION ALL SELECT 'above', 'rucc_code', sum((rucc_code > 8)::INT) FROM clean_codes "
+    "UNION ALL SELECT 'below', 'population_2020', sum((population_2020 < 2000)::INT) FROM clean_codes) "
+    f"SELECT '{_WRITTEN}' AS table_name, check_name, column_name, value::BIGINT AS value, "
+    "(check_name = 'rows' OR value = 0)::INTEGER AS passed, "
+    f"'{_WRITTEN}: ' || rtrim(check_name || ' ' || column_name) || ': ' || value::BIGINT AS message FROM c",
+    ("clean_codes",),
+)
+def _(spark, sf_dir):
+    checks = observed.WriteChecks(
+        not_null=["rucc_code", "state_abbrev"], ranges={"rucc_code": (2, 8), "population_2020": (2000, None)}
+    )
+    root = f"{tables.staging_root(spark)}/accesspanel/{spark.sparkContext.applicationId}/files/observed-{uuid.uuid4().hex}"
+    _, found = observed.write_observed(derive(spark, sf_dir, _WRITTEN), root, "clean", "rucc_codes", checks, gate=False)
+    return found
+
+
 @query(
     "v2_unique_key",
     "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",

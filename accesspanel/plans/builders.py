@@ -22,11 +22,13 @@ from accesspanel.functions.measures import bin_label, safe_ratio
 from accesspanel.functions.predicates import same_text
 from accesspanel.operators.joins import assemble_fact, attach_area
 from accesspanel.operators.lifecycle import build_panel
+from accesspanel.operators.observed import WriteChecks, observed, report, results
 from accesspanel.operators.quality import CheckFailed, check_unique, load_report, require_empty
 from accesspanel.operators.windows import dominant_row
 from accesspanel.plans import schemas
+from accesspanel.sources import versions
 from accesspanel.sources.contracts import Contract, conform
-from accesspanel.sources.tables import load_raw_csv, strip_trailing_cr, write_layer
+from accesspanel.sources.tables import layer_path, load_raw_csv, strip_trailing_cr, write_layer
 
 YEARS = (2019, 2020, 2021, 2022, 2023)
 
@@ -205,12 +207,22 @@ def fact_county_year(
 # --- the whole run -----------------------------------------------------------
 
 
-def write_checked(df: DataFrame, root: str, contract: Contract) -> DataFrame:
-    """Write a table, then gate on its key: a repeated key stops the run."""
+def write_checked(
+    df: DataFrame, root: str, contract: Contract, reports: list[DataFrame] | None = None
+) -> DataFrame:
+    """Write a table, with a gate on its key before any reader sees it: a repeated key stops
+    the run and leaves the table as it was. ``reports`` gets the counts of the write: its
+    rows and, by the contract, its missing values; they cost no scan of their own."""
     layer, name = contract.name.split(".")
-    written = write_layer(df, root, layer, name, cluster_by=contract.keys)
+    path = layer_path(root, layer, name)
+    checks = WriteChecks(not_null=[f.name for f in contract.fields if f.required])
+    counted, observation = observed(df, checks)
+    written, version = versions.stage_version(counted, path, cluster_by=contract.keys)
     if contract.keys:
         require_empty(check_unique(written, contract.keys), f"{contract.name}: repeated key")
+    versions.publish(df.sparkSession, path, version)
+    if reports is not None:
+        reports.append(report(df.sparkSession, contract.name, results(observation, checks)))
     return written
 
 
@@ -220,10 +232,12 @@ def build_tables(
     root: str,
     years: Sequence[int] = YEARS,
     skewed: bool | None = None,
+    reports: list[DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """Raw, clean and curated tables from the four source files (keys
     pharmacies, medicare, codes, crosswalk). Each table is written before the
-    next starts from it, so a rerun replaces and a lost executor replays little."""
+    next starts from it, so a rerun replaces and a lost executor replays little. ``reports``
+    gets one frame of counts per clean and curated table, taken while it was written."""
     loaders = {
         "pharmacies": (raw_pharmacies, "pharmacies"),
         "medicare": (raw_medicare, "medicare_spending"),
@@ -235,19 +249,20 @@ def build_tables(
         for key, (load, name) in loaders.items()
     }
     first, last = min(years), max(years)
-    medicare = write_checked(clean_medicare(raw["medicare"]), root, schemas.clean_medicare())
-    codes = write_checked(clean_codes(raw["codes"]), root, schemas.clean_codes())
-    crosswalk = write_checked(clean_crosswalk(raw["crosswalk"]), root, schemas.clean_crosswalk())
+    medicare = write_checked(clean_medicare(raw["medicare"]), root, schemas.clean_medicare(), reports)
+    codes = write_checked(clean_codes(raw["codes"]), root, schemas.clean_codes(), reports)
+    crosswalk = write_checked(clean_crosswalk(raw["crosswalk"]), root, schemas.clean_crosswalk(), reports)
     pharmacies = write_checked(
         clean_pharmacies(raw["pharmacies"], crosswalk, skewed=skewed),
         root,
         schemas.clean_pharmacies(),
+        reports,
     )
     panel = write_checked(
-        county_year_panel(pharmacies, medicare, years), root, schemas.curated_panel(first, last)
+        county_year_panel(pharmacies, medicare, years), root, schemas.curated_panel(first, last), reports
     )
     fact = write_checked(
-        fact_county_year(medicare, panel, codes, years), root, schemas.curated_fact(first, last)
+        fact_county_year(medicare, panel, codes, years), root, schemas.curated_fact(first, last), reports
     )
     return {
         **{f"raw.{name}": raw[key] for key, (_, name) in loaders.items()},

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from accesspanel.functions.predicates import ends_with_cr
+from accesspanel.sources import versions
 
 
 def _csv_reader(spark: SparkSession, line_sep: str | None):
@@ -70,16 +71,16 @@ def write_layer(
 ) -> DataFrame:
     """Replace ``{root}/{layer}/{name}`` and return it as read back, so that
     everything downstream starts from the written files. ``cluster_by`` orders
-    rows inside each file, which tightens the min/max statistics scans prune by."""
+    rows inside each file, which tightens the min/max statistics scans prune by.
+    Readers see the old table until the new one is complete (:mod:`versions`)."""
     path = layer_path(root, layer, name)
-    if cluster_by:
-        df = df.sortWithinPartitions(*cluster_by)
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written, version = versions.stage_version(df, path, partition_by, cluster_by)
+    versions.publish(df.sparkSession, path, version)
+    return written
 
 
 def read_layer(spark: SparkSession, root: str, layer: str, name: str) -> DataFrame:
-    return spark.read.parquet(layer_path(root, layer, name))
+    return spark.read.parquet(versions.current_path(spark, layer_path(root, layer, name)))
 
 
 def export_csv(df: DataFrame, path: str, order_by: Sequence[str] = ()) -> None:
