@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from accesspanel.catalogue.derived import CODE_WIDTH, YEAR, YEARS, derive, staged, table
 from accesspanel.catalogue.registry import doubles, mean_text, percent_text, query
 from accesspanel.functions.cleaning import first_match_slot, match_label, safe_cast
-from accesspanel.operators import aggregates, joins, lifecycle, observed, quality, windows
+from accesspanel.operators import aggregates, joins, lifecycle, observed, quality, reconcile, windows
 from accesspanel.plans.builders import typed_crosswalk
 from accesspanel.sources import tables
 from accesspanel.sources.contracts import Contract, Field, quarantine
@@ -43,6 +43,41 @@ def _(spark, sf_dir):
     return _attached(spark, sf_dir, skewed=True)
 
 
+def _segments(spark, sf_dir):
+    """Customers with their segment written in several ways, and a lookup of segments."""
+    customer, key = table(spark, sf_dir, "customer"), F.col("c_custkey") % 3
+    seen = F.when(key == 0, F.concat(F.lower("c_mktsegment"), F.lit("  "))).when(key == 1, F.initcap("c_mktsegment"))
+    lookup = customer.groupBy("c_mktsegment").agg(F.count("*").alias("customers")).select(
+        F.concat(F.initcap("c_mktsegment"), F.lit(" ")).alias("segment"), "customers"
+    )
+    return customer.select("c_custkey", F.coalesce(seen, "c_mktsegment").alias("segment")), lookup
+
+
+_SEGMENT_SQL = (
+    "CASE c_custkey % 3 WHEN 0 THEN lower(c_mktsegment) || '  ' "
+    "WHEN 1 THEN upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) ELSE c_mktsegment END"
+)
+
+
+@query(
+    "j1_lookup_any_case",
+    f"WITH c AS (SELECT c_custkey, {_SEGMENT_SQL} AS segment FROM customer), "
+    "l AS (SELECT lower(c_mktsegment) AS name, count(*) AS customers FROM customer GROUP BY 1) "
+    "SELECT c_custkey, segment, customers FROM c LEFT JOIN l ON lower(rtrim(segment)) = name",
+)
+def _(spark, sf_dir):
+    return joins.lookup_join(*_segments(spark, sf_dir), "segment", ci=True).select("c_custkey", "segment", "customers")
+
+
+@query(
+    "v2_unique_key_any_case",
+    f"SELECT lower(rtrim(segment)) AS segment, count(*) AS n FROM (SELECT {_SEGMENT_SQL} AS segment FROM customer) "
+    "GROUP BY 1 HAVING count(*) > 1",
+)
+def _(spark, sf_dir):
+    return quality.check_unique(_segments(spark, sf_dir)[0], ["segment"], ci=True)
+
+
 @query(
     "j2_attach_denominator",
     "SELECT c.county_fips, c.year_id, c.active, m.benes_ffs_cnt FROM counts c LEFT JOIN clean_medicare m "
@@ -521,6 +556,25 @@ def _(spark, sf_dir):
     )
 
 
+@query("l2_incremental_panel", PANEL_SQL, ("panel",))
+def _(spark, sf_dir):
+    new = staged(spark, sf_dir, C_PHARM)
+    pick = F.crc32(F.col("npi").cast("binary")) % 100
+    # the snapshot before: some providers elsewhere, some open longer, some missing, some since gone
+    moved = new.where(pick != 3).withColumns(
+        {
+            "county_fips": F.when(pick == 5, F.lit("0" * CODE_WIDTH)).otherwise(F.col("county_fips")),
+            "deactivation_date": F.when(pick == 7, F.date_add("deactivation_date", 400)).otherwise(F.col("deactivation_date")),
+        }
+    )
+    gone = new.where(pick == 9).withColumn("npi", F.concat(F.lit("x"), "npi"))
+    old = moved.unionByName(gone)
+    stored = tables.materialize(lifecycle.partial_counts(old, YEARS), "partials")
+    before, after = lifecycle.snapshot_changes(old, new, "npi")
+    merged = lifecycle.merge_partials(stored, before, after, YEARS)
+    return lifecycle.unfold_panel(merged, staged(spark, sf_dir, C_MED).where(F.col("bene_age_lvl") == "All"), YEARS)
+
+
 # --- quality -----------------------------------------------------------------
 
 
@@ -750,6 +804,24 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "v11_reconcile",
+    "SELECT c_custkey, CASE WHEN c_custkey % 101 = 0 THEN 'removed' ELSE 'changed' END AS change FROM customer "
+    "WHERE c_custkey % 101 = 0 OR c_custkey % 103 = 0 "
+    "UNION ALL SELECT c_custkey + 1000000000, 'added' FROM customer WHERE c_custkey % 107 = 0",
+)
+def _(spark, sf_dir):
+    earlier = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    kept = earlier.where(key % 101 != 0)
+    later = kept.withColumn("c_acctbal", F.when(key % 103 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))
+    later = later.unionByName(earlier.where(key % 107 == 0).withColumn("c_custkey", key + 1_000_000_000))
+    root = f"{tables.staging_root(spark)}/accesspanel/{spark.sparkContext.applicationId}/files/hashed-{uuid.uuid4().hex}"
+    reconcile.write_hashed(earlier, root, "raw", "earlier", ["c_custkey"], 64)
+    reconcile.write_hashed(later, root, "raw", "later", ["c_custkey"], 64)
+    return reconcile.reconcile(spark, (root, "raw", "earlier"), (root, "raw", "later"), ["c_custkey"])
+
+
 @query(
     "v12_range_check",
     "SELECT year_id, min(pharmacies_per_10k_benes)::DOUBLE AS min_value, "

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from accesspanel.catalogue.cleaning_queries import TIER_SQL, csv_of
 from accesspanel.catalogue.derived import (
+    CODE_WIDTH,
     DESERT_WEIGHT,
     MIN_WEIGHT,
     YEAR,
@@ -29,6 +31,8 @@ from accesspanel.catalogue.operator_queries import (
 )
 from accesspanel.catalogue.registry import doubles, mean_text, query
 from accesspanel.plans import builders, questions, schemas
+from accesspanel.sources import bucketed
+from accesspanel.sources.tables import staging_root
 
 # --- builders ----------------------------------------------------------------
 
@@ -140,6 +144,41 @@ def _(spark, sf_dir):
     return derive(spark, sf_dir, "curated.fact_county_year")
 
 
+def bucketed_layers(spark, sf_dir):
+    """Clean tables stored by county, and the panel made of them, which is stored the same way."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    root = f"{staging_root(spark)}/accesspanel/{spark.sparkContext.applicationId}/files/buckets-{uuid.uuid4().hex}"
+
+    def stored(name, df, aligned=False):
+        return bucketed.write_bucketed(df, root, *name.split("."), "county_fips", buckets, aligned)
+
+    medicare = stored("clean.medicare_spending", staged(spark, sf_dir, "clean.medicare_spending"))
+    pharmacies = stored("clean.pharmacies", staged(spark, sf_dir, "clean.pharmacies"))
+    codes = stored("clean.rucc_codes", staged(spark, sf_dir, "clean.rucc_codes"))
+    panel = builders.county_year_panel(pharmacies, medicare, YEARS, CODE_WIDTH)
+    return root, medicare, codes, stored("curated.county_year_panel", panel, aligned=True)
+
+
+@query(
+    "b9_panel_from_buckets",
+    f"SELECT {plain(schemas.curated_panel(FIRST, LAST))} FROM panel",
+    ("panel",),
+)
+def _(spark, sf_dir):
+    root, *_ = bucketed_layers(spark, sf_dir)
+    return bucketed.read_bucketed(spark, root, "curated", "county_year_panel")
+
+
+@query(
+    "b10_fact_from_buckets",
+    f"SELECT {plain(schemas.curated_fact(FIRST, LAST))} FROM fact",
+    ("fact",),
+)
+def _(spark, sf_dir):
+    _, medicare, codes, panel = bucketed_layers(spark, sf_dir)
+    return builders.fact_from_buckets(medicare, panel, codes, YEARS, CODE_WIDTH)
+
+
 # --- questions ---------------------------------------------------------------
 
 

@@ -49,15 +49,23 @@ def _bytes(text: str) -> int:
     return int(number) * 1024 ** "bkmgtp".index((unit or "b")[0])
 
 
+def folded_key(name: str) -> Column:
+    """A key as a case-insensitive collation that ignores trailing blanks compares it. An
+    expression over one side, so a join on it stays an equi-join."""
+    return F.lower(F.rtrim(F.col(name).cast("string")))
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str] | str,
     skewed: bool | None = None,
     null_is_key: bool = False,
+    ci: bool = False,
 ) -> DataFrame:
     """Left join to a lookup that has at most one row per key; with ``null_is_key``
-    NULL keys meet too.
+    NULL keys meet too, with ``ci`` text keys meet whatever their case and trailing blanks
+    (the lookup then has one row per folded key).
 
     A lookup small enough to be broadcast is simply joined. Beside a larger one a few
     keys (a blank code, say) may hold much of the left rows. Rows of the frequent keys
@@ -68,6 +76,14 @@ def lookup_join(
     left to adaptive skew handling. ``skewed`` forces the choice, which never changes the
     result: the left columns, whatever their names, then those of the lookup."""
     keys = [on] if isinstance(on, str) else list(on)
+    if ci:
+        hidden = {k: free_name(f"_folded_{k}", left, right) for k in keys}
+        folded = {h: folded_key(k) for k, h in hidden.items()}
+        joined = lookup_join(
+            left.withColumns(folded), right.withColumns(folded).drop(*keys), list(hidden.values()), skewed, null_is_key
+        )
+        added = [c for c in right.columns if c not in keys]
+        return joined.select(*keys, *[c for c in left.columns if c not in keys], *added)
     if skewed is None:
         skewed = not fits_broadcast(right)
     if not skewed:
@@ -158,10 +174,18 @@ def unmatched_sample(
 
 
 def join_coverage(
-    left: DataFrame, right: DataFrame, key: str, distinct: bool = True, dtype: str = "decimal(5,2)"
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    distinct: bool = True,
+    dtype: str = "decimal(5,2)",
+    ci: bool = False,
 ) -> DataFrame:
     """One row: total, matched, unmatched, pct_matched. Left rows are counted
-    per key before the join, so a frequent key is one row in the shuffle."""
+    per key before the join, so a frequent key is one row in the shuffle. With ``ci``
+    keys are compared, and counted, as :func:`folded_key` has them."""
+    if ci:
+        left, right = (df.withColumn(key, folded_key(key)) for df in (left, right))
     n = F.lit(1) if distinct else F.count("*")
     per_key = left.groupBy(key).agg(n.cast("bigint").alias("_n"))
     ref = right.select(key).filter(F.col(key).isNotNull()).distinct()

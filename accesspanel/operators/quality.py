@@ -22,7 +22,7 @@ from accesspanel.operators.aggregates import (
     length_profile,
     summary,
 )
-from accesspanel.operators.joins import join_coverage, unmatched_sample
+from accesspanel.operators.joins import folded_key, join_coverage, unmatched_sample
 from accesspanel.operators.windows import dominant_row
 
 __all__ = [
@@ -85,8 +85,11 @@ def load_report(df: DataFrame, table: str, expected: int | None = None) -> DataF
     )
 
 
-def check_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys that occur more than once, with their row count."""
+def check_unique(df: DataFrame, keys: Sequence[str], ci: bool = False) -> DataFrame:
+    """Keys that occur more than once, with their row count; with ``ci`` text keys that
+    differ in case or trailing blanks only are one key, shown folded."""
+    if ci:
+        df = df.withColumns({k: folded_key(k) for k in keys})
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
 
 

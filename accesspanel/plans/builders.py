@@ -27,6 +27,7 @@ from accesspanel.operators.quality import CheckFailed, check_unique, load_report
 from accesspanel.operators.windows import dominant_row
 from accesspanel.plans import schemas
 from accesspanel.sources import versions
+from accesspanel.sources.bucketed import colocated_join
 from accesspanel.sources.contracts import Contract, conform
 from accesspanel.sources.tables import layer_path, load_raw_csv, strip_trailing_cr, write_layer
 
@@ -204,6 +205,21 @@ def fact_county_year(
     return conform(fact, schemas.curated_fact(min(years), max(years), code_width))
 
 
+def fact_from_buckets(
+    medicare: DataFrame,
+    panel: DataFrame,
+    codes: DataFrame,
+    years: Sequence[int] = YEARS,
+    code_width: int = 5,
+) -> DataFrame:
+    """:func:`fact_county_year` of tables stored by county: no side is moved."""
+    base = medicare.filter(F.col("year_id").isin(list(years)) & (F.col("bene_age_lvl") == "All"))
+    counts = panel.drop("benes_ffs_cnt", "closures_per_10k_benes")
+    labels = codes.select("county_fips", "rucc_code", "rural_urban_group", "rucc_description")
+    joined = colocated_join(colocated_join(base, counts, "county_fips", ["year_id"]), labels, "county_fips")
+    return conform(joined, schemas.curated_fact(min(years), max(years), code_width))
+
+
 # --- the whole run -----------------------------------------------------------
 
 

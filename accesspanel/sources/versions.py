@@ -15,53 +15,72 @@ POINTER = "CURRENT"
 KEPT = 2
 
 
-def _folder(path: str, version: str) -> str:
+def version_folder(path: str, version: str) -> str:
     return f"{path.rstrip('/')}/versions/{version}"
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def new_name() -> str:
+    """Name of a version to be written; later ones sort after earlier ones."""
+    return f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = file_system(spark, path)
+    stream = fs.create(p, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def stage_version(
     df: DataFrame, path: str, partition_by: Sequence[str] = (), cluster_by: Sequence[str] = ()
 ) -> tuple[DataFrame, str]:
     """Writes the frame as a version that no reader sees yet; returns it as read back, and its name."""
-    version = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    version = new_name()
     if cluster_by:
         df = df.sortWithinPartitions(*cluster_by)
-    df.write.partitionBy(*partition_by).parquet(_folder(path, version))
-    return df.sparkSession.read.schema(df.schema).parquet(_folder(path, version)), version
+    df.write.partitionBy(*partition_by).parquet(version_folder(path, version))
+    return df.sparkSession.read.schema(df.schema).parquet(version_folder(path, version)), version
 
 
 def current_version(spark: SparkSession, path: str) -> str | None:
     """Name of the version that readers see, None before the first."""
-    fs, pointer = _file_system(spark, f"{path.rstrip('/')}/{POINTER}")
+    fs, pointer = file_system(spark, f"{path.rstrip('/')}/{POINTER}")
     if not fs.exists(pointer):
         return None
-    stream = fs.open(pointer)
-    try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
-    finally:
-        stream.close()
+    return read_text(spark, f"{path.rstrip('/')}/{POINTER}").strip()
 
 
 def current_path(spark: SparkSession, path: str) -> str:
     """Folder of the current version; the folder itself where it holds a table without versions."""
     version = current_version(spark, path)
-    return path if version is None else _folder(path, version)
+    return path if version is None else version_folder(path, version)
 
 
 def versions(spark: SparkSession, path: str) -> list[str]:
     """Names of the complete versions in the folder, oldest first."""
-    fs, folder = _file_system(spark, f"{path.rstrip('/')}/versions")
+    fs, folder = file_system(spark, f"{path.rstrip('/')}/versions")
     if not fs.exists(folder):
         return []
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path
     names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    return sorted(n for n in names if fs.exists(jvm_path(f"{_folder(path, n)}/_SUCCESS")))
+    return sorted(n for n in names if fs.exists(jvm_path(f"{version_folder(path, n)}/_SUCCESS")))
 
 
 def publish(spark: SparkSession, path: str, version: str) -> None:
@@ -72,11 +91,10 @@ def publish(spark: SparkSession, path: str, version: str) -> None:
         raise ValueError(f"{path} has no complete version {version}")
     before = current_version(spark, path)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    fs, target = _file_system(spark, f"{path.rstrip('/')}/{POINTER}")
-    fresh = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/.{POINTER}-{uuid.uuid4().hex}")
-    stream = fs.create(fresh, True)
-    stream.write(bytearray(version.encode()))
-    stream.close()
+    fs, target = file_system(spark, f"{path.rstrip('/')}/{POINTER}")
+    beside = f"{path.rstrip('/')}/.{POINTER}-{uuid.uuid4().hex}"
+    write_text(spark, beside, version)
+    fresh = jvm.org.apache.hadoop.fs.Path(beside)
     rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
     options = spark.sparkContext._gateway.new_array(rename, 1)
     options[0] = rename.OVERWRITE
@@ -87,7 +105,7 @@ def publish(spark: SparkSession, path: str, version: str) -> None:
 
 def _remove_old(spark: SparkSession, path: str, needed: set[str | None]) -> None:
     """Removes versions, complete or not, that are older than all of the newest KEPT and not needed."""
-    fs, folder = _file_system(spark, f"{path.rstrip('/')}/versions")
+    fs, folder = file_system(spark, f"{path.rstrip('/')}/versions")
     keep = {*versions(spark, path)[-KEPT:], *needed}
     oldest = min(v for v in keep if v)
     for status in fs.listStatus(folder):

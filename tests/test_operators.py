@@ -117,6 +117,19 @@ def test_lookup_keeps_every_column_and_spreads_equal_rows(spark):
     assert left.select(salt).distinct().count() > 4
 
 
+@pytest.mark.parametrize("skewed", [False, True])
+def test_lookup_in_any_case(spark, skewed):
+    left = spark.createDataFrame([("Ab ", 1), ("aB", 2), (" ab", 3), (None, 4), ("É", 5)], "k string, _folded_k int")
+    right = spark.createDataFrame([("AB  ", "x"), ("é", "y"), (None, "z")], "k string, v string")
+    out = j.lookup_join(left, right, "k", skewed=skewed, ci=True)
+    assert out.columns == ["k", "_folded_k", "v"]
+    assert rows(out) == [(None, 4, None), (" ab", 3, None), ("Ab ", 1, "x"), ("aB", 2, "x"), ("É", 5, "y")]
+    text = plan_of(j.lookup_join(left, right, "k", skewed=skewed, null_is_key=True, ci=True))
+    assert "NestedLoop" not in text and "Cartesian" not in text
+    assert j.join_coverage(left, right, "k", ci=True).first()["matched"] == 2
+    assert rows(q.check_unique(left, ["k"], ci=True)) == [("ab", 2)]
+
+
 def test_ntile_never_uses_a_single_partition(spark):
     df = spark.range(100).select("id", (F.col("id") % 3).alias("v"))
     ranked = w.ntile_bucket(df, 5, "v", "id")
