@@ -145,6 +145,15 @@ def hash_sample(df: DataFrame, group: str, key: str, buckets: int, max_groups: i
     return hashed.where(F.col("sample_hash").isin([r["h"] for r in least]))
 
 
+def spread_text(text: Column, size: int, pieces: int = 8) -> Column:
+    """The whole of a text of at most ``size`` characters; of a longer one, as many, in
+    ``pieces`` taken at even distances from its start to its end."""
+    one = size // pieces
+    last = F.length(text) - one
+    parts = [F.substring(text, F.floor(last * i / (pieces - 1)).cast("int") + 1, F.lit(one)) for i in range(pieces)]
+    return F.when(F.length(text) <= size, text).otherwise(F.concat(*parts))
+
+
 def with_rank(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
     """Adds the 0-based rank of each row within its ``key``, by ``order``.
 

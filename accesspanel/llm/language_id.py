@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accesspanel.llm.common import crc_mod, hash_sample, per_slice, ship_package, utf8
+from accesspanel.llm.common import crc_mod, hash_sample, per_slice, ship_package, spread_text, utf8
 
-#: Bound of the training sample: rows per language, and bytes of each and of all of them.
+#: Bound of the training sample: rows per language, characters of each (from all over its
+#: text) and bytes of all of them.
 SAMPLE_ROWS = 64
-SAMPLE_TEXT = 2048
+SAMPLE_TEXT = 512
 SAMPLE_BYTES = 32 << 10
 MAX_LANGUAGES = 512
 SEGMENT = 256
@@ -139,7 +140,7 @@ def learn(rows: DataFrame) -> tuple[tuple[str, bytes], ...]:
     picked = (
         hash_sample(usable, "lang", "doc_id", SAMPLE_ROWS, MAX_LANGUAGES)
         .groupBy("lang", "sample_hash")
-        .agg(F.min(F.substring(letters("text"), 1, SAMPLE_TEXT)).alias("text"))
+        .agg(F.min(spread_text(letters("text"), SAMPLE_TEXT, 4)).alias("text"))
         .collect()
     )
     texts: dict[str, bytes] = {}

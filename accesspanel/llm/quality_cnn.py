@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accesspanel.llm.common import crc_mod, hash_sample, per_slice, ship_package, utf8
+from accesspanel.llm.common import crc_mod, hash_sample, per_slice, ship_package, spread_text, utf8
 
-#: Bound of the training sample: labelled rows per label, and bytes of each.
+#: Bound of the training sample: labelled rows per label, and characters of each, from all
+#: over its text.
 SAMPLE_ROWS = 512
 SAMPLE_TEXT = 2048
 FILTERS = 16
@@ -190,7 +191,7 @@ def learn(rows: DataFrame, labels: DataFrame, label: str = "quality") -> Network
     taken = (
         rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
         .groupBy("doc_id", "label")
-        .agg(F.min(F.substring("text", 1, SAMPLE_TEXT)).alias("text"))
+        .agg(F.min(spread_text(F.col("text"), SAMPLE_TEXT)).alias("text"))
         .collect()
     )
     taken.sort(key=lambda r: (r["doc_id"], r["label"], r["text"] or ""))

@@ -291,3 +291,18 @@ def test_queue_gives_all_messages_in_order():
     want = queue.added_up(rows)
     assert (got == want).all() and got["children"].sum() == 500
     assert not queue.runs and not queue.held
+
+
+# samples
+
+
+def test_samples_come_from_all_over_a_text(spark):
+    from pyspark.sql import functions as F
+
+    from accesspanel.llm.common import spread_text
+
+    rows = [(0, None), (1, ""), (2, "é" * 40), (3, "".join(chr(0x4E00 + i) for i in range(1000)))]
+    df = spark.createDataFrame(rows, "i int, t string").select("i", spread_text(F.col("t"), 40, 4).alias("s"))
+    got = {r["i"]: r["s"] for r in df.collect()}
+    assert got[0] is None and got[1] == "" and got[2] == "é" * 40
+    assert got[3] == "".join(rows[3][1][a : a + 10] for a in (0, 330, 660, 990))
