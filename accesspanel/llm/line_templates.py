@@ -1,11 +1,21 @@
 """Line deduplication by a log-template tree, in DataFrame functions only.
 
-The tree has a fixed depth: a line's leaf is its number of tokens and its leading
-tokens, with tokens that hold a digit replaced by ``<*>``. Within a leaf, a token
-found at its place in fewer than MIN_DOCS lines is a variable field and becomes
-``<*>`` as well, unless that would leave too little of the line. Lines alike after that
-share a template. A template recurs if at least MIN_DOCS documents' lines
-have it; it is then kept in its first document (least ``doc_id``) and dropped from all others.
+The tree has a fixed depth: a line's leaf is its number of tokens and its (up to DEPTH) leading
+tokens, with tokens that hold a digit replaced by ``<*>``. Behind these, a token of a line is a
+variable field and becomes ``<*>`` as well, if
+
+* *family*: at least FAMILY different lines of the leaf, this one among them, differ at its place
+  only, or
+* *rare*: fewer than one in RARE of the leaf's different lines have the token at its place.
+
+At most a quarter of a line's tokens may become fields: if both rules give more, the first alone
+decides; if that gives more, the line stays as it is. Both rules look at different lines within a
+leaf, so a template is found alike in a hundred rows and in a billion.
+
+Lines alike after that share a template. It recurs if at least ``least_docs`` documents
+have it: two for long lines, three for others, and for lines of a few tokens, which recur by chance
+in prose, a share of the table. It is then kept in its first document (least ``doc_id``)
+and dropped from all others.
 """
 
 from __future__ import annotations
@@ -15,13 +25,24 @@ from pyspark.sql import functions as F
 
 from accesspanel.llm.common import free_name, materialize
 
-#: Shorter lines recur by chance in prose and are left alone.
-MIN_TOKENS = 5
 #: Leading tokens that choose the leaf.
 DEPTH = 3
+#: Different lines that make a family.
+FAMILY = 3
+#: A token at its place in fewer than one in RARE of a leaf's lines is a field.
+RARE = 3
+#: At most one in FIELDS tokens of a line may be a field.
+FIELDS = 4
+#: Documents that make a template recur.
 MIN_DOCS = 3
-#: Least share of a line's tokens that its template must keep.
-SIMILAR = 0.8
+#: Lines of so many tokens recur from LONG_DOCS documents on.
+LONG_TOKENS, LONG_DOCS = 50, 2
+#: Lines under so many tokens must be in SHORT_DOCS documents and in one of SHORT_SHARE rows.
+SHORT_TOKENS, SHORT_DOCS, SHORT_SHARE = 5, 10, 1000
+#: Rows of one key are spread over so many tasks.
+SALTS = 16
+#: Stands for a missing id, which comes last.
+NO_ID = (1 << 63) - 1
 
 SPACES = "\t\x0b\f\r"
 ANY = "<*>"
@@ -34,57 +55,95 @@ def tokens(line: Column) -> Column:
     return F.array_remove(F.split(F.when(line.rlike(f"[0-9{SPACES}]"), masked).otherwise(line), " "), "")
 
 
-def _lines(docs: DataFrame, *keep: Column) -> DataFrame:
-    """Distinct lines of each document with enough tokens, and their leaf."""
+def least_docs(size: Column, rows: int) -> Column:
+    """Documents in which a template of ``size`` tokens must be, in a table of ``rows`` rows."""
     return (
-        docs.select(*keep, F.explode(F.array_distinct(F.split("text", "\n"))).alias("raw"))
+        F.when(size >= LONG_TOKENS, LONG_DOCS)
+        .when(size < SHORT_TOKENS, max(SHORT_DOCS, -(-rows // SHORT_SHARE)))
+        .otherwise(MIN_DOCS)
+    )
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """Different lines of each row that hold a token without a digit, and their leaf."""
+    return (
+        docs.select("doc", F.explode(F.array_distinct(F.split("text", "\n"))).alias("raw"))
         .select("*", tokens(F.col("raw")).alias("tokens"))
-        .where(F.size("tokens") >= MIN_TOKENS)
-        .withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)))
+        .withColumn("size", F.size("tokens"))
+        .where(F.size(F.array_remove("tokens", ANY)) > 0)
+        .withColumn("leaf", F.xxhash64("size", F.slice("tokens", 1, DEPTH)))
         .withColumn("line", F.xxhash64("tokens"))
     )
 
 
-def _templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """``line`` and ``template`` (a hash) of the lines whose leaf holds different lines."""
-    leaves = (
-        lines.groupBy("leaf")
-        .agg(F.sum("n").alias("in_leaf"), F.count("*").alias("kinds"))
-        .where(f"kinds > 1 and in_leaf >= {MIN_DOCS}")
-        .select("leaf")
+def _spread(left: DataFrame, right: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
+    """Equi-join in which the rows of one key on the left are dealt to SALTS tasks by
+    their ``by``, and the few rows of the right are repeated for each."""
+    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+    return (
+        left.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+        .join(right.withColumn("salt", salts), [*on, "salt"], how)
+        .drop("salt")
     )
-    # the line itself is shuffled, which is smaller than its tokens
+
+
+def _templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``line`` and ``template`` (a hash) of the lines that hold a variable field."""
+    leaves = lines.where(f"size > {DEPTH}").groupBy("leaf").agg(F.count("*").alias("kinds")).where(f"kinds >= {FAMILY}")
+    chosen = _spread(lines.select("leaf", "line", F.col("first").alias("doc")), leaves, ["leaf"], "line")
+    # a line's text is taken from its first document: no line is hot in this join
     texts = materialize(
-        _lines(docs)
-        .select("leaf", "line", "raw")
-        .join(leaves, "leaf", "left_semi")
-        .select("leaf", "line", tokens(F.col("raw")).alias("tokens"))
-        .distinct(),
+        _lines(docs).select("doc", "line", "raw").join(chosen, ["doc", "line"]).dropDuplicates(["line"]).drop("doc"),
         "leaf-lines",
     )
-    at = texts.join(lines.select("line", "n"), "line").select(
-        "leaf", "line", "n", F.posexplode("tokens").alias("place", "token")
-    )
-    later = at.where(f"place >= {DEPTH}")
-    stable = (
-        later.groupBy("leaf", "place", "token")
-        .agg(F.sum("n").alias("support"))
-        .where(f"support < {MIN_DOCS} and token != '{ANY}'")
-        .drop("support")
+    hashed = texts.select("leaf", "kinds", "line", F.transform(tokens(F.col("raw")), lambda t: F.xxhash64(t)).alias("h"))
+    # all tokens of a line but one: their hashes, each with its place, xor-ed
+    placed = F.transform("h", lambda h, i: F.xxhash64(h, i))
+    whole = F.aggregate(placed, F.lit(0).cast("bigint"), lambda a, h: a.bitwiseXOR(h))
+    behind = F.slice(F.arrays_zip("h", "placed"), DEPTH + 1, F.size("h"))
+    at = (
+        hashed.withColumn("placed", placed)
+        .withColumn("whole", whole)
+        .select("leaf", "kinds", "line", "whole", F.posexplode(behind).alias("place", "x"))
+        .select(
+            "leaf", "kinds", "line", (F.col("place") + DEPTH).alias("place"), F.col("x.h").alias("h"),
+            F.col("whole").bitwiseXOR(F.col("x.placed")).alias("rest"),
+        )
+    )
+    family = ["leaf", "place", "rest"]
+    families = at.groupBy(*family).agg(F.count("*").alias("n")).where(f"n >= {FAMILY}").drop("n")
+    members = _spread(at.select("line", *family), families, family, "line", "left_semi")
+    varied = members.groupBy("line").agg(F.collect_set("place").alias("varied"))
+    # at most RARE tokens of a place are not rare
+    common = (
+        at.where(f"kinds > {RARE}")
+        .groupBy("leaf", "place", "h")
+        .agg(F.count("*").alias("n"), F.min("kinds").alias("kinds"))
+        .groupBy("leaf", "place")
+        .agg(F.collect_list(F.when(F.col("n") * RARE >= F.col("kinds"), F.col("h"))).alias("h"))
+        .groupBy("leaf")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "h"))), lambda x: x["h"]).alias("common"))
     )
-    fields = (
-        later.join(stable, ["leaf", "place", "token"], "left_semi")
-        .groupBy("line")
-        .agg(F.collect_set("place").alias("variable"))
+    masked = F.xxhash64(F.lit(ANY))
+    rare = F.filter(
+        F.transform("h", lambda h, i: F.when(~F.array_contains(F.get("common", i - DEPTH), h), i)),
+        lambda i: i.isNotNull(),
     )
-    size = F.size("tokens")
-    general = F.transform(
-        "tokens", lambda t, i: F.when(F.array_contains("variable", i), F.lit(ANY)).otherwise(t)
+    known = (
+        _spread(hashed, common, ["leaf"], "line", "left")
+        .join(varied, "line", "left")
+        .withColumn("varied", F.coalesce("varied", F.array().cast("array<int>")))
+        .withColumn("both", F.array_union("varied", F.coalesce(rare, F.array().cast("array<int>"))))
     )
+    # what is masked already takes no room of the fields
+    room = lambda c: F.size(F.filter(c, lambda i: F.get("h", i) != masked)) * FIELDS <= F.size("h")
+    fields = F.when(room("both"), F.col("both")).when(room("varied"), F.col("varied"))
+    general = F.transform("h", lambda h, i: F.when(F.array_contains("fields", i), masked).otherwise(h))
     return (
-        texts.join(fields, "line")
-        .where(F.size("variable") <= (1 - SIMILAR) * size)
-        .select("line", F.xxhash64(general).alias("template"))
+        known.withColumn("fields", fields)
+        # a masked token stands for a field of other lines
+        .where((F.coalesce(F.size("fields"), F.lit(0)) > 0) | F.array_contains("h", masked))
+        .select("line", F.xxhash64("leaf", general).alias("template"))
     )
 
 
@@ -93,40 +152,47 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     lines taken out of ``text``, and ``n_lines`` and ``n_dropped``.
 
     A NULL text stays NULL with no lines; an empty one is one empty line. Rows of
-    one ``doc_id`` are one document when it comes to which is first; a NULL id comes
-    last. Repeated rows count as lines of two documents but lose nothing to each
-    other. A row whose every line goes has an empty text. Columns of ``docs`` named like the
+    one ``doc_id`` are one document, repeated rows too: they lose nothing to each other, and a
+    template counts once for them. Rows without an id are one document, the last. Lines of which
+    no token is without a digit stay. A row whose every line goes has an empty text. Columns of ``docs`` named like the
     two counts give way to them. No rows: none."""
-    no_id = -(1 << 63)
-    plain = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
-    )
-    narrow = materialize(_lines(plain, F.col("doc_id")).select("doc_id", "leaf", "line"), "lines")
+    rows = docs.count()
+    doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
+    plain = docs.select(doc.alias("doc"), F.col("text").cast("string").alias("text"))
+    narrow = materialize(_lines(plain).select("doc", "leaf", "line", "size").distinct(), "lines")
     lines = materialize(
-        narrow.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "distinct-lines"
-    )
-    named = lines.join(_templates(plain, lines), "line", "left").withColumn(
-        "template", F.coalesce("template", "line")
+        narrow.groupBy("leaf", "line", "size").agg(F.count("*").alias("n"), F.min("doc").alias("first")),
+        "distinct-lines",
     )
-    recurring = (
-        named.groupBy("template")
-        .agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-        .where(f"n >= {MIN_DOCS}")
+    templates = materialize(_templates(plain, lines), "templates")
+    # a document counts once for a template, however many of its lines have it
+    general = (
+        _spread(narrow.select("doc", "line", "size"), templates, ["line"], "doc")
+        .groupBy("template", "size", "doc")
+        .agg(F.lit(1).alias("one"))
+        .groupBy("template", "size")
+        .agg(F.count("*").alias("n"), F.min("doc").alias("first"))
+        .where(F.col("n") >= least_docs(F.col("size"), rows))
         .select("template", "first")
     )
+    literal = (
+        lines.where(F.col("n") >= least_docs(F.col("size"), rows))
+        .join(templates, "line", "left_anti")
+        .select("line", "first")
+    )
     goes = materialize(
-        named.select("line", "template").join(recurring, "template").select("line", "first"), "recurring"
+        _spread(templates, general, ["template"], "line").select("line", "first").unionByName(literal), "recurring"
     )
     key, gone, kept = (free_name(docs, n) for n in ("drop_id", "drop_lines", "lines_left"))
     drops = (
-        narrow.join(goes, "line")
-        .where(~F.col("doc_id").eqNullSafe(F.col("first")))
-        .groupBy(F.coalesce("doc_id", F.lit(no_id)).alias(key))
+        _spread(narrow.select("doc", "line"), goes, ["line"], "doc")
+        .where("doc != first")
+        .groupBy(F.col("doc").alias(key))
         .agg(F.collect_set("line").alias(gone))
     )
     split = F.split(F.col("text").cast("string"), "\n")
     left = F.filter(split, lambda x: ~F.array_contains(gone, F.xxhash64(tokens(x))))
-    joined = docs.join(drops, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(no_id)) == F.col(key), "left")
+    joined = docs.join(drops, doc == F.col(key), "left")
     changed = F.col(key).isNotNull()
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(split))
     n_dropped = F.when(changed & F.col("text").isNotNull(), n_lines - F.size(kept)).otherwise(0)
@@ -139,44 +205,46 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     )
 
 
-#: The same in SQL, over whole lists of tokens instead of their hashes.
+#: The rules above in SQL, over whole lists of tokens instead of hashes.
 ORACLE_SQL = f"""
-WITH lines AS (
-  SELECT doc_id, unnest(list_distinct(string_split(text, chr(10)))) AS raw FROM documents
-), marked AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(raw,
+WITH raw_lines AS (
+  SELECT doc_id, x.line, x.pos, list_filter(regexp_split_to_array(regexp_replace(x.line,
     '[^ \\t\\x0B\\f\\r]*[0-9][^ \\t\\x0B\\f\\r]*', '{ANY}', 'g'), '[ \\t\\x0B\\f\\r]+'), lambda t: t <> '') AS tokens
-  FROM lines
-), long_lines AS (
-  SELECT doc_id, tokens, [len(tokens)::VARCHAR] || tokens[1:{DEPTH}] AS leaf FROM marked WHERE len(tokens) >= {MIN_TOKENS}
+  FROM documents d, unnest(string_split(d.text, chr(10))) WITH ORDINALITY AS x(line, pos)
+), lines AS (
+  SELECT DISTINCT doc_id, tokens, [len(tokens)::VARCHAR] || tokens[1:{DEPTH}] AS leaf
+  FROM raw_lines WHERE len(list_filter(tokens, lambda t: t <> '{ANY}')) > 0
 ), kinds AS (
-  SELECT leaf, tokens, count(*) AS n, min(doc_id) AS first_id FROM long_lines GROUP BY ALL
+  SELECT leaf, tokens, count(*) OVER (PARTITION BY leaf) AS in_leaf FROM (SELECT DISTINCT leaf, tokens FROM lines)
 ), places AS (
-  SELECT leaf, tokens, n, unnest(range(len(tokens))) AS place FROM kinds
-), seen AS (
-  SELECT leaf, place, tokens[place + 1] AS token, sum(n) AS support FROM places GROUP BY ALL
+  SELECT leaf, tokens, in_leaf, unnest(range({DEPTH}, len(tokens))) AS place FROM kinds WHERE in_leaf >= {FAMILY}
+), judged AS (
+  SELECT tokens, place, tokens[place + 1] <> '{ANY}' AS takes_room,
+    count(*) OVER (PARTITION BY leaf, place, tokens[:place], tokens[place + 2:]) >= {FAMILY} AS varied,
+    {RARE} * count(*) OVER (PARTITION BY leaf, place, tokens[place + 1]) < in_leaf AS rare
+  FROM places
 ), fields AS (
-  SELECT p.leaf, p.tokens, list(p.place) AS variable FROM places p
-  JOIN seen s ON s.leaf = p.leaf AND s.place = p.place AND s.token = p.tokens[p.place + 1]
-  JOIN (SELECT leaf FROM kinds GROUP BY leaf HAVING count(*) > 1 AND sum(n) >= {MIN_DOCS}) g ON g.leaf = p.leaf
-  WHERE p.place >= {DEPTH} AND s.support < {MIN_DOCS} AND s.token <> '{ANY}' GROUP BY ALL
+  SELECT tokens, coalesce(list(place) FILTER (WHERE varied), []) AS varied,
+    coalesce(list(place) FILTER (WHERE varied OR rare), []) AS either,
+    count(*) FILTER (WHERE varied AND takes_room) AS n_varied,
+    count(*) FILTER (WHERE (varied OR rare) AND takes_room) AS n_either
+  FROM judged GROUP BY tokens
 ), named AS (
-  SELECT k.tokens, k.n, k.first_id, CASE WHEN f.variable IS NOT NULL AND len(f.variable) <= {1 - SIMILAR:.1f} * len(k.tokens)
-    THEN list_transform(range(len(k.tokens)), lambda i: CASE WHEN list_contains(f.variable, i) THEN '{ANY}' ELSE k.tokens[i + 1] END)
-    ELSE k.tokens END AS template
-  FROM kinds k LEFT JOIN fields f ON f.leaf = k.leaf AND f.tokens = k.tokens
+  SELECT l.doc_id, l.tokens, list_transform(range(len(l.tokens)), lambda i: CASE
+      WHEN list_contains(CASE WHEN n_either * {FIELDS} <= len(l.tokens) THEN either
+        WHEN n_varied * {FIELDS} <= len(l.tokens) THEN varied END, i)
+      THEN '{ANY}' ELSE l.tokens[i + 1] END) AS template
+  FROM lines l LEFT JOIN fields f ON f.tokens = l.tokens
 ), recurring AS (
-  SELECT template, min(first_id) AS first_id FROM named GROUP BY template HAVING sum(n) >= {MIN_DOCS}
+  SELECT template, min(doc_id) AS first_id FROM named GROUP BY template
+  HAVING count(DISTINCT doc_id) >= CASE WHEN len(template) >= {LONG_TOKENS} THEN {LONG_DOCS}
+    WHEN len(template) < {SHORT_TOKENS} THEN greatest({SHORT_DOCS}, ceil((SELECT count(*) FROM documents) / {SHORT_SHARE}.0))
+    ELSE {MIN_DOCS} END
 ), gone AS (
-  SELECT DISTINCT l.doc_id, l.tokens FROM long_lines l JOIN named k ON k.tokens = l.tokens
-  JOIN recurring r ON r.template = k.template WHERE l.doc_id IS DISTINCT FROM r.first_id
-), numbered AS (
-  SELECT d.doc_id, x.line, x.pos, list_filter(regexp_split_to_array(regexp_replace(x.line,
-    '[^ \\t\\x0B\\f\\r]*[0-9][^ \\t\\x0B\\f\\r]*', '{ANY}', 'g'), '[ \\t\\x0B\\f\\r]+'), lambda t: t <> '') AS tokens
-  FROM documents d, unnest(string_split(d.text, chr(10))) WITH ORDINALITY AS x(line, pos)
+  SELECT n.doc_id, n.tokens FROM named n JOIN recurring r ON r.template = n.template WHERE n.doc_id <> r.first_id
 )
 SELECT n.doc_id, coalesce(string_agg(n.line, chr(10) ORDER BY n.pos) FILTER (WHERE g.doc_id IS NULL), '') AS text,
   count(*) AS n_lines, count(g.doc_id) AS n_dropped
-FROM numbered n LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.tokens = n.tokens
+FROM raw_lines n LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.tokens = n.tokens
 GROUP BY n.doc_id
 """

@@ -183,6 +183,30 @@ def test_recurring_templates_stay_in_their_first_document(spark):
     assert got[None]["text"] == "" and got[None]["source"] == "s"
 
 
+@pytest.mark.parametrize("each", [2, 12])
+def test_two_fields_of_repeated_values_are_found_at_any_size(spark, each):
+    names, towns = [f"Name{chr(65 + i)}" for i in range(each)], [f"Town{chr(65 + i)}" for i in range(3)]
+    rows = [(i, f"Sent with regards from {n} of {t} today") for i, (n, t) in enumerate((n, t) for n in names for t in towns)]
+    rows += [(1000 + i, f"Sent with regards to all of them number{chr(97 + i)} x y") for i in range(2)]
+    got = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring(frame(spark, rows)).collect()}
+    assert got[0] == rows[0][1] and got[1000] and got[1001]
+    # with two names only towns vary in three lines: one template for each name
+    kept = [i for i, t in got.items() if t and i < 1000]
+    assert kept == ([0] if each > 2 else kept) and len(kept) == (1 if each > 2 else 2)
+
+
+def test_long_lines_recur_from_two_documents_and_lines_of_one_count_once(spark):
+    long = " ".join(f"{chr(97 + i % 26)}word{chr(97 + i // 26)}" for i in range(60))
+    rows = [(1, long), (2, f"own words here\n{long}"), (3, "Call us at 5 or more\nCall us at 6 or more"), (4, "Call us at 7 or more")]
+    rows += [(10 + i, f"All rights reserved.\n12\nline of its own {chr(97 + i) * 3}") for i in range(10)]
+    rows += [(30 + i, "Home page\n12") for i in range(9)]
+    got = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring(frame(spark, rows)).collect()}
+    assert got[1] == long and got[2] == "own words here"
+    assert got[3] == rows[2][1] and got[4] == rows[3][1]
+    assert got[10] == rows[4][1] and got[11] == "12"
+    assert all(got[30 + i] == "Home page\n12" for i in range(9))
+
+
 def test_line_templates_equal_sql(spark):
     rng = random.Random(1)
     words = ["alpha", "beta", "7", "gamma", "x1", "delta"]
