@@ -107,7 +107,7 @@ def test_reparameterised_items_are_found(spark):
     }
     docs = frame(spark, list(texts.items()) + [(1, texts[1]), (7, "")])
     got = {r["doc_id"]: (r["contaminated"], r["item_ids"]) for r in decontamination.contaminated(docs, items).collect()}
-    assert got[1] == got[None] == (True, [1])
+    assert got[1] == got[None] == got[5] == (True, [1])
     assert got[6] == (True, [4])
     assert [got[i][0] for i in (2, 3, 4, 7)] == [False] * 4
     kept = decontamination.clean(docs, items)
@@ -115,6 +115,75 @@ def test_reparameterised_items_are_found(spark):
     assert kept.columns == docs.columns
 
 
+def brute_found(text, item):
+    """Whether the item is found in the text, from the rules, window by window."""
+    for stream in (decontamination.TEMPLATE, decontamination.FOLDED):
+        sides = [[decontamination.canonical(w, stream) for w in re.findall(r"\d+(?:[.,]\d+)*|\w+", t)] for t in (text, item)]
+        size = min(8, len(sides[1]))
+
+        def at(side, start, size=size):
+            part = side[start : start + size]
+            values = [w + v for w, v in part if v is not None]
+            return (tuple(w for w, _ in part), values) if size - len(values) >= min(4, size) else None
+
+        doc, own = ([at(s, k) for k in range(len(s) - size + 1)] for s in sides)
+        total = {w[0] for w in own if w}
+        seen = set()
+        for shift in range(-len(own), len(doc)):
+            met = [k for k in range(len(own)) if 0 <= k + shift < len(doc) and own[k] and doc[k + shift] and own[k][0] == doc[k + shift][0]]
+            slots = {p for k in met for p in zip(own[k][1], doc[k + shift][1], strict=True)}
+            if any(len({p[i] for p in slots}) < len(slots) for i in (0, 1)):
+                continue
+            seen |= {own[k][0] for k in met}
+            if any(all(k + j in met for j in range(13)) for k in met):
+                return True
+        if total and len(seen) >= 0.8 * len(total):
+            return True
+    return False
+
+
+def test_found_items_equal_window_by_window_comparison(spark):
+    rng = random.Random(8)
+    words = "the cost of a new red box is paid by Ann Bob Eve 12 31 miles 5 hours in May when all boxes are sold".split()
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(3, 40)))) for i in range(12)]
+    texts = []
+    for _ in range(60):
+        part = rng.choice(items)[1].split()
+        k = rng.randrange(len(part))
+        part = part[k:] if rng.random() < 0.3 else part
+        part = [rng.choice(words) if rng.random() < 0.04 else w for w in part]
+        swap = dict(zip(["Ann", "Bob", "Eve"], rng.sample(["Zoe", "Max", "Ann"], 3), strict=True))
+        part = [swap.get(w, w) for w in part] if rng.random() < 0.5 else part
+        text = " ".join([*rng.choices(words, k=rng.randint(0, 30)), *part, *rng.choices(words, k=9)])
+        texts.append(rng.choice([str, str.lower, str.upper])(text))
+    got = decontamination.contaminated(
+        frame(spark, list(enumerate(texts))), spark.createDataFrame(items, "item_id bigint, text string")
+    ).collect()
+    want = {i: [n for n, item in items if brute_found(t, item)] for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["item_ids"] for r in got} == want
+    assert 10 < sum(map(bool, want.values())) < 60
+
+
+def test_other_case_parts_and_sentence_initial_names(spark):
+    long = "A farmer sells eggs at the market. Natalia then buys 12 of them for 3 dollars each. " \
+        "Natalia gives half of these to her oldest friend Max and keeps all of the others for herself"
+    items = spark.createDataFrame([(1, long)], "item_id bigint, text string")
+    tokens = long.split()
+    texts = [
+        long.upper(), long.lower(), "Question: " + long.replace("Natalia", "Maria").replace("12", "90"),
+        "some words first " + " ".join(tokens[12:]), " ".join(tokens[:14]), long.replace("Max", "Natalia"),
+    ]
+    got = decontamination.contaminated(frame(spark, list(enumerate(texts))), items).collect()
+    assert {r["doc_id"]: r["contaminated"] for r in got} == {i: brute_found(t, long) for i, t in enumerate(texts)}
+    assert [r["contaminated"] for r in sorted(got, key=lambda r: r["doc_id"])][:5] == [True] * 4 + [False]
+
+
+def test_a_very_long_text(spark):
+    text = "filler words that say nothing " * 200_000 + ITEM + " and more of it" * 1000
+    items = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
+    assert [r["item_ids"] for r in decontamination.contaminated(frame(spark, [(1, text)]), items).collect()] == [[1]]
+
+
 def test_windows_stay_within_their_text():
     texts = [["a", "b"], [], ["c", "d", "e", "f"], ["g"]]
     key, place = decontamination.windows(texts, 3)
