@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accesspanel.llm.common import free_name, materialize
+from accesspanel.llm.common import free_name, materialize, row_hash
 
 #: Leading tokens that choose the leaf.
 DEPTH = 3
@@ -64,10 +64,14 @@ def least_docs(size: Column, rows: int) -> Column:
     )
 
 
+def _different(text: str) -> Column:
+    return F.array_distinct(F.split(text, "\n"))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """Different lines of each row that hold a token without a digit, and their leaf."""
     return (
-        docs.select("doc", F.explode(F.array_distinct(F.split("text", "\n"))).alias("raw"))
+        docs.select("doc", "row", F.posexplode(_different("text")).alias("pos", "raw"))
         .select("*", tokens(F.col("raw")).alias("tokens"))
         .withColumn("size", F.size("tokens"))
         .where(F.size(F.array_remove("tokens", ANY)) > 0)
@@ -90,10 +94,16 @@ def _spread(left: DataFrame, right: DataFrame, on: list[str], by: str, how: str
 def _templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """``line`` and ``template`` (a hash) of the lines that hold a variable field."""
     leaves = lines.where(f"size > {DEPTH}").groupBy("leaf").agg(F.count("*").alias("kinds")).where(f"kinds >= {FAMILY}")
-    chosen = _spread(lines.select("leaf", "line", F.col("first").alias("doc")), leaves, ["leaf"], "line")
-    # a line's text is taken from its first document: no line is hot in this join
+    chosen = _spread(lines.select("leaf", "line", "row", "pos"), leaves, ["leaf"], "line")
+    # a line's text is taken from one row that has it, which holds no more of them than lines
+    asked = chosen.groupBy("row").agg(F.collect_list(F.struct("leaf", "kinds", "line", "pos")).alias("asked"))
+    given = F.transform("asked", lambda a: a.withField("raw", F.get("different", a["pos"])))
     texts = materialize(
-        _lines(docs).select("doc", "line", "raw").join(chosen, ["doc", "line"]).dropDuplicates(["line"]).drop("doc"),
+        docs.select("row", _different("text").alias("different"))
+        .join(asked, "row")
+        .select(F.inline(given))
+        .dropDuplicates(["line"])
+        .drop("pos"),
         "leaf-lines",
     )
     hashed = texts.select("leaf", "kinds", "line", F.transform(tokens(F.col("raw")), lambda t: F.xxhash64(t)).alias("h"))
@@ -158,10 +168,20 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     two counts give way to them. No rows: none."""
     rows = docs.count()
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
-    plain = docs.select(doc.alias("doc"), F.col("text").cast("string").alias("text"))
-    narrow = materialize(_lines(plain).select("doc", "leaf", "line", "size").distinct(), "lines")
+    plain = docs.select(doc.alias("doc"), row_hash().alias("row"), F.col("text").cast("string").alias("text"))
+    narrow = materialize(
+        _lines(plain)
+        .groupBy("doc", "leaf", "line", "size")
+        .agg(F.min("row").alias("row"), F.min_by("pos", "row").alias("pos")),
+        "lines",
+    )
     lines = materialize(
-        narrow.groupBy("leaf", "line", "size").agg(F.count("*").alias("n"), F.min("doc").alias("first")),
+        narrow.groupBy("leaf", "line", "size").agg(
+            F.count("*").alias("n"),
+            F.min("doc").alias("first"),
+            F.min("row").alias("row"),
+            F.min_by("pos", "row").alias("pos"),
+        ),
         "distinct-lines",
     )
     templates = materialize(_templates(plain, lines), "templates")
