@@ -1,10 +1,11 @@
 """Interpolated modified Kneser-Ney n-gram model of text, over bytes.
 
 Spark counts every n-gram of the highest order over all training rows (each task
-sums its own first); shorter orders follow from the distinct longer n-grams. The
-model is one array of records per order, sorted by a 64-bit hash of the n-gram.
-It is written to one file that Spark sends to the executors, whose workers map it
-into memory, so workers of one executor share its pages.
+sums its own first); shorter orders follow from the distinct longer n-grams, and
+probabilities and back-offs from joins with the order below. The model is one array
+of records per order, sorted by a 64-bit hash of the n-gram and written to the shared
+folder by ranges. Spark sends these to the executors, whose workers map them into
+memory, so workers of one executor share the pages.
 
 A text is its words joined by single spaces and one end symbol, so its probability
 is that of the word sequence and the end. Bytes keep the model small (its size
@@ -14,13 +15,16 @@ probability of their own.
 
 from __future__ import annotations
 
-import tempfile
+import fcntl
+import os
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +37,10 @@ END = b"\n"
 #: back-off (NaN: no context) of each n-gram.
 Table = tuple[np.ndarray, np.ndarray, np.ndarray]
 TYPES = ("<u8", "<f4", "<f4")
-#: n-grams of the highest order the driver takes (16 bytes each); it stops beyond that.
-MAX_ENTRIES = 30_000_000
+STORED = pa.schema([("level", pa.int32()), ("hash", pa.int64()), ("log_p", pa.float32()), ("backoff", pa.float32())])
+SIGN = np.uint64(1 << 63)
+#: Entries of one file of a model.
+FILE_ENTRIES = 1_000_000
 #: n-grams a counting task holds before it passes its sums on.
 HELD_NGRAMS = 1_000_000
 PIECE_BYTES = 1 << 20
@@ -135,10 +141,9 @@ def mix(x: np.ndarray, order: int) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Discounts for counts 1, 2 and 3 or more; the usual constants where the
-    counts of counts give none."""
-    n1, n2, n3, n4 = (int((counts == i).sum()) for i in (1, 2, 3, 4))
+def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
+    """Discounts for counts 1, 2 and 3 or more, from the numbers of n-grams counted once to
+    four times; the usual constants where these give none."""
     if min(n1, n2, n3) > 0:
         y = n1 / (n1 + 2 * n2)
         d = np.array([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
@@ -147,43 +152,92 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return np.array([0.0, 0.5, 1.0, 1.5])
 
 
-def estimate(grams: np.ndarray, counts: np.ndarray, order: int) -> list[Table]:
-    """Entries of each order, shortest first, sorted by hash. An order below the
-    highest counts the distinct bytes before each n-gram."""
-    byte = np.uint64(8)
-    by = np.argsort(grams)
-    levels = {order: (grams[by], counts[by].astype(np.float64))}
+def levels(counted: DataFrame, order: int) -> list[DataFrame]:
+    """``gram`` and ``n`` of each order, shortest first. An order below the highest counts
+    the distinct bytes before each n-gram."""
+    out = [counted]
     for n in range(order - 1, 0, -1):
-        shorter = levels[n + 1][0] & np.uint64((1 << 8 * n) - 1)
-        gram, kinds = np.unique(shorter, return_counts=True)
-        levels[n] = gram, kinds.astype(np.float64)
-    tables, lower = [], None
-    contexts = {}
-    for n in range(1, order + 1):
-        gram, count = levels[n]
-        d = discounts(count)[np.minimum(count, 3).astype(int)]
-        context, member = np.unique(gram >> byte, return_inverse=True)
-        total = np.bincount(member, count)
-        left = np.bincount(member, d) / total
-        if lower is None:
-            below = np.full(len(gram), 1 / 256)
+        shorter = F.col("gram").bitwiseAND((1 << 8 * n) - 1).alias("gram")
+        out.append(materialize(out[-1].groupBy(shorter).agg(F.count("*").alias("n")), "ngrams"))
+    return out[::-1]
+
+
+def _all_discounts(counted: list[DataFrame]) -> list[np.ndarray]:
+    """Discounts of each order; at most four numbers an order reach the driver."""
+    seen = [c.where("n <= 4").groupBy("n").count().select(F.lit(i).alias("i"), "n", "count") for i, c in enumerate(counted)]
+    of = {(r["i"], r["n"]): r["count"] for r in reduce(DataFrame.unionByName, seen).collect()}
+    return [discounts(*(of.get((i, k), 0) for k in (1, 2, 3, 4))) for i in range(len(counted))]
+
+
+def _contexts(level: DataFrame, d: np.ndarray) -> DataFrame:
+    """``total`` of the counts after each context and ``backoff``, the share that the discounts
+    take from it. Exact counts are weighted at the end, so the order of rows does not matter."""
+    n = F.col("n")
+    taken = [F.count_if(n == 1) * float(d[1]), F.count_if(n == 2) * float(d[2]), F.count_if(n >= 3) * float(d[3])]
+    return level.groupBy(F.shiftrightunsigned("gram", 8).alias("gram")).agg(
+        F.sum("n").alias("total"), (sum(taken, F.lit(0.0)) / F.sum("n")).alias("backoff")
+    )
+
+
+def estimate(counted: list[DataFrame]) -> DataFrame:
+    """Entries of all orders: ``level``, ``gram``, ``p`` (NULL: only a context) and ``backoff``
+    (NULL: no context).
+
+    An order is two equi-joins of its n-grams with the entries one shorter, on the bytes
+    before the last and on the bytes after the first. At most 256 n-grams share either, so
+    no key is hot. Each order is written before the next reads it."""
+    d = _all_discounts(counted)
+    last = materialize(_contexts(counted[0], d[0]).withColumn("p", F.lit(1 / 256)), "entries")
+    entries = [last]
+    for i, level in enumerate(counted):
+        before = last.where("total is not null").select(F.col("gram").alias("context"), "total", "backoff")
+        shorter = last.where("p is not null").select(F.col("gram").alias("suffix"), F.col("p").alias("below"))
+        n = F.col("n")
+        cut = F.when(n == 1, float(d[i][1])).when(n == 2, float(d[i][2])).otherwise(float(d[i][3]))
+        found = (
+            level.withColumn("context", F.shiftrightunsigned("gram", 8))
+            .withColumn("suffix", F.col("gram").bitwiseAND((1 << 8 * i) - 1))
+            .join(before, "context")
+            .join(shorter, "suffix")
+            .select("gram", ((n - cut) / F.col("total") + F.col("backoff") * F.col("below")).alias("p"))
+        )
+        if i + 1 < len(counted):
+            found = found.join(_contexts(counted[i + 1], d[i + 1]), "gram", "full")
         else:
-            below = lower[1][np.searchsorted(lower[0], gram & np.uint64((1 << 8 * (n - 1)) - 1))]
-        lower = gram, (count - d) / total[member] + left[member] * below
-        tables.append(lower)
-        contexts[n - 1] = context, left
-    out = []
-    for n in range(0, order + 1):
-        gram, p = tables[n - 1] if n else (np.zeros(0, np.uint64), np.zeros(0))
-        context, left = contexts.get(n, (np.zeros(0, np.uint64), np.zeros(0)))
-        keys = np.union1d(gram, context)
-        log_p, backoff = (np.full(len(keys), np.nan, np.float32) for _ in range(2))
-        log_p[np.searchsorted(keys, gram)] = np.log10(p)
-        backoff[np.searchsorted(keys, context)] = np.log10(left)
-        hashes = mix(keys, n)
-        by = np.argsort(hashes)
-        out.append((hashes[by], log_p[by], backoff[by]))
-    return out
+            found = found.select("gram", "p", F.lit(None).cast("bigint").alias("total"), F.lit(None).cast("double").alias("backoff"))
+        last = materialize(found, "entries")
+        entries.append(last)
+    return reduce(
+        DataFrame.unionByName,
+        [e.select(F.lit(i).alias("level"), "gram", "p", "backoff") for i, e in enumerate(entries)],
+    )
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        level, gram = (batch.column(c).to_numpy() for c in ("level", "gram"))
+        hashes = np.zeros(len(gram), np.uint64)
+        for n in np.unique(level):
+            hashes[level == n] = mix(gram[level == n].astype(np.int64).view(np.uint64), int(n))
+        signed = pa.array((hashes ^ SIGN).view(np.int64))  # in the order of the unsigned hash
+        yield pa.RecordBatch.from_arrays([batch.column("level"), signed, *batch.columns[2:]], STORED.names)
+
+
+def store(entries: DataFrame) -> tuple[DataFrame, tuple[int, ...]]:
+    """The entries by level and hash, written in files of some FILE_ENTRIES with a range each,
+    and where each level starts."""
+    unknown = F.lit(float("nan"))
+    hashed = materialize(
+        entries.select(
+            "level", "gram", *[F.coalesce(F.log10(c), unknown).cast("float").alias(c) for c in ("p", "backoff")]
+        ).mapInArrow(_hashed, "level int, hash bigint, log_p float, backoff float"),
+        "hashed",
+    )
+    sizes = {r["level"]: r["count"] for r in hashed.groupBy("level").count().collect()}
+    bounds = (0, *np.cumsum([sizes.get(i, 0) for i in range(max(sizes, default=-1) + 1)]).tolist())
+    files = -(-bounds[-1] // FILE_ENTRIES) or 1
+    by = ["level", "hash"]
+    return materialize(hashed.repartitionByRange(files, *by).sortWithinPartitions(*by), "model"), bounds
 
 
 def find(table: Table, column: int, hashes: np.ndarray) -> np.ndarray:
@@ -215,9 +269,10 @@ def log_probabilities(tables: list[Table], grams: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """A model file by name, and where each order starts in it."""
+    """Files with the ranges of a model, in order, and where each order starts in them."""
 
-    file: str
+    name: str
+    files: tuple[str, ...]
     bounds: tuple[int, ...]
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -227,38 +282,61 @@ class Model:
         for group in pieces(texts, order):
             grams, starts = ngrams([part for _, part in group], order)
             distinct, where = np.unique(grams, return_inverse=True)
-            tables = held(self, lambda: _mapped(self))
+            tables = held(self, lambda: mapped(self))
             sums = np.add.reduceat(log_probabilities(tables, distinct)[where], starts)
             np.add.at(out, [i for i, _ in group], sums)
         return out
 
 
-def _mapped(model: Model) -> list[Table]:
-    path, n = SparkFiles.get(model.file), model.bounds[-1]
-    columns = [np.memmap(path, t, "r", at * n, n) for t, at in zip(TYPES, (0, 8, 12), strict=True)] if n else [np.zeros(0)] * 3
+def mapped(model: Model) -> list[Table]:
+    """The arrays of a model, mapped into memory. The first worker of an executor lays the
+    ranges out as one file beside those that Spark sent; the others wait for it."""
+    n = model.bounds[-1]
+    if not n:
+        return [tuple(np.zeros(0, t) for t in TYPES) for _ in model.bounds[1:]]
+    path = SparkFiles.get(model.name)
+    with open(f"{path}.lock", "a") as lock:
+        fcntl.flock(lock, fcntl.LOCK_EX)
+        if not os.path.exists(path):
+            _lay_out(model, f"{path}.new")
+            os.replace(f"{path}.new", path)
+    columns = _columns(path, n, "r")
     return [tuple(c[a:b] for c in columns) for a, b in zip(model.bounds, model.bounds[1:], strict=False)]
 
 
+def _columns(path: str, n: int, mode: str) -> list[np.memmap]:
+    return [np.memmap(path, t, mode, at * n, n) for t, at in zip(TYPES, (0, 8, 12), strict=True)]
+
+
+def _lay_out(model: Model, path: str) -> None:
+    n, at = model.bounds[-1], 0
+    with open(path, "wb") as file:
+        file.truncate(16 * n)
+    hashes, *values = _columns(path, n, "r+")
+    for name in model.files:
+        part = pq.read_table(SparkFiles.get(name), schema=STORED)
+        end = at + part.num_rows
+        hashes[at:end] = part.column("hash").to_numpy().view(np.uint64) ^ SIGN
+        for column, value in zip(values, ("log_p", "backoff"), strict=True):
+            column[at:end] = part.column(value).to_numpy()
+        at = end
+    if at != n:
+        raise ValueError(f"{at} of {n} entries of the model arrived")
+
+
 def train(rows: DataFrame, order: int = ORDER, lower: bool = False) -> Model:
-    """Counts the ``text`` of the rows in Spark and hands the model to the executors.
-
-    The table of n-grams passes the driver (16 bytes each). Its size follows the
-    alphabet and the order: beyond MAX_ENTRIES this raises, and a lower order,
-    at most 256 ** order entries, has to be asked for. No n-gram is left out. Without a
-    row the model is uniform over bytes."""
-    table = materialize(count_ngrams(rows, order, lower), "ngrams")
-    if table.count() > MAX_ENTRIES:
-        raise ValueError(f"over {MAX_ENTRIES} n-grams of order {order}: use a lower order")
-    counted = table.toArrow()
-    grams = counted.column("gram").to_numpy().astype(np.int64).view(np.uint64)
-    tables = estimate(grams, counted.column("n").to_numpy(), order)
-    del counted
-    pa.default_memory_pool().release_unused()
-    name = f"ngram-{uuid.uuid4().hex}.bin"
-    folder = tempfile.mkdtemp(prefix="run-model-")
-    with open(f"{folder}/{name}", "wb") as file:
-        for column, kind in enumerate(TYPES):
-            for table in tables:
-                file.write(table[column].astype(kind).tobytes())
-    rows.sparkSession.sparkContext.addFile(f"{folder}/{name}")
-    return Model(name, (0, *np.cumsum([len(t[0]) for t in tables]).tolist()))
+    """Counts the ``text`` of the rows and estimates the model in Spark.
+
+    Counts, contexts, probabilities and back-offs are grouped sums and joins over tables in the
+    shared folder. Its last table, cut by ranges of the hash, is sent file by file to the
+    executors (``addFile`` takes it from the shared folder). The driver holds four counts of
+    counts and a size an order, and the names of the files. No n-gram is left out, whatever
+    their number. Without a row the model is uniform over bytes."""
+    counted = materialize(count_ngrams(rows, order, lower), "ngrams")
+    stored, bounds = store(estimate(levels(counted, order)))
+    if not bounds[-1]:
+        return Model("", (), (0,) * (order + 2))
+    paths = sorted(stored.inputFiles())
+    for path in paths:
+        rows.sparkSession.sparkContext.addFile(path)
+    return Model(f"ngram-{uuid.uuid4().hex}.bin", tuple(os.path.basename(x) for x in paths), bounds)

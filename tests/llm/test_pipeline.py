@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 from test_duplicates import brute_components
-from test_texts import DE, EN, ITEM, brute_rules, prose
+from test_texts import DE, EN, ITEM, brute_rules, plain_model, prose
 from tokenizers import Tokenizer
 
 from accesspanel.llm import decontamination, line_templates, ngram_lm, quality_rules
@@ -38,8 +38,7 @@ def plain(rows):
     words = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for _, t, *_ in rows]
     texts = [b" ".join(w) for w in words]
     parts = [ngram_lm.END * (ngram_lm.ORDER - 1) + t + ngram_lm.END for t in texts]
-    gram, n = np.unique(ngram_lm.ngrams(parts, ngram_lm.ORDER)[0], return_counts=True)
-    tables = ngram_lm.estimate(gram, n, ngram_lm.ORDER)
+    tables = plain_model(texts, ngram_lm.ORDER)
     surprise = [
         -ngram_lm.log_probabilities(tables, ngram_lm.ngrams([p], ngram_lm.ORDER)[0]).sum() / (len(w) + 1)
         for p, w in zip(parts, words, strict=True)

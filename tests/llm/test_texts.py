@@ -301,7 +301,7 @@ def brute_model(texts, order):
     for n in range(order - 1, 0, -1):
         for gram in counts[n + 1]:
             counts[n][gram[1:]] += 1
-    d = {n: ngram_lm.discounts(np.array(list(c.values()))) for n, c in counts.items()}
+    d = {n: ngram_lm.discounts(*([*c.values()].count(k) for k in (1, 2, 3, 4))) for n, c in counts.items()}
 
     def p(context, byte):
         n = len(context) + 1
@@ -317,13 +317,40 @@ def brute_model(texts, order):
     return p
 
 
+def plain_model(texts, order):
+    """The model of all texts with sorted arrays in one process: tables as workers map them."""
+    parts = [ngram_lm.END * (order - 1) + t + ngram_lm.END for t in texts]
+    last = np.unique(ngram_lm.ngrams(parts, order)[0], return_counts=True)
+    counts = [last]
+    for n in range(order - 1, 0, -1):
+        counts.append(np.unique(counts[-1][0] & np.uint64((1 << 8 * n) - 1), return_counts=True))
+    p, backoff = {0: {0: 1 / 256}}, {}
+    for n, (grams, times) in enumerate(reversed(counts), 1):
+        d = ngram_lm.discounts(*(int((times == k).sum()) for k in (1, 2, 3, 4)))
+        total, taken = Counter(), Counter()
+        for g, c in zip(grams.tolist(), times.tolist(), strict=True):
+            total[g >> 8] += c
+            taken[g >> 8] += d[min(c, 3)]
+        backoff[n - 1] = {c: taken[c] / total[c] for c in total}
+        p[n] = {
+            g: (c - d[min(c, 3)]) / total[g >> 8] + backoff[n - 1][g >> 8] * p[n - 1][g & ((1 << 8 * (n - 1)) - 1)]
+            for g, c in zip(grams.tolist(), times.tolist(), strict=True)
+        }
+    tables = []
+    for n in range(order + 1):
+        keys = np.array(sorted({*p[n], *backoff.get(n, {})}), np.uint64)
+        values = [np.log10([x.get(k, np.nan) for k in keys.tolist()]).astype("f4") for x in (p[n], backoff.get(n, {}))]
+        hashes = ngram_lm.mix(keys, n)
+        by = np.argsort(hashes)
+        tables.append((hashes[by], values[0][by], values[1][by]))
+    return tables
+
+
 def test_model_equals_brute_force_and_sums_to_one():
     texts = [b"abab cab", b"ba", b"", b"abc abc abc", b"cc"]
     order = 3
     p = brute_model(texts, order)
-    grams, _ = ngram_lm.ngrams([b"\n" * (order - 1) + t + b"\n" for t in texts], order)
-    gram, n = np.unique(grams, return_counts=True)
-    tables = ngram_lm.estimate(gram, n, order)
+    tables = plain_model(texts, order)
     for context in (b"ab", b"\n\n", b"zz", b"za"):
         asked = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.uint64)
         got = 10 ** ngram_lm.log_probabilities(tables, asked)
@@ -331,6 +358,31 @@ def test_model_equals_brute_force_and_sums_to_one():
         assert np.allclose(got, [p(context, b) for b in range(256)], rtol=1e-5)
 
 
+@pytest.mark.parametrize("order", [1, 3, 6])
+def test_model_of_spark_equals_the_plain_one(spark, monkeypatch, order):
+    monkeypatch.setattr(ngram_lm, "FILE_ENTRIES", 700)
+    rng = random.Random(order)
+    texts = [prose(rng, EN, 60) for _ in range(20)] + ["".join(chr(rng.randint(1, 0x9000)) for _ in range(300)), "", None]
+    model = ngram_lm.train(spark.createDataFrame([(t,) for t in texts + texts[:3]], "text string"), order)
+    raw = [ngram_lm.normal((t or "").encode()) for t in texts + texts[:3]]
+    want = plain_model(raw, order)
+    got = ngram_lm.mapped(model)
+    assert order == 1 or len(model.files) > 1
+    assert len(got) == len(want) == order + 1
+    for mine, plain in zip(got, want, strict=True):
+        assert np.array_equal(mine[0], plain[0])
+        for k in (1, 2):
+            assert np.allclose(mine[k], plain[k], rtol=1e-5, atol=1e-6, equal_nan=True)
+    parts = [ngram_lm.END * (order - 1) + t + ngram_lm.END for t in raw]
+    one_by_one = [ngram_lm.log_probabilities(want, ngram_lm.ngrams([x], order)[0]).sum() for x in parts]
+    assert np.allclose(model.scores(raw), one_by_one, rtol=1e-5)
+
+
+def test_model_of_no_rows_is_uniform(spark):
+    model = ngram_lm.train(spark.createDataFrame([], "text string"))
+    assert np.allclose(model.scores([b"", b"ab"]), np.log10([1 / 256, 1 / 256**3]))
+
+
 def test_pieces_count_every_byte_once(monkeypatch):
     texts = [b"abcdefgh" * 5, b"", b"xyz"]
     whole = np.sort(ngram_lm.ngrams([p for _, p in next(ngram_lm.pieces(texts, 4))], 4)[0])
