@@ -24,6 +24,8 @@ from accesspanel.llm.common import crc_mod, materialize, ship_package, slices, u
 #: text if need be.
 CHUNK_BYTES = 24 << 20
 CHUNK_WORDS = 400_000
+#: Bytes of an n-gram, the most that an integer holds.
+ORDER = 8
 BLOCK_BYTES = 1 << 20
 
 #: Two kinds of rows: a chunk with its documents (``words`` NULL), or one of its words.
@@ -181,7 +183,7 @@ def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1) -> Data
         F.col("text").cast("string").alias("text"),
         (crc_mod(F.col("doc_id"), folds) == held_fold).alias("held_out"),
     )
-    model = ngram_lm.train(rows.where("not held_out"), lower=True)
+    model = ngram_lm.train(rows.where("not held_out"), ORDER, lower=True)
     chunks = materialize(rows.mapInArrow(_chunks(model), CHUNKS), "chunks")
     words = chunks.where("word is not null").select("chunk", "word", "number", "trained")
     counts = materialize(words.groupBy("word").agg(F.sum("trained").alias("n")).where("n > 0"), "words")
