@@ -65,6 +65,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         conf.set(key, before)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the folders of written steps that a frame reads. Only for frames whose every
+    reader has itself been written; other folders are left alone."""
+    spark = df.sparkSession
+    steps = f"/accesspanel/{spark.sparkContext.applicationId}/steps/"
+    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        if steps in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

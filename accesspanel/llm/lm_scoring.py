@@ -24,8 +24,8 @@ from accesspanel.llm.common import crc_mod, materialize, ship_package, slices, u
 #: text if need be.
 CHUNK_BYTES = 24 << 20
 CHUNK_WORDS = 400_000
-#: Bytes of an n-gram, the most that an integer holds.
-ORDER = 8
+#: Bytes of an n-gram.
+ORDER = 7
 BLOCK_BYTES = 1 << 20
 
 #: Two kinds of rows: a chunk with its documents (``words`` NULL), or one of its words.

@@ -29,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accesspanel.llm.common import held, materialize, slices, utf8
+from accesspanel.llm.common import discard, held, materialize, slices, utf8
 
 ORDER = 6
 END = b"\n"
@@ -180,15 +180,16 @@ def _contexts(level: DataFrame, d: np.ndarray) -> DataFrame:
 
 
 def estimate(counted: list[DataFrame]) -> DataFrame:
-    """Entries of all orders: ``level``, ``gram``, ``p`` (NULL: only a context) and ``backoff``
-    (NULL: no context).
+    """Entries of all orders: ``level``, ``hash``, ``log_p`` (NaN: only a context) and
+    ``backoff`` (NaN: no context).
 
     An order is two equi-joins of its n-grams with the entries one shorter, on the bytes
     before the last and on the bytes after the first. At most 256 n-grams share either, so
-    no key is hot. Each order is written before the next reads it."""
+    no key is hot. Each order is written before the next reads it; the counts and entries
+    that nothing reads again are removed."""
     d = _all_discounts(counted)
     last = materialize(_contexts(counted[0], d[0]).withColumn("p", F.lit(1 / 256)), "entries")
-    entries = [last]
+    hashed = [_hash(last, 0)]
     for i, level in enumerate(counted):
         before = last.where("total is not null").select(F.col("gram").alias("context"), "total", "backoff")
         shorter = last.where("p is not null").select(F.col("gram").alias("suffix"), F.col("p").alias("below"))
@@ -204,21 +205,26 @@ def estimate(counted: list[DataFrame]) -> DataFrame:
         if i + 1 < len(counted):
             found = found.join(_contexts(counted[i + 1], d[i + 1]), "gram", "full")
         else:
-            found = found.select("gram", "p", F.lit(None).cast("bigint").alias("total"), F.lit(None).cast("double").alias("backoff"))
-        last = materialize(found, "entries")
-        entries.append(last)
-    return reduce(
-        DataFrame.unionByName,
-        [e.select(F.lit(i).alias("level"), "gram", "p", "backoff") for i, e in enumerate(entries)],
-    )
+            found = found.withColumn("backoff", F.lit(None).cast("double"))
+        now = materialize(found, "entries")
+        discard(level)
+        discard(last)
+        last = now
+        hashed.append(_hash(last, i + 1))
+    discard(last)
+    return reduce(DataFrame.unionByName, hashed)
+
+
+def _hash(entries: DataFrame, level: int) -> DataFrame:
+    values = [F.coalesce(F.log10(c), F.lit(float("nan"))).cast("float").alias(c) for c in ("p", "backoff")]
+    narrow = entries.select(F.lit(level).alias("level"), "gram", *values)
+    return materialize(narrow.mapInArrow(_hashed, "level int, hash bigint, log_p float, backoff float"), "hashed")
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         level, gram = (batch.column(c).to_numpy() for c in ("level", "gram"))
-        hashes = np.zeros(len(gram), np.uint64)
-        for n in np.unique(level):
-            hashes[level == n] = mix(gram[level == n].astype(np.int64).view(np.uint64), int(n))
+        hashes = mix(gram.astype(np.int64).view(np.uint64), int(level[0])) if len(level) else np.zeros(0, np.uint64)
         signed = pa.array((hashes ^ SIGN).view(np.int64))  # in the order of the unsigned hash
         yield pa.RecordBatch.from_arrays([batch.column("level"), signed, *batch.columns[2:]], STORED.names)
 
@@ -226,18 +232,13 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def store(entries: DataFrame) -> tuple[DataFrame, tuple[int, ...]]:
     """The entries by level and hash, written in files of some FILE_ENTRIES with a range each,
     and where each level starts."""
-    unknown = F.lit(float("nan"))
-    hashed = materialize(
-        entries.select(
-            "level", "gram", *[F.coalesce(F.log10(c), unknown).cast("float").alias(c) for c in ("p", "backoff")]
-        ).mapInArrow(_hashed, "level int, hash bigint, log_p float, backoff float"),
-        "hashed",
-    )
-    sizes = {r["level"]: r["count"] for r in hashed.groupBy("level").count().collect()}
+    sizes = {r["level"]: r["count"] for r in entries.groupBy("level").count().collect()}
     bounds = (0, *np.cumsum([sizes.get(i, 0) for i in range(max(sizes, default=-1) + 1)]).tolist())
     files = -(-bounds[-1] // FILE_ENTRIES) or 1
     by = ["level", "hash"]
-    return materialize(hashed.repartitionByRange(files, *by).sortWithinPartitions(*by), "model"), bounds
+    stored = materialize(entries.repartitionByRange(files, *by).sortWithinPartitions(*by), "model")
+    discard(entries)
+    return stored, bounds
 
 
 def find(table: Table, column: int, hashes: np.ndarray) -> np.ndarray:
