@@ -4,8 +4,8 @@ Spark counts every n-gram of the highest order over all training rows (each task
 sums its own first); shorter orders follow from the distinct longer n-grams, and
 probabilities and back-offs from joins with the order below. The model is one array
 of records per order, sorted by a 64-bit hash of the n-gram and written to the shared
-folder by ranges. Spark sends these to the executors, whose workers map them into
-memory, so workers of one executor share the pages.
+folder by ranges, which workers map into memory, so workers of one machine share the
+pages.
 
 A text is its words joined by single spaces and one end symbol, so its probability
 is that of the word sequence and the end. Bytes keep the model small (its size
@@ -15,12 +15,14 @@ probability of their own.
 
 from __future__ import annotations
 
+import contextlib
 import fcntl
 import os
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -270,9 +272,11 @@ def log_probabilities(tables: list[Table], grams: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Files with the ranges of a model, in order, and where each order starts in them."""
+    """Files with the ranges of a model, in order, and where each order starts in them.
+    ``folder`` is None where Spark sends them."""
 
     name: str
+    folder: str | None
     files: tuple[str, ...]
     bounds: tuple[int, ...]
 
@@ -290,17 +294,20 @@ class Model:
 
 
 def mapped(model: Model) -> list[Table]:
-    """The arrays of a model, mapped into memory. The first worker of an executor lays the
-    ranges out as one file beside those that Spark sent; the others wait for it."""
+    """The arrays of a model, mapped into memory. The first worker lays the ranges out as one
+    file beside them, in the shared folder or where Spark put them; the others wait for it."""
     n = model.bounds[-1]
     if not n:
         return [tuple(np.zeros(0, t) for t in TYPES) for _ in model.bounds[1:]]
-    path = SparkFiles.get(model.name)
+    folder = model.folder or SparkFiles.getRootDirectory()
+    path = f"{folder}/{model.name}"
     with open(f"{path}.lock", "a") as lock:
-        fcntl.flock(lock, fcntl.LOCK_EX)
+        with contextlib.suppress(OSError):  # without locks each lays out a file, and one stays
+            fcntl.flock(lock, fcntl.LOCK_EX)
         if not os.path.exists(path):
-            _lay_out(model, f"{path}.new")
-            os.replace(f"{path}.new", path)
+            own = f"{path}.{uuid.uuid4().hex}"
+            _lay_out([f"{folder}/{x}" for x in model.files], n, own)
+            os.replace(own, path)
     columns = _columns(path, n, "r")
     return [tuple(c[a:b] for c in columns) for a, b in zip(model.bounds, model.bounds[1:], strict=False)]
 
@@ -309,13 +316,13 @@ def _columns(path: str, n: int, mode: str) -> list[np.memmap]:
     return [np.memmap(path, t, mode, at * n, n) for t, at in zip(TYPES, (0, 8, 12), strict=True)]
 
 
-def _lay_out(model: Model, path: str) -> None:
-    n, at = model.bounds[-1], 0
+def _lay_out(parts: list[str], n: int, path: str) -> None:
+    at = 0
     with open(path, "wb") as file:
         file.truncate(16 * n)
     hashes, *values = _columns(path, n, "r+")
-    for name in model.files:
-        part = pq.read_table(SparkFiles.get(name), schema=STORED)
+    for file in parts:
+        part = pq.read_table(file, schema=STORED)
         end = at + part.num_rows
         hashes[at:end] = part.column("hash").to_numpy().view(np.uint64) ^ SIGN
         for column, value in zip(values, ("log_p", "backoff"), strict=True):
@@ -329,15 +336,19 @@ def train(rows: DataFrame, order: int = ORDER, lower: bool = False) -> Model:
     """Counts the ``text`` of the rows and estimates the model in Spark.
 
     Counts, contexts, probabilities and back-offs are grouped sums and joins over tables in the
-    shared folder. Its last table, cut by ranges of the hash, is sent file by file to the
-    executors (``addFile`` takes it from the shared folder). The driver holds four counts of
+    shared folder. Workers map its last table, cut by ranges of the hash, there where the
+    folder is a mounted one; of any other file system Spark sends them the files. The driver holds four counts of
     counts and a size an order, and the names of the files. No n-gram is left out, whatever
     their number. Without a row the model is uniform over bytes."""
     counted = materialize(count_ngrams(rows, order, lower), "ngrams")
     stored, bounds = store(estimate(levels(counted, order)))
     if not bounds[-1]:
-        return Model("", (), (0,) * (order + 2))
+        return Model("", None, (), (0,) * (order + 2))
     paths = sorted(stored.inputFiles())
-    for path in paths:
-        rows.sparkSession.sparkContext.addFile(path)
-    return Model(f"ngram-{uuid.uuid4().hex}.bin", tuple(os.path.basename(x) for x in paths), bounds)
+    mounted = [urlsplit(x) for x in paths]
+    folder = os.path.dirname(unquote(mounted[0].path)) if mounted[0].scheme in ("", "file") else None
+    if folder is None:
+        for path in paths:
+            rows.sparkSession.sparkContext.addFile(path)
+    # Spark's readers pass over names that start with an underscore
+    return Model(f"_ngram-{uuid.uuid4().hex}.bin", folder, tuple(os.path.basename(unquote(x.path)) for x in mounted), bounds)

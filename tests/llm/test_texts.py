@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from urllib.parse import SplitResult, urlsplit
 
 import numpy as np
 import public_tokenizers
@@ -378,6 +379,16 @@ def test_model_of_spark_equals_the_plain_one(spark, monkeypatch, order):
     assert np.allclose(model.scores(raw), one_by_one, rtol=1e-5)
 
 
+def test_model_that_spark_sends_equals_the_mounted_one(spark, monkeypatch):
+    rows = spark.createDataFrame([("one two three",), ("two three four",)], "text string")
+    mounted = ngram_lm.train(rows)
+    monkeypatch.setattr(ngram_lm, "urlsplit", lambda x: SplitResult("remote", "", urlsplit(x).path, "", ""))
+    sent = ngram_lm.train(rows)
+    assert mounted.folder and sent.folder is None
+    texts = [b"one two", b"", b"five"]
+    assert np.allclose(mounted.scores(texts), sent.scores(texts))
+
+
 def test_model_of_no_rows_is_uniform(spark):
     model = ngram_lm.train(spark.createDataFrame([], "text string"))
     assert np.allclose(model.scores([b"", b"ab"]), np.log10([1 / 256, 1 / 256**3]))
