@@ -247,8 +247,12 @@ def find(table: Table, column: int, hashes: np.ndarray) -> np.ndarray:
     """A column of the n-grams with these hashes; NaN where unknown."""
     if not len(table[0]):
         return np.full(len(hashes), np.nan, np.float32)
-    at = np.minimum(np.searchsorted(table[0], hashes), len(table[0]) - 1)
-    return np.where(table[0][at] == hashes, table[column][at], np.float32(np.nan))
+    by = np.argsort(hashes)  # in order, neighbours share pages of the table
+    asked = hashes[by]
+    at = np.minimum(np.searchsorted(table[0], asked), len(table[0]) - 1)
+    out = np.empty(len(hashes), np.float32)
+    out[by] = np.where(table[0][at] == asked, table[column][at], np.float32(np.nan))
+    return out
 
 
 def log_probabilities(tables: list[Table], grams: np.ndarray) -> np.ndarray:
