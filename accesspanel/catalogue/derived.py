@@ -11,12 +11,12 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from accesspanel.operators.joins import lookup_join
+from accesspanel.operators.joins import frequent_keys, lookup_join
 from accesspanel.plans import builders, schemas
-from accesspanel.sources.tables import layer_path, staging_root, write_layer
+from accesspanel.sources.tables import layer_path, materialize, staging_root, write_layer
 from accesspanel.sources.versions import current_path
 
 # Wide enough for any positive BIGINT key, so that padding never cuts one.
@@ -25,6 +25,8 @@ YEARS = (1996, 1997, 1998, 1999, 2000)
 YEAR = 2000
 MIN_WEIGHT = 50
 DESERT_WEIGHT = 20
+# Lines of one part from which on its pairs are not all put in one task.
+HOT_LINES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -238,39 +240,75 @@ def raw_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part to customer, with the customer's shares of the part's lines."""
-    returned = F.when(F.col("l_returnflag") == "R", F.col("qty")).otherwise(0)
-    pairs = (
-        lines(spark, sf_dir)
-        .groupBy("l_partkey", "o_custkey")
-        .agg(
-            F.sum("qty").alias("q"),
-            F.sum("cents").alias("c"),
-            F.sum(returned).alias("r"),
-            F.count("*").alias("n"),
-        )
+def owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State of every customer; ``copy`` numbers the rows of a repeated customer from 0."""
+    same_key = Window.partitionBy("o_custkey").orderBy("state")
+    return customers(spark, sf_dir).select(F.col("c_custkey").alias("o_custkey"), "state").withColumn(
+        "copy", F.row_number().over(same_key) - 1
     )
-    totals = pairs.groupBy("l_partkey").agg(
-        *[F.sum(x).alias(f"{x}_all") for x in ("q", "c", "r", "n")]
+
+
+def part_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with customer and state, once per row of a repeated customer. The state
+    is looked up for the orders, of which there are fewer than lines or pairs."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    placed = lookup_join(orders, owners(spark, sf_dir), "o_custkey").withColumn("copy", F.coalesce("copy", F.lit(0)))
+    line = table(spark, sf_dir, "lineitem")
+    return line.join(placed, line.l_orderkey == placed.o_orderkey, "inner").select(
+        "l_partkey",
+        "o_custkey",
+        "copy",
+        "state",
+        F.col("l_quantity").cast("bigint").alias("qty"),
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
+        (F.col("l_returnflag") == "R").alias("returned"),
     )
-    owner = customers(spark, sf_dir).select(F.col("c_custkey").alias("o_custkey"), "state")
+
+
+def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line sums of every part and customer, with those of the whole part.
+
+    The lines are dealt by part once, and pair, total and share are taken where they then
+    lie. Where a part has more lines than a task should hold, pairs are added up map-side
+    and written, and their totals are looked up."""
+    sold = part_lines(spark, sf_dir)
+    pair = ["l_partkey", "o_custkey", "copy", "state"]
+    returned = F.when(F.col("returned"), F.col("qty")).otherwise(0)
+    sums = [
+        F.sum("qty").alias("q"),
+        F.sum("cents").alias("c"),
+        F.sum(returned).alias("r"),
+        F.count("*").alias("n"),
+    ]
+    # the lines of a customer count once, however often it is repeated
+    first = F.col("copy") == 0
+    totals = {f"{x}_all": F.sum(F.when(first, F.col(x))) for x in ("q", "c", "r", "n")}
+    if frequent_keys(table(spark, sf_dir, "lineitem"), ["l_partkey"], least=HOT_LINES):
+        pairs = materialize(sold.groupBy(*pair).agg(*sums), "pairs")
+        per_part = pairs.groupBy("l_partkey").agg(*[t.alias(n) for n, t in totals.items()])
+        return lookup_join(pairs, per_part, "l_partkey")
+    pairs = sold.repartition("l_partkey").groupBy(*pair).agg(*sums)
+    whole = Window.partitionBy("l_partkey")
+    known = F.col("l_partkey").isNotNull()  # no part, no total
+    return pairs.withColumns({n: F.when(known, t.over(whole)) for n, t in totals.items()})
+
+
+def raw_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part to customer, with the customer's shares of the part's lines."""
 
     def share(x: str) -> Column:
         return scaled_quotient(F.col(x), 100_000_000, F.col(f"{x}_all"))
 
     returned_share = F.when(F.col("r_all") > 0, fixed_text(share("r"), 8)).otherwise("")
-    return (
-        lookup_join(lookup_join(pairs, totals, "l_partkey"), owner, "o_custkey").select(
-            F.col("l_partkey").cast("string").alias("zip"),
-            F.concat(F.lit(" "), F.col("o_custkey").cast("string")).alias("county_fips"),
-            F.concat(F.lit(" CITY OF "), F.col("l_partkey").cast("string")).alias("usps_zip_pref_city"),
-            F.col("state").alias("usps_zip_pref_state"),
-            F.concat(share("c").cast("string"), F.lit("e-08")).alias("res_ratio"),
-            F.concat(F.lit(" "), fixed_text(share("q"), 8)).alias("bus_ratio"),
-            returned_share.alias("oth_ratio"),
-            fixed_text(share("n"), 8).alias("tot_ratio"),
-        )
+    return part_pairs(spark, sf_dir).select(
+        F.col("l_partkey").cast("string").alias("zip"),
+        F.concat(F.lit(" "), F.col("o_custkey").cast("string")).alias("county_fips"),
+        F.concat(F.lit(" CITY OF "), F.col("l_partkey").cast("string")).alias("usps_zip_pref_city"),
+        F.col("state").alias("usps_zip_pref_state"),
+        F.concat(share("c").cast("string"), F.lit("e-08")).alias("res_ratio"),
+        F.concat(F.lit(" "), fixed_text(share("q"), 8)).alias("bus_ratio"),
+        returned_share.alias("oth_ratio"),
+        fixed_text(share("n"), 8).alias("tot_ratio"),
     )
 
 

@@ -17,15 +17,16 @@ SALTS = 64
 SKETCH_ITEMS = 16_384
 
 
-def frequent_keys(df: DataFrame, keys: Sequence[str], k: int = HOT_KEYS) -> list[int]:
-    """Hashes of up to k of the most frequent key values (NULL included), from
-    a bounded sketch: one pass, no shuffle of rows. Missing a key or naming a
-    rare one costs speed only, never rows. The k numbers are fetched so that
+def frequent_keys(df: DataFrame, keys: Sequence[str], k: int = HOT_KEYS, least: int = 0) -> list[int]:
+    """Hashes of up to k of the most frequent key values (NULL included) with some
+    ``least`` rows, from a bounded sketch: one pass, no shuffle of rows. Missing a key or
+    naming a rare one costs speed only, never rows. The k numbers are fetched so that
     every branch of a plan sees the same list."""
     sketch = df.select(F.xxhash64(*keys).alias("h")).agg(
         F.expr(f"approx_top_k(h, {k}, {SKETCH_ITEMS})").alias("top")
     )
-    return [item["item"] for item in sketch.first()["top"] or [] if item["item"] is not None]
+    top = sketch.first()["top"] or []
+    return [item["item"] for item in top if item["item"] is not None and item["count"] >= least]
 
 
 def fits_broadcast(df: DataFrame) -> bool:

@@ -4,6 +4,7 @@ the question is what happens to sides too large for one."""
 import os
 
 import pytest
+from conftest import rows
 from pyspark.sql import functions as F
 
 from accesspanel.catalogue import derived
@@ -152,3 +153,47 @@ def test_bucketed_rewrite_and_null_keys(spark, folder):
     want = sorted([(1, 5, "a", "x"), (1, 6, "b", None), (None, 5, "c", None), (2, None, "d", None)], key=str)
     assert sorted(map(tuple, bucketed.colocated_join(a, b, "k", ["y"]).collect()), key=str) == want
     assert bucketed.read_bucketed(spark, folder, "clean", "right").count() == 3
+
+
+def test_crosswalk_reads_the_lines_once(spark, large_sides):
+    text = plan_of(derived.raw_crosswalk(spark, SF_DIR))
+    # before, pairs and their totals were each built from the lines
+    assert text.count("lineitem.parquet") == 1
+
+
+def given(spark, folder):
+    """A repeated customer, a line without a part, orders without a customer or with an unknown one."""
+    tables = {
+        "region": ([(0, "EAST")], "r_regionkey int, r_name string"),
+        "nation": ([(0, "A", 0), (1, "B", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "customer": (
+            [(1, "c1", 0, 1.0, "X"), (1, "c1", 1, 1.0, "X"), (1, "c1", 1, 1.0, "X"), (2, "c2", 0, 2.0, "Y"), (None, "c", 0, 0.0, "Y")],
+            "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+        ),
+        "orders": ([(1, 1), (2, 2), (3, None), (4, 9)], "o_orderkey bigint, o_custkey bigint"),
+        "lineitem": (
+            [(1, 7, 1.0, 1.0, "R"), (1, 7, 2.0, 2.0, "N"), (2, 7, 1.0, 3.0, "A"), (3, 7, 4.0, 2.0, "R"), (4, 8, 3.0, 3.0, "N"),
+             (2, None, 5.0, 5.0, "R"), (5, 7, 9.0, 9.0, "R"), (2, 8, None, 1.0, "R")],
+            "l_orderkey bigint, l_partkey bigint, l_quantity double, l_extendedprice double, l_returnflag string",
+        ),
+    }
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("hot_lines", [1_000_000, 1])
+def test_crosswalk_shares_of_repeated_and_unknown_keys(spark, folder, monkeypatch, hot_lines):
+    monkeypatch.setattr(derived, "HOT_LINES", hot_lines)
+    got = derived.raw_crosswalk(spark, given(spark, folder)).select("zip", "county_fips", "usps_zip_pref_state", "bus_ratio", "tot_ratio")
+    one = (" 0.37500000", "0.50000000")
+    assert rows(got) == [
+        (None, " 2", "AE", None, None),
+        ("7", None, None, " 0.50000000", "0.25000000"),
+        ("7", " 1", "AE", *one),
+        ("7", " 1", "BE", *one),
+        ("7", " 1", "BE", *one),
+        ("7", " 2", "AE", " 0.12500000", "0.25000000"),
+        ("8", " 2", "AE", None, "0.50000000"),
+        ("8", " 9", None, " 1.00000000", "0.50000000"),
+    ]
