@@ -79,8 +79,8 @@ def raw_pharmacies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.min("l_partkey").alias("part"))
     )
     owner = customers(spark, sf_dir).select(F.col("c_custkey").alias("o_custkey"), "state")
-    # a customer may hold much of the orders
-    rows = lookup_join(orders.join(lead, ["o_orderkey"], "left"), owner, "o_custkey")
+    # a customer may hold much of the orders; its keys are sought in the given table, not in a join
+    rows = lookup_join(orders, owner, "o_custkey").join(lead, ["o_orderkey"], "left")
     day = F.to_date("o_orderdate")
 
     def text(d: Column) -> Column:

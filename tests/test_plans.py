@@ -8,6 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from accesspanel.catalogue import derived
+from accesspanel.operators import joins
 from accesspanel.plans import builders, questions
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -197,3 +198,11 @@ def test_crosswalk_shares_of_repeated_and_unknown_keys(spark, folder, monkeypatc
         ("8", " 2", "AE", None, "0.50000000"),
         ("8", " 9", None, " 1.00000000", "0.50000000"),
     ]
+
+
+def test_keys_of_orders_are_sought_before_a_join(spark, large_sides, monkeypatch):
+    sought = []
+    plain = joins.lookup_join
+    monkeypatch.setattr(derived, "lookup_join", lambda left, *more: sought.append(plan_of(left)) or plain(left, *more))
+    derived.raw_pharmacies(spark, SF_DIR)
+    assert sought and not any("Exchange" in text for text in sought)
