@@ -156,8 +156,15 @@ def assemble_fact(
     period: str = "year_id",
 ) -> DataFrame:
     """Wide fact from the complete base: every base row once, NULLs where the
-    panel or the codes have nothing."""
-    return base.join(panel, [area, period], "left").join(codes, [area], "left")
+    panel or the codes have nothing. Periods are compared within the rows of an area, of
+    which there are few, so the base is shuffled once, on the area, for both joins."""
+    names = {c: free_name(f"_right_{c}", base, panel) for c in (area, period)}
+    mine, its = F.col(period), F.col(names[period])
+    # a range, as an equality would make the period part of the shuffle key
+    same = (F.col(area) == F.col(names[area])) & (mine >= its) & (mine <= its)
+    joined = base.join(panel.withColumnsRenamed(names), same, "left").drop(*names.values())
+    rest = [c for c in joined.columns if c not in (area, period)]
+    return joined.select(area, period, *rest).join(codes, [area], "left")
 
 
 def unmatched(left: DataFrame, right: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:

@@ -206,3 +206,15 @@ def test_keys_of_orders_are_sought_before_a_join(spark, large_sides, monkeypatch
     monkeypatch.setattr(derived, "lookup_join", lambda left, *more: sought.append(plan_of(left)) or plain(left, *more))
     derived.raw_pharmacies(spark, SF_DIR)
     assert sought and not any("Exchange" in text for text in sought)
+
+
+def test_fact_shuffles_each_side_once(spark, large_sides):
+    base = spark.range(9).selectExpr("cast(id % 3 AS string) AS county_fips", "cast(id div 3 AS int) AS year_id", "id AS spend")
+    panel = base.where("id <> 4").selectExpr("county_fips", "year_id", "spend * 2 AS active")
+    codes = spark.range(2).selectExpr("cast(id AS string) AS county_fips", "id + 10 AS code")
+    base, panel, codes = (df.repartition(2) for df in (base, panel, codes))
+    got = joins.assemble_fact(base, panel, codes)
+    assert plan_of(got).count("Exchange hashpartitioning") == 3
+    assert got.columns == ["county_fips", "year_id", "spend", "active", "code"]
+    expected = [(str(i % 3), i // 3, i, None if i == 4 else 2 * i, i % 3 + 10 if i % 3 < 2 else None) for i in range(9)]
+    assert rows(got) == sorted(expected, key=lambda r: r[:2])
