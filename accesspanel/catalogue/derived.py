@@ -58,11 +58,14 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines with their customer and order year; money in whole cents."""
-    line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    line = table(spark, sf_dir, "lineitem")
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", F.year("o_orderdate").alias("order_year")
+    )
     return line.join(orders, line.l_orderkey == orders.o_orderkey, "inner").select(
         "o_orderkey",
         "o_custkey",
-        F.year("o_orderdate").alias("order_year"),
+        "order_year",
         "l_partkey",
         "l_linenumber",
         "l_returnflag",
@@ -72,7 +75,17 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_pharmacies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    # what the texts are made of, before the orders are moved: a day and a price band
+    price = F.col("o_totalprice")
+    band = F.when(price < 2000, 0).when(price < 3000, 1).when(price > 495_000, 3).otherwise(2)
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        "o_custkey",
+        "o_orderstatus",
+        "o_orderpriority",
+        F.to_date("o_orderdate").alias("day"),
+        band.alias("band"),
+    )
     lead = (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
@@ -81,12 +94,12 @@ def raw_pharmacies(spark: SparkSession, sf_dir: str) -> DataFrame:
     owner = customers(spark, sf_dir).select(F.col("c_custkey").alias("o_custkey"), "state")
     # a customer may hold much of the orders; its keys are sought in the given table, not in a join
     rows = lookup_join(orders, owner, "o_custkey").join(lead, ["o_orderkey"], "left")
-    day = F.to_date("o_orderdate")
+    day, band = F.col("day"), F.col("band")
 
     def text(d: Column) -> Column:
         return F.date_format(d, "MM/dd/yyyy")
 
-    status, priority, price = F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_totalprice")
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
     part = F.col("part").cast("string")
     ended = status.isin("F", "P")
     early, late = priority == "3-MEDIUM", priority.isin("1-URGENT", "2-HIGH")
@@ -104,10 +117,10 @@ def raw_pharmacies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(status == "F", F.concat(F.lpad(part, CODE_WIDTH, "0"), F.lit("1234")))
         .otherwise(F.concat(F.lit(" "), part))
         .alias("postal_code"),
-        F.when(price < 2000, "13/45/2001").when(price < 3000, " ").otherwise(text(day)).alias("enumeration_date"),
+        F.when(band == 0, "13/45/2001").when(band == 1, " ").otherwise(text(day)).alias("enumeration_date"),
         text(day).alias("last_update_date"),
         F.when(ended, "DQ").otherwise(" ").alias("deactivation_reason_code"),
-        F.when(ended & (price > 495_000), "unknown")
+        F.when(ended & (band == 3), "unknown")
         .when(ended, text(F.date_add(day, 200)))
         .otherwise("")
         .alias("deactivation_date"),
@@ -253,7 +266,7 @@ def part_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     is looked up for the orders, of which there are fewer than lines or pairs."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     placed = lookup_join(orders, owners(spark, sf_dir), "o_custkey").withColumn("copy", F.coalesce("copy", F.lit(0)))
-    line = table(spark, sf_dir, "lineitem")
+    line = table(spark, sf_dir, "lineitem").withColumn("returned", F.col("l_returnflag") == "R")
     return line.join(placed, line.l_orderkey == placed.o_orderkey, "inner").select(
         "l_partkey",
         "o_custkey",
@@ -261,7 +274,7 @@ def part_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "state",
         F.col("l_quantity").cast("bigint").alias("qty"),
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
-        (F.col("l_returnflag") == "R").alias("returned"),
+        "returned",
     )
 
 

@@ -134,16 +134,15 @@ def clean_pharmacies(
     npi_width: int = 10,
 ) -> DataFrame:
     """Every provider with typed dates, snapshot status and, where its postal
-    code is known, its county."""
+    code is known, its county. Values are typed first: the rows that are then moved to
+    the crosswalk are narrower than their texts."""
     dates = ("enumeration_date", "last_update_date", "deactivation_date", "reactivation_date")
-    placed = attach_area(raw, crosswalk, "postal_code", width=code_width, skewed=skewed)
-    parsed = placed.withColumns({f"_{d}": safe_date(d) for d in dates})
+    parsed = raw.withColumns({f"_{d}": safe_date(d) for d in dates})
     typed = parsed.select(
         F.trim("npi").alias("npi"),
         safe_cast("entity_type_code", "ubyte").alias("entity_type_code"),
         *[F.trim(c).alias(c) for c in ("org_name", "city", "state")],
-        "zip5",
-        "county_fips",
+        "postal_code",
         *[F.col(f"_{d}").alias(d) for d in dates],
         clean_text("deactivation_reason_code").alias("deactivation_reason_code"),
         lifecycle_status(
@@ -156,7 +155,8 @@ def clean_pharmacies(
         clean_text("pharmacy_taxonomy_code").alias("pharmacy_taxonomy_code"),
         safe_cast("pharmacy_taxonomy_position", "ubyte").alias("pharmacy_taxonomy_pos"),
     )
-    return conform(typed, schemas.clean_pharmacies(code_width, npi_width))
+    placed = attach_area(typed, crosswalk, "postal_code", width=code_width, skewed=skewed)
+    return conform(placed, schemas.clean_pharmacies(code_width, npi_width))
 
 
 # --- curated ---------------------------------------------------------------

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 POINTER = "CURRENT"
 #: Versions kept: the current one and the one before, which running readers may still use.
 KEPT = 2
+#: A layer is written once and read whole a few times: fewer bytes are worth the time.
+CODEC = "zstd"
 
 
 def version_folder(path: str, version: str) -> str:
@@ -55,7 +57,7 @@ def stage_version(
     version = new_name()
     if cluster_by:
         df = df.sortWithinPartitions(*cluster_by)
-    df.write.partitionBy(*partition_by).parquet(version_folder(path, version))
+    df.write.option("compression", CODEC).partitionBy(*partition_by).parquet(version_folder(path, version))
     return df.sparkSession.read.schema(df.schema).parquet(version_folder(path, version)), version
 
 

@@ -231,3 +231,52 @@ def test_changes_are_found_once(spark, large_sides):
     new = old.selectExpr("npi", "if(npi = 5, 50, v) AS v")
     before, after = lifecycle.snapshot_changes(old, new, "npi")
     assert "bit_xor" not in plan_of(before) and rows(before) == [(5, 5)] and rows(after) == [(5, 50)]
+
+
+def moved(spark, df):
+    """Name and type of the columns of every shuffle by hash."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        open_nodes, found = [df.select("*")._jdf.queryExecution().executedPlan()], []
+        while open_nodes:
+            node = open_nodes.pop()
+            if node.nodeName() == "Exchange" and "hashpartitioning" in node.outputPartitioning().toString():
+                columns = node.output()
+                found.append({columns.apply(i).name(): columns.apply(i).dataType().simpleString() for i in range(columns.size())})
+            children = node.children()
+            open_nodes += [children.apply(i) for i in range(children.size())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert found
+    return found
+
+
+def test_orders_and_lines_are_moved_without_what_is_read_off_them(spark, large_sides):
+    steps = (derived.raw_pharmacies, derived.lines, derived.part_lines)
+    pharmacies, lines, part_lines = ({c for shuffle in moved(spark, step(spark, SF_DIR)) for c in shuffle} for step in steps)
+    assert not pharmacies & {"o_totalprice", "o_orderdate"}
+    assert "o_orderdate" not in lines
+    assert "l_returnflag" not in part_lines
+
+
+def test_providers_are_typed_before_they_are_moved(spark, large_sides):
+    raw, crosswalk = (derived.staged(spark, SF_DIR, n) for n in ("raw.pharmacies", "clean.zip_to_fips"))
+    dates = {"enumeration_date", "last_update_date", "deactivation_date", "reactivation_date"}
+    providers = [m for m in moved(spark, builders.clean_pharmacies(raw, crosswalk, derived.CODE_WIDTH)) if "npi" in m]
+    assert providers
+    for columns in providers:
+        assert {columns[d] for d in dates} == {"date"} and "postal_code" not in columns
+
+
+def test_prices_at_the_limits_of_a_band(spark, folder):
+    given(spark, folder)
+    prices = [None, 1999.99, 2000.0, 2999.99, 3000.0, 495_000.0, 495_000.01, float("nan")]
+    orders = spark.createDataFrame(
+        [(i, 2, "F", p, "5-LOW") for i, p in enumerate(prices)],
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string",
+    )
+    orders.withColumn("o_orderdate", F.lit("1996-03-01").cast("timestamp")).write.mode("overwrite").parquet(f"{folder}/orders.parquet")
+    got = derived.raw_pharmacies(spark, folder).select(F.trim("npi").cast("int"), "enumeration_date", "deactivation_date")
+    day, end = "03/01/1996", "09/17/1996"
+    want = [(day, end), ("13/45/2001", end), (" ", end), (" ", end), (day, end), (day, end), (day, "unknown"), (day, "unknown")]
+    assert rows(got) == [(i, *w) for i, w in enumerate(want)]

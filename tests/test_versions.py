@@ -134,3 +134,10 @@ def test_rejects_with_given_names_and_line_feeds_only(spark, folder):
     only_header = put(folder, "h.csv", "A,B\n")
     good, bad = rejects.load_with_rejects(spark, only_header, f"{folder}/out", "h")
     assert good.columns == ["A", "B"] and good.count() == bad.count() == 0
+
+
+def test_layers_are_stored_compressed_well(spark, folder):
+    tables.write_layer(spark.range(1000).selectExpr("cast(id AS string) AS a"), folder, "raw", "t")
+    files = [f for _, _, names in os.walk(folder) for f in names if f.endswith(".parquet")]
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
+    assert tables.read_layer(spark, folder, "raw", "t").count() == 1000
