@@ -82,11 +82,13 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _spread(left: DataFrame, right: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
     """Equi-join in which the rows of one key on the left are dealt to SALTS tasks by
-    their ``by``, and the few rows of the right are repeated for each."""
+    their ``by``, and the few rows of the right are repeated for each. Never a broadcast:
+    Spark takes the right as large as before it is repeated, so that one under its limit
+    would meet the driver SALTS times over."""
     salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
     return (
         left.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-        .join(right.withColumn("salt", salts), [*on, "salt"], how)
+        .join(right.withColumn("salt", salts).hint("merge"), [*on, "salt"], how)
         .drop("salt")
     )
 
@@ -195,9 +197,10 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
         .where(F.col("n") >= least_docs(F.col("size"), rows))
         .select("template", "first")
     )
+    # nor a broadcast here: files of templates are several times smaller than their rows
     literal = (
         lines.where(F.col("n") >= least_docs(F.col("size"), rows))
-        .join(templates, "line", "left_anti")
+        .join(templates.hint("merge"), "line", "left_anti")
         .select("line", "first")
     )
     goes = materialize(

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -223,6 +224,24 @@ def test_line_templates_equal_sql(spark):
     assert {tuple(r[n] for n in names) for r in got} == set(cursor.fetchall())
 
 
+def test_line_templates_broadcast_no_repeated_rows(spark, monkeypatch):
+    plans, written = [], common.materialize
+
+    def materialize(df, label):
+        df.collect()  # the plan with Spark's own choice of joins
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, label)
+
+    monkeypatch.setattr(line_templates, "materialize", materialize)
+    rows = [(10 * i + k, f"Sent with regards from Name{chr(65 + k)} of Town{chr(65 + i)} today") for i in range(4) for k in range(5)]
+    left = line_templates.drop_recurring(frame(spark, rows))
+    assert [r["doc_id"] for r in left.collect() if r["text"]] == [0]
+    plans.append(left._jdf.queryExecution().executedPlan().toString())
+    repeated = re.findall(r"(\w+Join) \[[^]\n]*salt#", "\n".join(plans))
+    assert repeated and set(repeated) == {"SortMergeJoin"}
+    assert set(re.findall(r"(\w+Join) .*LeftAnti", "\n".join(plans))) == {"SortMergeJoin"}
+
+
 def test_no_rows(spark):
     empty = frame(spark, [])
     assert golay_simhash.near_duplicates(empty).count() == 0
