@@ -96,6 +96,23 @@ def test_pipeline_equals_the_plain_steps(spark, folder):
     assert not ids & {201, 204, 500, 501, 600, 602}, ids
 
 
+def test_line_dedup_sends_the_driver_no_repeated_rows(spark, monkeypatch):
+    plans, written = [], line_templates.materialize
+
+    def materialize(df, label):
+        df.collect()  # the plan with Spark's own choice of joins
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, label)
+
+    monkeypatch.setattr(line_templates, "materialize", materialize)
+    rows = [(i, f"All rights of Name{chr(65 + i)} are reserved here", "en", "s", 0) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.line_dedup(spark, docs, "")
+    assert {(r["doc_id"], r["n_chars"]) for r in kept.collect()} == {(i, len(rows[0][1]) if i == 0 else 0) for i in range(12)}
+    plans.append(kept._jdf.queryExecution().executedPlan().toString())
+    assert set(re.findall(r"(\w+Join) \[[^]\n]*salt#", "\n".join(plans))) == {"SortMergeJoin"}
+
+
 def test_stages_return_documents(spark, folder):
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, row_key string, drop_id string, n_lines string, stay_row string, hit_row string"
     docs = spark.createDataFrame([(*r, *"abcde") for r in corpus()[:12]], schema)
